@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, quiet_threads, utf8
+from quillsift.llm.common import blocks, cut, quiet_threads, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -50,28 +50,50 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.entries = entries
         self.known: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        #: Tokens that end a word. A string of letters is one word, so that many can be encoded in one text and told apart.
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def encode_many(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text; the new strings of a block of texts are learnt together."""
+        for begin, end in blocks(texts):
+            split = [(t if b"<|" in t else t.lower()).split() for t in texts[begin:end]]
+            new = set().union(*split)
+            if len(self.known) > self.entries:
+                self.known = {w: ids for w in new if (ids := self.known.get(w)) is not None}
+            new.difference_update(self.known)
+            if new:
+                self._learn(new)
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
 
     def encode(self, text: bytes) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > self.entries:
-            self.known.clear()
-        new = {w for w in words if w not in self.known}
+        return next(self.encode_many([text]))
+
+    def _learn(self, new: set[bytes]) -> None:
         marked = {w for w in new if w[-1:] in b".,:" and w[-2:-1].isalnum()}
-        new -= marked
-        new.update(x for w in marked for x in (w[:-1], w[-1:]) if x not in self.known)
-        self._learn(list(new))
+        new = (new - marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked).difference(self.known)
+        plain, other = [], []
+        for w in new:
+            text = w.decode()
+            (plain if text.isalpha() else other).append((w, text))
+        for at in range(0, len(plain), 200):
+            some = plain[at : at + 200]
+            ids = np.asarray(self.tokenizer.encode("\n".join(t for _, t in some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                other += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (w, _), end in zip(some, (4 * ends).tolist(), strict=True):
+                self.known[w] = raw[begin:end]
+                begin = end
+        for at in range(0, len(other), 10_000):
+            some = other[at : at + 10_000]
+            found = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for (w, _), e in zip(some, found, strict=True))
         self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in marked)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -82,8 +104,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
         encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, ChunkEncoder(tokenizer_path))
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = encoder.encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(utf8(batch.column(1))), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.bpe import round_trip_digests
+
+    return round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.llm.packing import pack_documents
 
@@ -24,7 +30,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_pack": op8_pack}
+    return {"op3_bpe": op3_bpe, "op8_pack": op8_pack}
 
 
 def oracle_sql() -> dict[str, str]:

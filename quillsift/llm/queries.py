@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillsift.llm.common import read_table
 
@@ -17,6 +18,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A line on so many sites or more is boilerplate.
+MIN_SITES = 5
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.licenses import scan_documents
+
+    found = scan_documents(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.to_json("spans"))
+
+
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.line_dedup import mark_lines
+
+    marked = mark_lines(read_table(spark, sf_dir, "documents"), MIN_SITES)
+    return marked.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.llm.bpe import round_trip_digests
 
@@ -29,9 +48,17 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096, 1)
 
 
+def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.exact_dedup import exact_groups
+
+    return exact_groups(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_bpe": op3_bpe, "op8_pack": op8_pack}
+    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op5_exact": op5_exact, "op8_pack": op8_pack}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillsift.llm import exact_dedup, line_dedup
+
+    return {"op2_lines": line_dedup.oracle(MIN_SITES), "op5_exact": exact_dedup.ORACLE}

@@ -42,6 +42,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.simhash import near_duplicates
+
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), 4, 4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.llm.packing import pack_documents
 
@@ -55,7 +62,7 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op5_exact": op5_exact, "op8_pack": op8_pack}
+    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op5_exact": op5_exact, "op6_simhash": op6_simhash, "op8_pack": op8_pack}
 
 
 def oracle_sql() -> dict[str, str]:

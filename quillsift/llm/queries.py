@@ -61,8 +61,14 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.substring_dedup import digests
+
+    return digests(read_table(spark, sf_dir, "documents"), 20)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op5_exact": op5_exact, "op6_simhash": op6_simhash, "op8_pack": op8_pack}
+    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op5_exact": op5_exact, "op6_simhash": op6_simhash, "op8_pack": op8_pack, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:

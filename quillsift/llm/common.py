@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at once; longer documents are handled alone.
 BLOCK_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers; one row can be larger.
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH_BYTES, as a batch is held several times on its way to Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(str(conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -50,21 +61,6 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
-def arrow_schema(fields: Iterable[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema(list(fields))
-
-
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow for a function from one record batch to the record batches that it makes."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """128 bits that tell rows apart by id and text; never null. Rows that agree in both are one."""
     parts = (F.col(id_col), F.col(text_col).isNull(), F.col(text_col))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import blocks, cut, utf8
+from quillsift.llm.common import blocks, cut, small_batches, utf8
 
 #: Bytes of a chunk: least, on average beyond the least, most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
@@ -94,7 +94,7 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 hashes = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in held), np.uint64, len(held)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(ref))], ["h", "content", "refs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CHUNKS)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CHUNKS)
 
 
 def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import blocks, utf8
+from quillsift.llm.common import blocks, small_batches, utf8
 
 #: Words of an anchor's hash.
 GRAM = 5
@@ -305,7 +305,7 @@ def _search_shard(size: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__d"), F.xxhash64(text_col).alias("__k"), F.col(text_col).alias("__text"), *docs.columns)
+    return small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__d"), F.xxhash64(text_col).alias("__k"), F.col(text_col).alias("__text"), *docs.columns)
 
 
 def repeats(docs: DataFrame, keyed: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:

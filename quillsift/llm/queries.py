@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import read_table
@@ -49,12 +49,35 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.quality import score_documents
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = score_documents(docs, labels, id_remainder("doc_id", 5) != 0, 0.3)
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.llm.packing import pack_documents
 
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096, 1)
 
 
+def id_remainder(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n; null for a null id."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.language import learn, predict_documents
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = learn(docs, id_remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    return predict_documents(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.llm.exact_dedup import exact_groups
 
@@ -68,7 +91,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op5_exact": op5_exact, "op6_simhash": op6_simhash, "op8_pack": op8_pack, "op10_substrings": op10_substrings}
+    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_exact": op5_exact, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_pack": op8_pack, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ from quillsift.llm.common import blocks, cut, quiet_threads, small_batches, utf8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Entries of a worker's table from white-space separated strings to ids.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 #: A worker's encoders, kept from task to task.
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 

@@ -84,6 +84,12 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillsift.llm.ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.llm.substring_dedup import digests
 
@@ -91,7 +97,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_exact": op5_exact, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_pack": op8_pack, "op10_substrings": op10_substrings}
+    return {"op1_licenses": op1_licenses, "op2_lines": op2_lines, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_exact": op5_exact, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_pack": op8_pack, "op9_neighbours": op9_neighbours, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,6 +20,8 @@ def tokenizer_path(name: str) -> str:
 
 #: A line on so many sites or more is boilerplate.
 MIN_SITES = 5
+#: Words of a passage that is not kept twice.
+WINDOW = 20
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +95,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.llm.substring_dedup import digests
 
-    return digests(read_table(spark, sf_dir, "documents"), 20)
+    return digests(read_table(spark, sf_dir, "documents"), WINDOW)
 
 
 def queries() -> dict[str, Query]:

@@ -113,12 +113,15 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_fit_rows: int = MAX_FIT_ROWS) -> LanguageModel:
     """From rows (text, lang)."""
-    known = [r["lang"] for r in labelled.select("lang").distinct().collect()]  # as many as there are languages
+    known = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as there are languages
     if not known:
         return LanguageModel([], *(np.zeros(0),) * 4)
     each = max(1, min(per_language, max_fit_rows // len(known)))
+    # of frequent languages, only about four times the rows needed are ranked, those with the least hashes
+    share = F.create_map(*(F.lit(x) for lang, n in known.items() for x in (lang, min(1.0, 4 * each / n))))
+    least = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= F.element_at(share, F.col("lang")) * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    sample = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,0 +1,263 @@
+"""Named queries over the driver's tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillsift.catalog import Catalog
+from quillsift.functions.text import ngrams_column, tokens_column
+from quillsift.operators.predicates import FilterSpec
+from quillsift.plans import index as plans
+from quillsift.plans import parse, telemetry
+from quillsift.plans.suggest import SCHEMA, Suggester, to_rows
+from quillsift.sources.dataset import Dataset
+from quillsift.sources.tables import labelled_documents, table
+from quillsift.streaming.incremental import event_rollup, merge_index
+
+Query = Callable[[SparkSession, str], DataFrame]
+#: The reference time of every date phrase.
+NOW = dt.datetime(2024, 1, 15, 12)
+
+ORDERS = Catalog.of(
+    dict(id="o_orderkey", type="number", name="Order"), dict(id="o_orderstatus", type="enum", name="Status", values=["F", "O", "P"]), dict(id="o_totalprice", type="number", name="Price", aliases=["total"]),
+    dict(id="o_orderdate", type="date", name="Date", aliases=["ordered"]), dict(id="o_orderpriority", type="enum", name="Priority", aliases=["prio"]),
+)
+LINES = Catalog.of(
+    dict(id="l_returnflag", type="enum", name="Flag"), dict(id="l_linestatus", type="enum", name="Status"), dict(id="l_quantity", type="number", name="Quantity"), dict(id="l_extendedprice", type="number", name="Price"), dict(id="l_shipdate", type="date", name="Shipped"),
+)
+PARTS = Catalog.of(dict(id="p_name", type="string", name="Name"), dict(id="p_brand", type="string", name="Brand"), dict(id="p_type", type="enum", name="Type"), dict(id="p_size", type="number", name="Size"))
+LABELLED = Catalog.of(dict(id="lang", type="enum", name="Language"), dict(id="source", type="string"), dict(id="quality", type="number"), dict(id="is_toxic", type="boolean", name="Toxic"))
+EVENTS = Catalog.of(dict(id="ts", type="date", name="Time"), dict(id="event_type", type="enum", name="Type"), dict(id="value", type="number"), dict(id="user_id", type="number"))
+TALKS = Catalog.of(dict(id="role", type="enum"), dict(id="text", type="string"), dict(id="turn", type="number"))
+
+_TABLES: dict[str, tuple[str, Catalog, tuple[str, ...], str]] = {
+    "orders": ("orders", ORDERS, ("o_orderkey",), "orders"),
+    "lineitem": ("lineitem", LINES, ("l_orderkey", "l_linenumber"), "lineitem"),
+    "part": ("part", PARTS, ("p_partkey",), "part"),
+    "events": ("events", EVENTS, ("event_id",), "events"),
+    "conversations": ("conversations", TALKS, ("conv_id", "turn"), "conversations"),
+    "labelled": ("", LABELLED, ("doc_id",), "(SELECT d.doc_id, lang, source, quality, toxic = 1 AS is_toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"),
+}
+
+
+def dataset(spark: SparkSession, folder: str, name: str) -> Dataset:
+    stored, catalog, key, _ = _TABLES[name]
+    df = table(spark, folder, stored) if stored else labelled_documents(spark, folder)
+    return Dataset(df, catalog, key, NOW)
+
+
+# name: (table, column, operator, arguments, the condition in SQL)
+_D = dt.datetime
+FILTERS: dict[str, tuple[str, str, str, tuple, str]] = {
+    "eq_str": ("lineitem", "l_returnflag", "eq", ("R",), "l_returnflag = 'R'"),
+    "eq_num": ("lineitem", "l_quantity", "eq", (17,), "l_quantity = 17"),
+    "eq_date_day": ("orders", "o_orderdate", "eq", (_D(1996, 1, 2, 15),), "o_orderdate >= TIMESTAMP '1996-01-02' AND o_orderdate < TIMESTAMP '1996-01-03'"),
+    "neq_str": ("orders", "o_orderstatus", "neq", ("O",), "o_orderstatus <> 'O'"),
+    "neq_null": ("labelled", "quality", "neq", (1,), "quality IS DISTINCT FROM 1"),
+    "neq_date": ("orders", "o_orderdate", "neq", (_D(1996, 1, 2),), "o_orderdate < TIMESTAMP '1996-01-02' OR o_orderdate >= TIMESTAMP '1996-01-03'"),
+    "eq_ignore_case": ("part", "p_type", "eqIgnoreCase", ("ECONOMY",), "lower(p_type) = 'economy'"),
+    "neq_ignore_case": ("orders", "o_orderpriority", "neqIgnoreCase", ("1-urgent",), "lower(o_orderpriority) IS DISTINCT FROM '1-urgent'"),
+    "lt": ("lineitem", "l_quantity", "lt", (5,), "l_quantity < 5"),
+    "lte": ("lineitem", "l_quantity", "lte", (5,), "l_quantity <= 5"),
+    "gt": ("orders", "o_totalprice", "gt", (250000,), "o_totalprice > 250000 AND NOT isnan(o_totalprice)"),
+    "gte": ("part", "p_size", "gte", (45,), "p_size >= 45"),
+    "between_num": ("lineitem", "l_quantity", "between", (10, 20), "l_quantity BETWEEN 10 AND 20"),
+    "before": ("orders", "o_orderdate", "before", ("1995-06-01",), "o_orderdate < TIMESTAMP '1995-06-01'"),
+    "after": ("events", "ts", "after", (_D(2024, 1, 20, 6),), "ts > TIMESTAMP '2024-01-20 06:00:00'"),
+    "lte_date": ("events", "ts", "lte", (_D(2024, 1, 5),), "ts <= TIMESTAMP '2024-01-05'"),
+    "gte_date": ("events", "ts", "gte", (_D(2024, 1, 25),), "ts >= TIMESTAMP '2024-01-25'"),
+    "between_date": ("orders", "o_orderdate", "between", ("1996-01-01", "1996-12-31"), "o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'"),
+    "in_str": ("orders", "o_orderstatus", "in", ("F", "P"), "o_orderstatus IN ('F', 'P')"),
+    "nin_str": ("orders", "o_orderpriority", "nin", ("1-URGENT", "2-HIGH"), "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
+    "in_num": ("part", "p_size", "in", (1, 7, 49), "p_size IN (1, 7, 49)"),
+    "nin_null": ("labelled", "quality", "nin", (0, 5), "quality IS NULL OR quality NOT IN (0, 5)"),
+    "contains": ("part", "p_name", "contains", ("re",), "contains(p_name, 're')"),
+    "contains_text": ("conversations", "text", "contains", ("the",), "contains(text, 'the')"),
+    "not_contains": ("part", "p_name", "notContains", ("a",), "p_name IS NULL OR NOT contains(p_name, 'a')"),
+    "starts_with": ("part", "p_brand", "startsWith", ("Brand#1",), "starts_with(p_brand, 'Brand#1')"),
+    "ends_with": ("part", "p_brand", "endsWith", ("3",), "ends_with(p_brand, '3')"),
+    "is_empty": ("labelled", "quality", "isEmpty", (), "quality IS NULL"),
+    "is_not_empty": ("labelled", "quality", "isNotEmpty", (), "quality IS NOT NULL"),
+    "is_empty_text": ("conversations", "text", "isEmpty", (), "text IS NULL OR text = ''"),
+    "is_true": ("labelled", "is_toxic", "isTrue", (), "is_toxic IS TRUE"),
+    "is_false": ("labelled", "is_toxic", "isFalse", (), "is_toxic IS FALSE"),
+}
+
+
+def _filter(name: str) -> Query:
+    of, column, operator, args, _ = FILTERS[name]
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        data = dataset(spark, folder, of)
+        return data.execute(FilterSpec(column, operator, args)).select(*dict.fromkeys((*data.key, column)))
+
+    return run
+
+
+def _filter_sql(name: str) -> str:
+    of, column, _, _, condition = FILTERS[name]
+    return f"SELECT {', '.join(dict.fromkeys((*_TABLES[of][2], column)))} FROM {_TABLES[of][3]} WHERE {condition}"
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Returned lines of 10 to 20 pieces: counts by line status in that context."""
+    kept = dataset(spark, folder, "lineitem").context([FilterSpec("l_returnflag", "eq", ("R",)), FilterSpec("l_quantity", "between", (10, 20))])
+    return plans.value_index(kept.df, ["l_linestatus"])
+
+
+_INDEXED = ["o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice", "o_orderdate"]
+_TEXTS = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "o_custkey": "o_custkey::VARCHAR", "o_totalprice": "CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"}
+INDEX_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_id, {t} AS value, count(*) AS row_count FROM orders WHERE {c} IS NOT NULL GROUP BY 2" for c, t in _TEXTS.items())
+
+
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    return plans.value_index(table(spark, folder, "orders"), _INDEXED)
+
+
+def _predicates(data: Dataset) -> dict:
+    bind = data.bind
+    return {
+        "urgent": bind(FilterSpec("o_orderpriority", "eq", ("1-URGENT",))),
+        "open_or_partial": bind(FilterSpec("o_orderstatus", "in", ("O", "P"))),
+        "dear": bind(FilterSpec("o_totalprice", "gte", (300000,))),
+        "year_1995": bind(FilterSpec("o_orderdate", "between", ("1995-01-01", "1995-12-31 23:59:59"))),
+    }
+
+
+def _suggest(text: str, context: tuple[FilterSpec, ...] = ()) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        data = dataset(spark, folder, "orders").context(context)
+        index = plans.value_index(data.df, ["o_orderstatus", "o_orderpriority"])
+        response = Suggester(ORDERS, None, NOW).suggest(text, index, data.df, data.bind, 10, bool(context))
+        return spark.createDataFrame(to_rows(response), SCHEMA)
+
+    return run
+
+
+def _compiled(text: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        data = dataset(spark, folder, "orders")
+        index = plans.value_index(data.df, ["o_orderstatus", "o_orderpriority"])
+        spec = parse.assign(parse.find_matches(text, ORDERS, index, NOW), ORDERS).spec
+        return data.execute(spec).select("o_orderkey", spec.column)
+
+    return run
+
+
+def _parse_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    data = dataset(spark, folder, "orders")
+    index = plans.value_index(data.df, ["o_orderstatus", "o_orderpriority"])
+    texts = ["priority eq 1-URGENT", "status in F O", "price between 1000 2000", "ordered before 1995-01-01", "price"]
+    rows = []
+    for text in texts:
+        p = parse.assign(parse.find_matches(text, ORDERS, index, NOW), ORDERS)
+        rows.append((text, p.column, p.operator, ",".join(a.start.isoformat() if hasattr(a, "start") else str(a) for a in p.args), "; ".join(p.errors)))
+    return spark.createDataFrame(rows, "text string, column_id string, operator string, args string, errors string")
+
+
+def _sort_nulls_last(spark: SparkSession, folder: str) -> DataFrame:
+    ordered = dataset(spark, folder, "labelled").sort("quality", True)
+    return ordered.select("doc_id", "quality").limit(500)
+
+
+def _first_wins(spark: SparkSession, folder: str) -> DataFrame:
+    """The first order of each customer and status."""
+    orders = table(spark, folder, "orders")
+    return orders.groupBy("o_custkey", "o_orderstatus").agg(F.min_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("x")).select("o_custkey", "o_orderstatus", "x.o_orderkey", "x.o_totalprice")
+
+
+_OTHER: dict[str, tuple[Query, str | None]] = {
+    "flagship_facets": (flagship, "SELECT 'l_linestatus' AS column_id, l_linestatus AS value, count(*) AS row_count FROM lineitem WHERE l_returnflag = 'R' AND l_quantity BETWEEN 10 AND 20 GROUP BY 2"),
+    "contains_array": (
+        lambda s, f: Dataset(table(s, f, "part").select("p_partkey", F.split("p_name", " ").alias("words")), Catalog.of(dict(id="words", type="array")), ("p_partkey",)).execute(FilterSpec("words", "contains", ("e,b",))).select("p_partkey", F.array_join("words", ",").alias("words")),
+        "SELECT p_partkey, replace(p_name, ' ', ',') AS words FROM part WHERE contains(replace(p_name, ' ', ','), 'e,b')",
+    ),
+    "filter_count": (lambda s, f: dataset(s, f, "orders").count(FilterSpec("o_orderstatus", "in", ("F", "P"))), "SELECT count(*) AS count FROM orders WHERE o_orderstatus IN ('F', 'P')"),
+    "merged_counts": (
+        lambda s, f: plans.merged_counts((d := dataset(s, f, "orders")).df, _predicates(d)),
+        "SELECT count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS open_or_partial, count(*) FILTER (o_totalprice >= 300000) AS dear, count(*) FILTER (o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31 23:59:59') AS year_1995 FROM orders",
+    ),
+    "stacked_context_counts": (
+        lambda s, f: plans.merged_counts((d := dataset(s, f, "orders").context([FilterSpec("o_orderstatus", "eq", ("F",)), FilterSpec("o_totalprice", "gt", (100000,))])).df, _predicates(d)),
+        "SELECT count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS open_or_partial, count(*) FILTER (o_totalprice >= 300000) AS dear, count(*) FILTER (o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31 23:59:59') AS year_1995 FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000",
+    ),
+    "value_index": (_index, INDEX_SQL),
+    "value_index_merge": (
+        lambda s, f: merge_index(plans.value_index((o := table(s, f, "orders")).where("o_orderkey % 2 = 0"), _INDEXED), plans.value_index(o.where("o_orderkey % 2 <> 0"), _INDEXED)),
+        INDEX_SQL,
+    ),
+    "cardinality": (lambda s, f: plans.cardinality(_index(s, f)), f"SELECT column_id, count(*) AS cardinality FROM ({INDEX_SQL}) GROUP BY 1"),
+    "top_values": (lambda s, f: plans.top_values(_index(s, f), 10), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY row_count DESC, value) AS rank FROM ({INDEX_SQL})) WHERE rank <= 10"),
+    "index_stats": (lambda s, f: plans.index_stats(table(s, f, "orders"), _index(s, f)), f"SELECT (SELECT count(*) FROM orders) AS total_rows, count(DISTINCT column_id) AS columns_indexed, count(DISTINCT lower(value)) AS unique_values FROM ({INDEX_SQL})"),
+    "context_available_values": (
+        lambda s, f: plans.available_values((d := dataset(s, f, "events").context([FilterSpec("event_type", "eq", ("click",))])).df.select("event_type", "user_id"), Catalog(tuple(c for c in EVENTS.columns if c.id in ("event_type", "user_id")))),
+        "SELECT DISTINCT 'event_type' AS column_id, event_type AS value FROM events WHERE event_type = 'click' UNION ALL SELECT DISTINCT 'user_id', user_id::VARCHAR FROM events WHERE event_type = 'click'",
+    ),
+    "row_ids": (lambda s, f: dataset(s, f, "orders").with_row_id("o_orderkey").select("o_orderkey", "_row_id"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id FROM orders"),
+    "sort_nulls_last": (_sort_nulls_last, f"SELECT doc_id, quality FROM {_TABLES['labelled'][3]} ORDER BY quality DESC NULLS LAST, doc_id LIMIT 500"),
+    "top_k": (lambda s, f: dataset(s, f, "orders").top("o_totalprice", 25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25"),
+    "first_wins_dedupe": (_first_wins, "SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2"),
+    "event_counts": (lambda s, f: telemetry.event_counts(table(s, f, "events"), "event_type"), "SELECT event_type AS operation, count(*) AS n FROM events GROUP BY 1"),
+    "mean_by_type": (lambda s, f: telemetry.mean_durations(table(s, f, "events"), "event_type", "value"), "SELECT event_type AS operation, floor(avg(value) * 100 + 0.5) / 100 AS mean_duration FROM events GROUP BY 1"),
+    "percentiles_floor": (
+        lambda s, f: telemetry.percentiles(table(s, f, "events"), (0.5, 0.95, 0.99), "event_type", "value").select("operation", "count", "min", "max", F.round("mean", 6).alias("mean"), "p50", "p95", "p99"),
+        "SELECT event_type AS operation, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, " + ", ".join(f"list_sort(list(value))[floor(count(*) * {p})::BIGINT + 1] AS p{round(p * 100)}" for p in (0.5, 0.95, 0.99)) + " FROM events GROUP BY 1",
+    ),
+    "error_rate": (lambda s, f: telemetry.error_rate(table(s, f, "events"), F.col("event_type") == "error"), "SELECT coalesce(floor(count(*) FILTER (event_type = 'error') * 1.0 / nullif(count(*), 0) * 10000 + 0.5) / 100, 0) AS error_rate FROM events"),
+    "slowest_10": (lambda s, f: table(s, f, "events").orderBy(F.desc("value"), "event_id").limit(10).select("event_id", "event_type", "value"), "SELECT event_id, event_type, value FROM events ORDER BY value DESC, event_id LIMIT 10"),
+    "phase_averages": (
+        lambda s, f: telemetry.phase_averages(table(s, f, "events").select(F.col("event_type").alias("operation"), F.create_map(F.lit("all"), F.col("value"), F.lit("rest"), F.col("value") - F.floor("value")).alias("phases"))).withColumn("mean_ms", F.col("mean_ms").cast("double")),
+        "SELECT event_type AS operation, 'all' AS phase, floor(avg(value) * 100 + 0.5) / 100 AS mean_ms FROM events GROUP BY 1 UNION ALL SELECT event_type, 'rest', floor(avg(value - floor(value)) * 100 + 0.5) / 100 FROM events GROUP BY 1",
+    ),
+    "outcome_counts": (
+        lambda s, f: telemetry.outcome_counts(table(s, f, "events").select(F.col("event_type").alias("operation"), F.when(F.col("value") > 100, "error").when(F.col("value") > 50, "cancelled").otherwise("success").alias("outcome"))),
+        "SELECT event_type AS operation, count(*) FILTER (value <= 50) AS success, count(*) FILTER (value > 100) AS error, count(*) FILTER (value > 50 AND value <= 100) AS cancelled FROM events GROUP BY 1",
+    ),
+    "event_rollup": (
+        lambda s, f: event_rollup(table(s, f, "events"), "ts", "event_type", "value", "1 day").withColumn("mean_duration", F.round("mean_duration", 6)),
+        "SELECT date_trunc('day', ts) AS window_start, event_type AS operation, count(*) AS n, round(avg(value), 6) AS mean_duration, max(value) AS max_duration FROM events GROUP BY 1, 2",
+    ),
+    "subsequence_candidates": (lambda s, f: parse.subsequence_candidates(plans.value_index(table(s, f, "part"), ["p_name"]), "sml"), "SELECT 'p_name' AS column_id, p_name AS value, count(*) AS row_count FROM part WHERE regexp_matches(lower(p_name), 's.*?m.*?l') GROUP BY 2"),
+    "prefix_candidates": (lambda s, f: parse.prefix_candidates(plans.value_index(table(s, f, "part"), ["p_brand"]), "brand#2"), "SELECT 'p_brand' AS column_id, p_brand AS value, count(*) AS row_count FROM part WHERE starts_with(lower(p_brand), 'brand#2') GROUP BY 2"),
+    "value_candidates": (lambda s, f: parse.value_candidates(plans.value_index(table(s, f, "part"), ["p_name", "p_brand", "p_type"]), ["re", "brand", "eco"]), None),
+    "tokenize_col": (
+        lambda s, f: table(s, f, "part").select("p_partkey", F.array_join(tokens_column(F.col("p_name")), "|").alias("tokens")),
+        r"""SELECT p_partkey, array_to_string(regexp_extract_all(p_name, '("[^"]*"|''[^'']*''|>=|<=|!=|==|<>|[<>=~]|[^\s"''<>=~]+)'), '|') AS tokens FROM part""",
+    ),
+    "ngrams_col": (
+        lambda s, f: table(s, f, "part").select("p_partkey", F.array_join(ngrams_column(F.split("p_name", " ")), "|").alias("ngrams")),
+        "SELECT p_partkey, array_to_string(list_concat(list_concat(w, [array_to_string(w[i:i+1], ' ') for i in range(1, len(w))]), list_concat([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)], [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)])), '|') AS ngrams FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)",
+    ),
+    "compile_text": (_compiled("priority in 1-URGENT 2-HIGH"), "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+    "compile_number": (_compiled("price gt 250000.5"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000.5"),
+    "compile_date_phrase": (_compiled("ordered before 1995-03-15"), "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-15'"),
+    "date_phrase_last_week": (
+        lambda s, f: dataset(s, f, "events").execute(FilterSpec("ts", "between", ("last week",))).select("event_id", "ts"),
+        "SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-15 23:59:59.999'",
+    ),
+    "suggest_ranked": (_suggest("priority urgent"), None),
+    "suggest_in_context": (_suggest("status o", (FilterSpec("o_totalprice", "gt", (200000,)),)), None),
+    "parse_tokens": (_parse_tokens, None),
+    "add_rows": (
+        lambda s, f: Dataset(table(s, f, "supplier"), Catalog.infer(table(s, f, "supplier").schema), ("s_suppkey",)).add(table(s, f, "supplier").select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), F.upper("s_name").alias("s_name"), "s_nationkey", "s_acctbal")).df,
+        "SELECT * FROM supplier UNION ALL SELECT s_suppkey + 1000000, upper(s_name), s_nationkey, s_acctbal FROM supplier",
+    ),
+    "update_rows": (
+        lambda s, f: Dataset(n := table(s, f, "nation"), Catalog.infer(n.schema), ("n_nationkey",)).update(n.where("n_regionkey = 1").select("n_nationkey", F.lower("n_name").alias("n_name"), "n_regionkey")).df,
+        "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation",
+    ),
+    "remove_rows": (lambda s, f: Dataset(n := table(s, f, "nation"), Catalog.infer(n.schema), ("n_nationkey",)).remove(FilterSpec("n_regionkey", "in", (1, 3))).df, "SELECT * FROM nation WHERE n_regionkey NOT IN (1, 3)"),
+    "remove_row": (lambda s, f: Dataset(n := table(s, f, "nation"), Catalog.infer(n.schema), ("n_nationkey",)).remove_key(7).df, "SELECT * FROM nation WHERE n_nationkey <> 7"),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: _filter(name) for name in FILTERS} | {name: q for name, (q, _) in _OTHER.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: _filter_sql(name) for name in FILTERS} | {name: sql for name, (_, sql) in _OTHER.items() if sql}

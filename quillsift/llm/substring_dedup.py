@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import blocks, small_batches, utf8
@@ -37,18 +37,28 @@ from quillsift.llm.common import blocks, small_batches, utf8
 #: Words of an anchor's hash.
 GRAM = 5
 #: Words that a worker indexes at once; a larger anchor hash is indexed by itself.
-PART_WORDS = 1_000_000
+PART_WORDS = 300_000
+#: Bytes of text in which a worker looks for anchors at once; a longer text is handled alone.
+SCAN_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _LAST = (1 << 63) - 1
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """The first n powers modulo 2**64; those of a block's size are kept."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 2 * SCAN_BYTES), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        np.multiply.accumulate(out, out=out)
+        if n > len(out) // 2 + 1:
+            return out[:n]
+        _POWERS[base] = out
+    return _POWERS[base][:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -215,7 +225,7 @@ def _find_anchors(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
-            for begin, end in blocks(texts):
+            for begin, end in blocks(texts, SCAN_BYTES):
                 doc, start, count, h = anchors(texts[begin:end], size)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids[begin:end][doc], pa.int64()), pa.array(start << 8 | count, pa.int64())], ["h", "d", "place"])
 
@@ -304,18 +314,25 @@ def _search_shard(size: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__d"), F.xxhash64(text_col).alias("__k"), F.col(text_col).alias("__text"), *docs.columns)
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
+
 
+def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs by document. Both joins with it read the same columns, so that the second finds the exchange of the first."""
+    return small_batches(docs).select(_key(id_col).alias("__d"), *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)))
 
-def repeats(docs: DataFrame, keyed: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+
+def repeats(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Intervals of words [first, end) to remove, by document (REPEATS)."""
     # the first pass reads the table itself, not the exchange of texts
-    found = _keyed(docs, id_col, text_col).select("__d", "__text").mapInArrow(_find_anchors(size), "h long, d long, place long")
+    found = small_batches(docs).select(_key(id_col).alias("d"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_find_anchors(size), "h long, d long, place long")
     shared = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     places = shared.groupBy("d").agg(F.collect_list(F.struct("h", "place")).alias("places"))
-    met = keyed.join(places, F.col("__d") == F.col("d")).select("__d", "__k", "__text", "places", *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)))
-    segments = met.mapInArrow(_cut_segments(size), SEGMENTS)
+    text = F.col(f"__c{docs.columns.index(text_col)}")
+    met = _keyed(docs, id_col).join(places, F.col("__d") == F.col("d"))
+    rest = [F.col(f"__c{i}") for i, c in enumerate(docs.columns) if c != text_col]  # read, as the exchange is shared
+    segments = met.select("__d", F.xxhash64(text).alias("k"), text, "places", F.struct(F.lit(0), *rest)).mapInArrow(_cut_segments(size), SEGMENTS)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return segments.repartition(width, "h").sortWithinPartitions("h", "d", "k", "start").mapInArrow(_search_shard(size), REPEATS)
 
@@ -333,9 +350,9 @@ def _kept(text: bytes, k: int, gone: list[dict] | None) -> tuple[int, np.ndarray
 
 
 def _marked(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    keyed = _keyed(docs, id_col, text_col)
-    gone = repeats(docs, keyed, size, id_col, text_col).groupBy("d").agg(F.collect_list(F.struct("k", "first", "end")).alias("gone"))
-    return keyed.join(gone, F.col("__d") == F.col("d"), "left")
+    """docs, with columns __c0 and so on, and each one's hash and removed words."""
+    gone = repeats(docs, size, id_col, text_col).groupBy("d").agg(F.collect_list(F.struct("k", "first", "end")).alias("gone"))
+    return _keyed(docs, id_col).join(gone, F.col("__d") == F.col("d"), "left").withColumn("__k", F.xxhash64(f"__c{docs.columns.index(text_col)}"))
 
 
 def digests(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,8 +371,8 @@ def digests(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: s
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    marked = _marked(docs, size, id_col, text_col)
-    return marked.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), "__k", "__text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked = _marked(docs.select(f"`{id_col}`", f"`{text_col}`"), size, id_col, text_col)
+    return marked.select(F.col("__c0").cast("long").alias("doc_id"), "__k", F.col("__c1").alias("text"), "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def kept_text(text: bytes, stay: np.ndarray) -> bytes:
@@ -367,19 +384,19 @@ def kept_text(text: bytes, stay: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without their repeated words; a document of which nothing is left goes."""
-    place = docs.columns.index(text_col)
+    docs_columns = docs.columns
+    place = docs_columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stays = [], []
-            gone_all = batch.column(2).to_pylist()
-            for k, text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gone_all, strict=True):
+            columns = batch.columns[2:]
+            for k, text, gone in zip(batch.column(0).to_pylist(), columns[place].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 stay = _kept((text or "").encode(), k, gone)[1] if gone else None
                 texts.append(text if stay is None else kept_text(text.encode(), stay).decode())
                 stays.append(stay is None or bool(stay.any()))
-            columns = batch.columns[3:]
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[3:]).filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays(columns, docs_columns).filter(pa.array(stays))
 
     marked = _marked(docs, size, id_col, text_col)
-    return marked.select("__k", "__text", "gone", *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+    return marked.select("__k", "gone", *(f"__c{i}" for i in range(len(docs_columns)))).mapInArrow(run, docs.schema)

@@ -4,7 +4,8 @@ A window is `size` consecutive words. A window that also starts earlier (in a do
 is a repeat, and its words are removed. All windows of all documents are compared:
 
 1. Every window has an anchor, the least of its five-word hashes, which its words alone decide. Consecutive windows with one
-   anchor are a segment. Only (anchor hash, document, place) is shuffled, about one row for eight words.
+   anchor are a segment. Only (anchor hash, document, places) is shuffled, about one row for eight words; a text that repeats itself
+   has one row for each hash.
 2. A window whose anchor hash occurs once in the corpus can't be repeated. The segments of the others go, with their words, to the
    shard of their anchor hash, so that equal windows always meet, however many documents and shards there are.
 3. Each shard, in parts that end between anchor hashes, builds an FM-index over its distinct segments (words as symbols, suffixes sorted to
@@ -14,12 +15,12 @@ is a repeat, and its words are removed. All windows of all documents are compare
    position in the interval says whether the window has an earlier occurrence.
 4. Intervals of repeated words go back to their documents. Both meetings with the texts use the same exchange.
 
-Segments equal to one before under the same anchor are repeats as a whole and aren't indexed, so that hot groups of copies cost
-one comparison each. Memory is bounded by the distinct segments of the largest anchor hash.
+Segments equal to one before, in their document or under the same anchor, are repeats as a whole and aren't indexed, so that hot groups
+of copies cost one comparison each. Memory is bounded by the distinct segments of the largest anchor hash.
 
 Words are runs of characters other than ASCII white space. Cases: a null or empty text has no words and is left alone; texts of fewer words
 than a window are left alone; rows with the same id and text are one document, and are changed alike; other rows with the same
-id are ordered by their text's hash; a null id comes after all others; an empty table gives an empty table; other columns are carried through.
+id are ordered by their text's hash (places of such texts are told apart by 23 bits of hash); a null id comes after all others; an empty table gives an empty table; other columns are carried through.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +77,13 @@ def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each segment: number of its text, first window's first word, windows, anchor hash."""
+    """For each text and anchor hash: number of the text, hash; and offsets into the segments' places (first word << 8 | windows)."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     starts, ends = word_places(raw)
     width = size - GRAM + 1
-    none = np.empty(0, np.int64)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int32), np.empty(0, np.int64)
     if len(starts) < size:
-        return none, none, none, none
+        return none
     # hashes of words, by sums of bytes times powers of an odd number modulo 2**64
     power = _powers(_P, len(raw) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1])])
@@ -105,13 +107,17 @@ def anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.n
     doc = np.searchsorted(doc_bytes, starts, side="right") - 1
     window = np.flatnonzero(doc[: len(at)] == doc[size - 1 : size - 1 + len(at)])
     if not len(window):
-        return none, none, none, none
+        return none
     place = at[window]
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[window[1:]] != doc[window[:-1]])])
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(window)))
-    which = doc[window[head]]
-    return which, window[head] - first_word[which], count, gram[place[head]].view(np.int64)
+    which, h = doc[window[head]], gram[place[head]].view(np.int64)
+    order = np.lexsort((h, which))  # stable: places stay in order
+    which, h, head, count = which[order], h[order], head[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (h[1:] != h[:-1])]))
+    places = (window[head] - first_word[which]) << 8 | count
+    return which[first], h[first], np.append(first, len(h)).astype(np.int32), places
 
 
 class WaveletMatrix:
@@ -217,17 +223,26 @@ class FMIndex:
         return out
 
 
-SEGMENTS = "h long, d long, k long, start int, windows int, words binary"
+#: more: where the same segment starts again in its document.
+SEGMENTS = "h long, d long, k long, start int, windows int, words binary, more array<int>"
 REPEATS = "d long, k long, first int, end int"
 
 
+def _tag(text: bytes) -> int:
+    """23 bits that tell texts of one id apart."""
+    return xxhash.xxh3_64_intdigest(text) >> 41
+
+
 def _find_anchors(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
             for begin, end in blocks(texts, SCAN_BYTES):
-                doc, start, count, h = anchors(texts[begin:end], size)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids[begin:end][doc], pa.int64()), pa.array(start << 8 | count, pa.int64())], ["h", "d", "place"])
+                doc, h, offsets, places = anchors(texts[begin:end], size)
+                tags = np.fromiter(map(_tag, texts[begin:end]), np.int64, end - begin)
+                places |= np.repeat(tags[doc], np.diff(offsets)) << 40
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids[begin:end][doc], pa.int64()), lists], ["h", "d", "places"])
 
     return run
 
@@ -240,14 +255,17 @@ def _cut_segments(size: int):
             for first, last in blocks(texts):
                 rows: list[tuple] = []
                 for i in range(first, last):
-                    words = texts[i].split()
+                    words, tag = texts[i].split(), _tag(texts[i])
                     for x in batch.column(3)[i].as_py():
-                        start, count = x["place"] >> 8, x["place"] & 255
-                        if start + count + size - 1 <= len(words):  # else it is of another row with this id
-                            rows.append((x["h"], d[i], k[i], start, count, b" ".join(words[start : start + count + size - 1])))
+                        own: dict[bytes, list[int]] = {}
+                        for place in x["places"]:
+                            start, count = place >> 8 & 0xFFFFFFFF, place & 255
+                            if place >> 40 == tag:  # else it is of another row with this id
+                                own.setdefault(b" ".join(words[start : start + count + size - 1]), []).append(start)
+                        rows += [(x["h"], d[i], k[i], at[0], segment.count(b" ") + 2 - size, segment, at[1:]) for segment, at in own.items()]
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "d", "k", "start", "windows", "words"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "d", "k", "start", "windows", "words", "more"])
 
     return run
 
@@ -278,7 +296,7 @@ def _search_shard(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
         part_words = 0
-        hash_now, last, own, seen, out = None, None, [], set(), []
+        hash_now, last, reach, own, seen, out = None, None, 0, [], set(), []
 
         def close() -> None:
             nonlocal part_words
@@ -287,16 +305,19 @@ def _search_shard(size: int):
                 part_words += sum(row[3] + size for row in own)
 
         for batch in batches:
-            for h, d, k, start, windows, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, d, k, start, windows, words, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != hash_now:
                     close()
                     if part_words > PART_WORDS:
                         out += search(part)
                         part, part_words = [], 0
                     hash_now, last, own, seen = h, None, [], set()
-                if (d, k, start) == last:
+                out += [(d, k, again, again + windows - 1 + size) for again in more]
+                if (d, k) != last:
+                    last, reach = (d, k), 0
+                if start < reach:
                     continue  # a repeated row
-                last = d, k, start
+                reach = start + windows
                 if words in seen:
                     out.append((d, k, start, start + windows - 1 + size))
                 else:
@@ -326,9 +347,9 @@ def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
 def repeats(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Intervals of words [first, end) to remove, by document (REPEATS)."""
     # the first pass reads the table itself, not the exchange of texts
-    found = small_batches(docs).select(_key(id_col).alias("d"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_find_anchors(size), "h long, d long, place long")
-    shared = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    places = shared.groupBy("d").agg(F.collect_list(F.struct("h", "place")).alias("places"))
+    found = small_batches(docs).select(_key(id_col).alias("d"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_find_anchors(size), "h long, d long, places array<long>")
+    shared = found.withColumn("n", F.sum(F.size("places")).over(Window.partitionBy("h"))).where("n > 1")
+    places = shared.groupBy("d").agg(F.collect_list(F.struct("h", "places")).alias("places"))
     text = F.col(f"__c{docs.columns.index(text_col)}")
     met = _keyed(docs, id_col).join(places, F.col("__d") == F.col("d"))
     rest = [F.col(f"__c{i}") for i, c in enumerate(docs.columns) if c != text_col]  # read, as the exchange is shared

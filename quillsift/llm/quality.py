@@ -137,7 +137,8 @@ def fit(labelled: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> QualityModel:
             b += z.T @ batch.column(1).to_numpy().astype(float)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
 
-    parts = sample.select("x", "y").mapInArrow(sums, "a binary, b binary").collect()  # FIT_PARTITIONS rows
+    # coalesced, so that there are as few sums whatever the session makes of the partitions
+    parts = sample.select("x", "y").coalesce(FIT_PARTITIONS).mapInArrow(sums, "a binary, b binary").collect()  # at most FIT_PARTITIONS rows
     a = sum(np.frombuffer(p["a"]).reshape(size, size) for p in parts)
     b = sum(np.frombuffer(p["b"]) for p in parts)
     weights = np.linalg.solve(a + RIDGE * row["n"] / size * np.eye(size), b)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import cut
 
 
+#: Edges in a partition between rounds.
+PART_EDGES = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     """A fingerprint of the edge set."""
     h = F.xxhash64("u", "v")
@@ -38,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)).coalesce(-(-state[0] // PART_EDGES)))
         before, state = state, _state(edges)
         if state == before:
             break

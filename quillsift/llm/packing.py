@@ -4,8 +4,8 @@ Documents are tokenised to piece lengths on the executors. The plan depends only
 there are of each length, a table of at most `capacity` rows at any corpus size, so it is made on the
 driver: for each length, longest first, combinations of one, two or three shorter lengths that fill
 the gap exactly are looked up by their sum and consumed as often as the counts allow; what is left
-goes by best fit. The plan names slots (length, from rank, to rank, first sequence, offset). Pieces
-then get their rank within their length, spread over range partitions, and find their slot.
+goes by best fit. Of the plans with up to three, two, one and no combined lengths, the shortest is taken. The plan names slots (length, first rank, first sequence, offset). Pieces then get their rank
+within their length, hot lengths in buckets, and find their slot.
 
 Cases: a null text is empty and has the one closing token; no rows give no rows; repeated rows are packed
 as often as they come; a null id is carried; other columns are not read.
@@ -13,13 +13,14 @@ as often as they come; a null id is carried; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import blocks, cut, quiet_threads, small_batches, utf8
@@ -27,18 +28,26 @@ from quillsift.llm.common import blocks, cut, quiet_threads, small_batches, utf8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Entries of a worker's table from white-space separated strings to ids.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
+#: Pieces of one length that are ranked together at least.
+BUCKET_ROWS = 2000
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: A worker's encoders, kept from task to task.
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
+def _ends_in_letter(text: bytes) -> bool:
+    """Also in normal form and in lower case, where a letter can become a letter and a combining mark."""
+    return unicodedata.normalize("NFC", text[-4:].decode("utf-8", "ignore")).lower()[-1:].isalpha()
+
+
 class ChunkEncoder:
     """Token ids as little-endian bytes, by the tokenizers library, each distinct string once.
 
     ASCII white space always ends a token of this vocabulary and gives none itself, so the ids of a text are
     those of its white-space separated strings in order. The vocabulary is one of lower case, so that A-Z may be
-    lowered first, except where special tokens are written out. A mark after an ASCII letter or digit is a token of
-    its own.
+    lowered first, except where special tokens are written out. The ASCII marks after a string's last letter or
+    digit are tokens of their own.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -50,6 +59,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.entries = entries
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         #: Tokens that end a word. A string of letters is one word, so that many can be encoded in one text and told apart.
         self.ends = np.zeros(1 + max(vocab.values()), bool)
@@ -59,12 +69,14 @@ class ChunkEncoder:
         """Ids of each text; the new strings of a block of texts are learnt together."""
         for begin, end in blocks(texts):
             split = [(t if b"<|" in t else t.lower()).split() for t in texts[begin:end]]
-            new = set().union(*split)
-            if len(self.known) > self.entries:
-                self.known = {w: ids for w in new if (ids := self.known.get(w)) is not None}
-            new.difference_update(self.known)
-            if new:
-                self._learn(new)
+            new: set[bytes] = set().union(*split)
+            if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
+                self.known, self.old = {}, self.known
+            new = new.difference(self.known)
+            again = {w: self.old[w] for w in new if w in self.old}
+            self.known.update(again)
+            if len(again) < len(new):
+                self._learn(new.difference(again))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 
@@ -72,28 +84,33 @@ class ChunkEncoder:
         return next(self.encode_many([text]))
 
     def _learn(self, new: set[bytes]) -> None:
-        marked = {w for w in new if w[-1:] in b".,:" and w[-2:-1].isalnum()}
-        new = (new - marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked).difference(self.known)
-        plain, other = [], []
-        for w in new:
-            text = w.decode()
-            (plain if text.isalpha() else other).append((w, text))
+        plain = [w for w in new if w.isalpha()]  # of ASCII letters
+        marked, other = {}, []
+        for w in new.difference(plain):
+            body = w.rstrip(_MARKS)
+            if len(body) < len(w) and (body[-1:].isalnum() or _ends_in_letter(body)) and b"<|" not in w:
+                marked[w] = body, w[len(body) :]
+            else:
+                other.append(w)
+        parts = set().union(*marked.values()).difference(self.known, new)
+        plain += [w for w in parts if w.isalpha()]
+        mixed, other = [*other, *(w for w in parts if not w.isalpha())], []
+        for w in mixed:
+            (plain if w.decode().isalpha() else other).append(w)
         for at in range(0, len(plain), 200):
             some = plain[at : at + 200]
-            ids = np.asarray(self.tokenizer.encode("\n".join(t for _, t in some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.asarray(self.tokenizer.encode(b"\n".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ends = 4 * np.flatnonzero(self.ends[ids]) + 4
             if len(ends) != len(some):
                 other += some
                 continue
-            raw, begin = ids.tobytes(), 0
-            for (w, _), end in zip(some, (4 * ends).tolist(), strict=True):
-                self.known[w] = raw[begin:end]
-                begin = end
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         for at in range(0, len(other), 10_000):
             some = other[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for (w, _), e in zip(some, found, strict=True))
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in marked)
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        self.known.update((w, self.known[body] + self.known[marks]) for w, (body, marks) in marked.items())
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,9 +164,9 @@ class Plan:
         return {k: np.asarray(v, np.int64) for k, v in out.items()}
 
 
-def _complement(left: np.ndarray, gap: int, pairs: np.ndarray) -> tuple[int, ...]:
-    """One, two or three available lengths that sum to `gap`, the longest first; () if there are none."""
-    if left[gap]:
+def _complement(left: np.ndarray, gap: int, pairs: np.ndarray, most: int) -> tuple[int, ...]:
+    """One, two or three available lengths, at most `most`, that sum to `gap`, the longest first; () if there are none."""
+    if most and left[gap]:
         return (gap,)
     have = left > 0
 
@@ -164,9 +181,9 @@ def _complement(left: np.ndarray, gap: int, pairs: np.ndarray) -> tuple[int, ...
                 return (b, a)
         return ()
 
-    if gap >= 2 and pairs[gap] and (found := two(gap, {})):
+    if most >= 2 and gap >= 2 and pairs[gap] and (found := two(gap, {})):
         return found
-    if gap >= 3:
+    if most >= 3 and gap >= 3:
         first = np.arange(gap - 2, 0, -1)
         for c in first[have[first] & pairs[gap - first]].tolist():
             if found := two(gap - c, {c: 1}):
@@ -175,7 +192,23 @@ def _complement(left: np.ndarray, gap: int, pairs: np.ndarray) -> tuple[int, ...
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
-    """Sequences for `counts` pieces of each length."""
+    """Sequences for `counts` pieces of each length.
+
+    Filling gaps early can leave large pieces without small ones to go with, so plans with fewer combined pieces are
+    made too, down to best fit alone, and the shortest counts; a plan without waste ends the search.
+    """
+    least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    best: Plan | None = None
+    for most in (3, 2, 1, 0):
+        plan = _plan(counts, capacity, most)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> Plan:
     plan = Plan(capacity)
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -194,7 +227,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     for length in range(capacity - 1, 0, -1):
         while left[length]:
             left[length] -= 1  # the piece whose gap is to be filled
-            found = _complement(left, capacity - length, pairs)
+            found = _complement(left, capacity - length, pairs, most)
             left[length] += 1
             if not found:
                 rest[length] += left[length]
@@ -253,38 +286,39 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     slots = plan_packing(counts, capacity).slots()
-    # A hot length is spread over many range partitions by the hash; each partition then holds few lengths,
-    # so that the table of offsets has about as many rows as there are partitions and lengths.
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # A hot length is ranked in buckets, as many as make the largest one a share of a task; there are about as many
+    # buckets as lengths and four times the shuffle partitions together, at any corpus size.
     width = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pieces.repartitionByRange(width, "length", spread).sortWithinPartitions("length")
-    ranged = cut(ranged.withColumn("part", F.spark_partition_id()))
-    held = ranged.groupBy("length", "part").agg(F.count("*").alias("n")).collect()
-    first: dict[tuple[int, int], int] = {}
+    most = max(BUCKET_ROWS, -(-sum(counts.values()) // (4 * width)))
+    hot = {length: -(-n // most) for length, n in counts.items() if n > most}
+    buckets = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), F.col("length").cast("int")), F.lit(1)) if hot else F.lit(1)
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets).cast("int"))
+    first = dict.fromkeys(((length, 0) for length in counts if length not in hot), 0)
     seen: dict[int, int] = defaultdict(int)
-    for r in sorted(held):
-        first[r["part"], r["length"]] = seen[r["length"]]
-        seen[r["length"]] += r["n"]
+    held = dealt.where(F.col("length").isin(list(hot))).groupBy("length", "bucket").agg(F.count("*").alias("n")).collect() if hot else []
+    for length, bucket, n in sorted(map(tuple, held)):
+        first[length, bucket] = seen[length]
+        seen[length] += n
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")  # rows that agree in all are alike
+    ranked = dealt.withColumn("rank", F.row_number().over(order) - 1)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: dict[tuple[int, int], int] = defaultdict(int)
         for batch in batches:
-            lengths, parts = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("length", "part"))
-            sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-            order = np.lexsort((lengths, parts))
-            edges = np.flatnonzero(np.diff(lengths[order]) | np.diff(parts[order])) + 1
+            lengths, buckets, rank = (batch.column(i).to_numpy().astype(np.int64) for i in (3, 5, 6))
+            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+            order = np.lexsort((buckets, lengths))
+            edges = np.flatnonzero(np.diff(lengths[order]) | np.diff(buckets[order])) + 1
             for group in np.split(order, edges) if len(order) else []:
-                key = int(parts[group[0]]), int(lengths[group[0]])
-                rank = first[key] + passed[key] + np.arange(len(group))
-                passed[key] += len(group)
-                table = slots[key[1]]
-                at = np.searchsorted(table[:, 0], rank, side="right") - 1
-                sequence[group] = table[at, 1] + rank - table[at, 0]
+                key = int(lengths[group[0]]), int(buckets[group[0]])
+                at_length = first[key] + rank[group]
+                table = slots[key[0]]
+                at = np.searchsorted(table[:, 0], at_length, side="right") - 1
+                sequence[group] = table[at, 1] + at_length - table[at, 0]
                 offset[group] = table[at, 2]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranged.mapInArrow(run, PACKED)
+    return ranked.select(*names, "bucket", "rank").mapInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

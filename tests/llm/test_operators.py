@@ -399,6 +399,14 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, WORD_BPE, capacity).count() == 0
 
 
+def test_packing_hot_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 50)
+    docs = spark.createDataFrame([(i, "one" if i % 3 else "a b c d e " * (i % 17)) for i in range(3000)] + [(1, "one")] * 40, "doc_id long, text string").repartition(6)
+    got = packing.pack_documents(docs, WORD_BPE, 100).collect()
+    assert len(got) >= 3040
+    assert check_sequences(got, 100) <= 1.02 * sum(r["length"] for r in got) / 100 + 1
+
+
 def check_sequences(got, capacity):
     sequences = defaultdict(list)
     for r in got:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import row_key
+from quillsift.llm.common import cut, row_key
 
 #: log2 of the buckets of a sketch, and its relative standard error times six: beyond it an estimate is taken as certain.
 LG_K = 12
@@ -40,14 +40,15 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     low, high = min_sites * (1 - MARGIN) - 1, min_sites * (1 + MARGIN) + 1
     some = sketched.where(F.col("estimate") >= low)
     near = some.where(F.col("estimate") <= high).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("x")).groupBy("h1", "h2").agg(F.count("site").alias("sites"))
+    # distinct pairs first: a line has at most as many rows as sites from then on
+    exact = lines.select("h1", "h2", "site").distinct().join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("site").alias("sites"))
     return some.join(exact, ["h1", "h2"], "left").where((F.col("estimate") > high) | (F.col("sites") >= min_sites)).select("h1", "h2", "first")
 
 
 def mark_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with n_lines, n_removed and kept_text (null for a null text)."""
     lines = _lines(docs, id_col, text_col, site_col)
-    spread_lines = spread(lines, min_sites)
+    spread_lines = cut(spread(lines, min_sites))  # apart from the join, whose hot lines Spark can split then
     here = F.struct("k1", "k2", "pos")
     first = F.struct(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))
     removed = lines.join(spread_lines, ["h1", "h2"]).where(here != first).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))

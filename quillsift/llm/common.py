@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a worker handles at once; longer documents are handled alone.
 BLOCK_BYTES = 4 << 20
 #: Bytes of an Arrow batch between Spark and its Python workers; one row can be larger.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

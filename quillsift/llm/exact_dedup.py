@@ -111,7 +111,8 @@ def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     recipes = cut(recipes_of(docs, id_col, text_col))
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    # checkpointed apart from the join, whose hot groups Spark can split then
+    groups = cut(recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")))
     rows = recipes.select("doc_id", "sha", "recipe", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
     return rows.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")

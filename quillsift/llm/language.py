@@ -36,7 +36,7 @@ UNKNOWN = "und"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: Documents whose vectors are held at once, and bytes of their texts.
-_ROWS, _BYTES = 64, 1 << 20
+_ROWS, _BYTES = 64, 1 << 18
 
 
 def has_letter(text: bytes) -> bool:

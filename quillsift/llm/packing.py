@@ -28,7 +28,7 @@ from quillsift.llm.common import blocks, cut, quiet_threads, small_batches, utf8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Entries of a worker's table from white-space separated strings to ids.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_000_000
 #: Pieces of one length that are ranked together at least.
 BUCKET_ROWS = 2000
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -68,25 +68,33 @@ class ChunkEncoder:
     def encode_many(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text; the new strings of a block of texts are learnt together."""
         for begin, end in blocks(texts):
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[begin:end]]
-            new: set[bytes] = set().union(*split)
             if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
                 self.known, self.old = {}, self.known
-            new = new.difference(self.known)
+            held: list[tuple[list[bytes], list[bytes | None]]] = []
+            new: set[bytes] = set()
+            for t in texts[begin:end]:
+                words = (t if b"<|" in t else t.lower()).split()
+                ids = list(map(self.known.get, words))
+                if None in ids:
+                    new.update([w for w, i in zip(words, ids, strict=True) if i is None])
+                held.append((words, ids))
             again = {w: self.old[w] for w in new if w in self.old}
             self.known.update(again)
             if len(again) < len(new):
                 self._learn(new.difference(again))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+            known = self.known
+            for words, ids in held:
+                yield b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
 
     def encode(self, text: bytes) -> bytes:
         return next(self.encode_many([text]))
 
     def _learn(self, new: set[bytes]) -> None:
-        plain = [w for w in new if w.isalpha()]  # of ASCII letters
+        plain, rest = [], []  # of ASCII letters, and not
+        for w in new:
+            (plain if w.isalpha() else rest).append(w)
         marked, other = {}, []
-        for w in new.difference(plain):
+        for w in rest:
             body = w.rstrip(_MARKS)
             if len(body) < len(w) and (body[-1:].isalnum() or _ends_in_letter(body)) and b"<|" not in w:
                 marked[w] = body, w[len(body) :]
@@ -97,9 +105,9 @@ class ChunkEncoder:
         mixed, other = [*other, *(w for w in parts if not w.isalpha())], []
         for w in mixed:
             (plain if w.decode().isalpha() else other).append(w)
-        for at in range(0, len(plain), 200):
-            some = plain[at : at + 200]
-            ids = np.asarray(self.tokenizer.encode(b"\n".join(some).decode(), add_special_tokens=False).ids, "<u4")
+        parts = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        for some, found in zip(parts, self.tokenizer.encode_batch_fast([b"\n".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, "<u4")
             ends = 4 * np.flatnonzero(self.ends[ids]) + 4
             if len(ends) != len(some):
                 other += some

@@ -5,7 +5,7 @@ over the documents that is checkpointed. Random Fourier features of the standard
 partition of the labelled rows sums its part of the normal equations; the driver adds at most FIT_PARTITIONS of these, solves
 them, and fits a monotone map from raw scores to label rates by pooling adjacent violators.
 
-The fit uses at most `max_fit_rows` labelled rows, those with the least hash of the id; statistics and scores cover every row.
+The fit uses about `max_fit_rows` labelled rows at most, those with the least hashes of their ids; statistics and scores cover every row.
 
 Cases: a null or empty text has statistics of zero and gets a score like any other; labels that are null are not
 learnt from; without labels every score is 0.5, with one label only it is that label; a null id is never learnt from and
@@ -120,7 +120,10 @@ class QualityModel:
 
 def fit(labelled: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> QualityModel:
     """From rows (doc_id, x, y)."""
-    sample = cut(labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_fit_rows).repartition(FIT_PARTITIONS, "doc_id").sortWithinPartitions("doc_id", "y"))
+    n = labelled.count()
+    if n > max_fit_rows:
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < max_fit_rows / n * (1 << 30))
+    sample = cut(labelled.repartition(FIT_PARTITIONS, "doc_id").sortWithinPartitions("doc_id", "y"))
     each = [F.col("x")[i] for i in range(STATISTICS)]
     row = sample.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(each)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(each))).first()
     if not row["n"] or row["y"] in (0.0, 1.0):

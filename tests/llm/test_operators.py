@@ -136,8 +136,10 @@ def test_lines(spark, docs, none, least):
     df = docs.where("doc_id NOT IN (3, 5)")
     got = {r["doc_id"]: r["kept_text"] for r in line_dedup.mark_lines(df, least).collect()}
     assert got == {data[i][0]: t for i, t in brute_lines(data, least).items()}
-    kept = line_dedup.dedup_lines(df, least)
-    assert kept.schema == df.schema
+    clashing = df.withColumns({"n_lines": F.lit(1), "n_removed": F.lit("x"), "kept_text": F.lit("y")})
+    kept = line_dedup.dedup_lines(clashing, least)
+    assert kept.columns == clashing.columns and [f.dataType for f in kept.schema] == [f.dataType for f in clashing.schema]
+    assert {r["n_removed"] for r in kept.collect()} == {"x"}
     assert line_dedup.dedup_lines(docs, least).count() > 100
     assert line_dedup.mark_lines(none, least).count() == 0
 
@@ -372,6 +374,15 @@ def test_quality(spark, docs, none):
     assert quality.score_documents(none, known, train, 0.3).count() == 0
 
 
+def test_quality_bounded_sample(spark):
+    r = random.Random(8)
+    data = [(i, "good words here and there." if r.random() < 0.5 else "BAD!! BAD!! BAD!!") for i in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    known = df.select("doc_id", (F.substring("text", 1, 4) == "good").cast("int").alias("quality"))
+    got = quality.score_documents(df, known, F.lit(True), 0.3, max_fit_rows=300).join(known, "doc_id")
+    assert got.where("predicted <> quality").count() == 0
+
+
 def test_pool_adjacent_violators():
     x, y = quality.pool_adjacent_violators(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(y) > 0).all() and y[0] == 0 and y[-1] == 1 and 0.5 in y

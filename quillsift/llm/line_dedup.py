@@ -45,28 +45,32 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     return some.join(exact, ["h1", "h2"], "left").where((F.col("estimate") > high) | (F.col("sites") >= min_sites)).select("h1", "h2", "first")
 
 
-def mark_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """docs with n_lines, n_removed and kept_text (null for a null text)."""
+def _marked(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """docs with __lines, __removed and __kept."""
     lines = _lines(docs, id_col, text_col, site_col)
     spread_lines = cut(spread(lines, min_sites))  # apart from the join, whose hot lines Spark can split then
     here = F.struct("k1", "k2", "pos")
     first = F.struct(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))
-    removed = lines.join(spread_lines, ["h1", "h2"]).where(here != first).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    removed = lines.join(spread_lines, ["h1", "h2"]).where(here != first).groupBy("k1", "k2").agg(F.collect_set("pos").alias("__gone"))
     k1, k2 = row_key(id_col, text_col)
-    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    joined = keyed.join(removed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("gone").alias("__gone")), ["__k1", "__k2"], "left")
+    joined = docs.select("*", k1.alias("__k1"), k2.alias("__k2")).join(removed.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
     parts = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    return joined.select(
-        *(docs[c] for c in docs.columns), F.coalesce(F.size(parts).cast("long"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__gone").cast("long"), F.lit(0)).alias("n_removed"), kept.alias("kept_text")
-    )
+    return joined.select(*(f"`{c}`" for c in docs.columns), F.coalesce(F.size(parts).cast("long"), F.lit(0)).alias("__lines"), F.coalesce(F.size("__gone").cast("long"), F.lit(0)).alias("__removed"), kept.alias("__kept"))
+
+
+def mark_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """docs with n_lines, n_removed and kept_text (null for a null text); columns of docs with these names are replaced."""
+    marked = _marked(docs, min_sites, id_col, text_col, site_col)
+    names = {"__lines": "n_lines", "__removed": "n_removed", "__kept": "kept_text"}
+    return marked.select(*(f"`{c}`" for c in docs.columns if c not in names.values()), *(F.col(a).alias(b) for a, b in names.items()))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with their boilerplate lines taken out; a document of which only blank lines are left goes."""
-    marked = mark_lines(docs, min_sites, id_col, text_col, site_col)
-    stays = (F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^ \n]")
-    return marked.where(stays).select(*(F.col("kept_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    marked = _marked(docs, min_sites, id_col, text_col, site_col)
+    stays = (F.col("__removed") == 0) | F.col("__kept").rlike(r"[^ \n]")
+    return marked.where(stays).select(*(F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(min_sites: int) -> str:

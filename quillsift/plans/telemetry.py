@@ -34,16 +34,24 @@ def error_rate(events: DataFrame, failed: Column) -> DataFrame:
     return events.agg(F.coalesce(F.floor(share * 10000 + 0.5) / 100, F.lit(0.0)).alias("error_rate"))
 
 
-def percentiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99), operation: str = "operation", duration: str = "duration") -> DataFrame:
+def percentiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99), operation: str = "operation", duration: str = "duration", slices: int = 64) -> DataFrame:
     """min, max, mean, count and the values at floor(n * p) in order, from 0, for each operation.
 
-    Distinct durations are counted first (a partial aggregation), so that ranks are sums over distinct values and a hot
-    operation is not one list.
+    Equal durations are counted first (a partial aggregation). Approximate quantiles then cut each operation into slices; a value's rank is its
+    place in its slice plus the rows of the slices before, so that a hot operation is ranked by as many tasks as it has
+    slices. The cuts only say where work is done: ranks are exact.
     """
     counted = events.where(F.col(duration).isNotNull()).groupBy(F.col(operation).alias("operation"), F.col(duration).alias("d")).agg(F.count("*").alias("times"))
-    total = counted.groupBy("operation").agg(F.sum("times").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"))
-    upto = F.sum("times").over(Window.partitionBy("operation").orderBy("d"))
-    ranked = counted.withColumn("upto", upto).join(total.select("operation", "n"), "operation")
+    inner = [i / slices for i in range(1, slices)]
+    total = counted.groupBy("operation").agg(
+        F.sum("times").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"), F.percentile_approx("d", inner, 1000).alias("cuts")
+    )
+    sliced = counted.join(total.select("operation", "n", "cuts"), "operation").select("operation", "d", "times", "n", F.size(F.filter("cuts", lambda x: x < F.col("d"))).alias("slice"))
+    sizes = sliced.groupBy("operation", "slice").agg(F.sum("times").alias("rows"))
+    earlier = F.sum("rows").over(Window.partitionBy("operation").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))  # at most `slices` rows each
+    before = sizes.select("operation", "slice", F.coalesce(earlier, F.lit(0)).alias("before"))
+    upto = F.sum("times").over(Window.partitionBy("operation", "slice").orderBy("d"))
+    ranked = sliced.withColumn("within", upto).join(before, ["operation", "slice"]).withColumn("upto", F.col("within") + F.col("before"))
     names = [f"p{round(p * 100)}" for p in points]
     at = ranked.groupBy("operation").agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("d"))).alias(name) for p, name in zip(points, names, strict=True)))
     return total.join(at, "operation").select("operation", F.col("n").alias("count"), "min", "max", "mean", *names)

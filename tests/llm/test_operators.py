@@ -63,6 +63,17 @@ def collected(df):
     return Counter(tuple(r) for r in df.collect())
 
 
+def test_small_batches(spark):
+    from quillsift.llm.common import BATCH_BYTES, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for before, after in (("64m", BATCH_BYTES), ("1g", BATCH_BYTES), ("67108864b", BATCH_BYTES), ("1k", 1024), (str(BATCH_BYTES), BATCH_BYTES)):
+        spark.conf.set(key, before)
+        small_batches(spark.range(1))
+        assert spark.conf.get(key).rstrip("b") in (str(after), "1k")
+    spark.conf.unset(key)
+
+
 # 1 licences
 
 

@@ -39,8 +39,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches hold at most BATCH_BYTES, as a batch is held several times on its way to Python."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    now = re.fullmatch(r"(-?\d+)([kmgt]?)b?", str(conf.get(key, "-1")).lower())
-    size = int(now[1]) << 10 * " kmgt".index(now[2] or " ") if now else -1
+    now = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(key).lower())
+    size = int(now[1]) << 10 * " kmgt".index(now[2] or " ") if now else 0
     if not 0 < size <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df

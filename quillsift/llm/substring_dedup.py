@@ -16,7 +16,8 @@ is a repeat, and its words are removed. All windows of all documents are compare
 4. Intervals of repeated words go back to their documents. Both meetings with the texts use the same exchange.
 
 Segments equal to one before, in their document or under the same anchor, are repeats as a whole and aren't indexed, so that hot groups
-of copies cost one comparison each. Memory is bounded by the distinct segments of the largest anchor hash.
+of copies cost one comparison each. An anchor hash with very many segments, as at the edges of a very common passage, is dealt out by the
+hashes of its windows, so that a shard never holds more than HOT_ANCHOR segments together.
 
 Words are runs of characters other than ASCII white space. Cases: a null or empty text has no words and is left alone; texts of fewer words
 than a window are left alone; rows with the same id and text are one document, and are changed alike; other rows with the same
@@ -42,6 +43,8 @@ GRAM = 5
 PART_WORDS = 300_000
 #: Bytes of text in which a worker looks for anchors at once; a longer text is handled alone.
 SCAN_BYTES = 1 << 19
+#: With more segments than this, an anchor hash is not one group: each of its windows goes by its own hash.
+HOT_ANCHOR = 20_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _P = 0x9E3779B97F4A7C15 | 1
@@ -257,12 +260,18 @@ def _cut_segments(size: int):
                 for i in range(first, last):
                     words, tag = texts[i].split(), _tag(texts[i])
                     for x in batch.column(3)[i].as_py():
-                        own: dict[bytes, list[int]] = {}
+                        own: dict[tuple[int, bytes], list[int]] = {}
                         for place in x["places"]:
                             start, count = place >> 8 & 0xFFFFFFFF, place & 255
-                            if place >> 40 == tag:  # else it is of another row with this id
-                                own.setdefault(b" ".join(words[start : start + count + size - 1]), []).append(start)
-                        rows += [(x["h"], d[i], k[i], at[0], segment.count(b" ") + 2 - size, segment, at[1:]) for segment, at in own.items()]
+                            if place >> 40 != tag:
+                                continue  # it is of another row with this id
+                            if x["hot"]:
+                                for at in range(start, start + count):
+                                    window = b" ".join(words[at : at + size])
+                                    own.setdefault((xxhash.xxh3_64_intdigest(window) - (1 << 63), window), []).append(at)
+                            else:
+                                own.setdefault((x["h"], b" ".join(words[start : start + count + size - 1])), []).append(start)
+                        rows += [(h, d[i], k[i], at[0], segment.count(b" ") + 2 - size, segment, at[1:]) for (h, segment), at in own.items()]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "d", "k", "start", "windows", "words", "more"])
@@ -349,7 +358,7 @@ def repeats(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
     # the first pass reads the table itself, not the exchange of texts
     found = small_batches(docs).select(_key(id_col).alias("d"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_find_anchors(size), "h long, d long, places array<long>")
     shared = found.withColumn("n", F.sum(F.size("places")).over(Window.partitionBy("h"))).where("n > 1")
-    places = shared.groupBy("d").agg(F.collect_list(F.struct("h", "places")).alias("places"))
+    places = shared.groupBy("d").agg(F.collect_list(F.struct("h", "places", (F.col("n") > HOT_ANCHOR).alias("hot"))).alias("places"))
     text = F.col(f"__c{docs.columns.index(text_col)}")
     met = _keyed(docs, id_col).join(places, F.col("__d") == F.col("d"))
     rest = [F.col(f"__c{i}") for i, c in enumerate(docs.columns) if c != text_col]  # read, as the exchange is shared

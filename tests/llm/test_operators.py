@@ -521,9 +521,10 @@ def brute_substrings(data, size):
     return out
 
 
-@pytest.mark.parametrize("part_words", [50, 300_000])
-def test_substrings(docs, none, monkeypatch, part_words):
+@pytest.mark.parametrize(("part_words", "hot"), [(50, 20_000), (300_000, 20_000), (300_000, 3)])
+def test_substrings(docs, none, monkeypatch, part_words, hot):
     monkeypatch.setattr(substring_dedup, "PART_WORDS", part_words)
+    monkeypatch.setattr(substring_dedup, "HOT_ANCHOR", hot)
     data = [x for x in rows() if x[0] not in (3, 5)]
     df = docs.where("doc_id IS NULL OR doc_id NOT IN (3, 5)")
     assert collected(substring_dedup.digests(df, 20)) == Counter(brute_substrings(data, 20))
@@ -540,8 +541,10 @@ def test_substrings(docs, none, monkeypatch, part_words):
     assert substring_dedup.digests(none, 20).count() == 0
 
 
-def test_substrings_of_few_words(spark):
+@pytest.mark.parametrize("hot", [4, 20_000])
+def test_substrings_of_few_words(spark, monkeypatch, hot):
     """Few different words, and texts that repeat within themselves."""
+    monkeypatch.setattr(substring_dedup, "HOT_ANCHOR", hot)
     r = random.Random(11)
     data = []
     for i in range(120):

@@ -30,7 +30,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 #: Entries of a worker's table from white-space separated strings to ids.
 CACHE_ENTRIES = 1_000_000
 #: Pieces of one length that are ranked together at least.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 250
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: A worker's encoders, kept from task to task.
 _ENCODERS: dict[str, "ChunkEncoder"] = {}

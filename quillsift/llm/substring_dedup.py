@@ -4,8 +4,8 @@ A window is `size` consecutive words. A window that also starts earlier (in a do
 is a repeat, and its words are removed. All windows of all documents are compared:
 
 1. Every window has an anchor, the least of its five-word hashes, which its words alone decide. Consecutive windows with one
-   anchor are a segment. Only (anchor hash, document, places) is shuffled, about one row for eight words; a text that repeats itself
-   has one row for each hash.
+   anchor are a segment. Only (anchor hash, document, number of segments) is shuffled, about one row for eight words; a text that
+   repeats itself has one row for each hash. Places aren't sent but found again, from the text alone.
 2. A window whose anchor hash occurs once in the corpus can't be repeated. The segments of the others go, with their words, to the
    shard of their anchor hash, so that equal windows always meet, however many documents and shards there are.
 3. Each shard, in parts that end between anchor hashes, builds an FM-index over its distinct segments (words as symbols, suffixes sorted to
@@ -21,7 +21,7 @@ hashes of its windows, so that a shard never holds more than HOT_ANCHOR segments
 
 Words are runs of characters other than ASCII white space. Cases: a null or empty text has no words and is left alone; texts of fewer words
 than a window are left alone; rows with the same id and text are one document, and are changed alike; other rows with the same
-id are ordered by their text's hash (places of such texts are told apart by 23 bits of hash); a null id comes after all others; an empty table gives an empty table; other columns are carried through.
+id are ordered by their text's hash; a null id comes after all others; an empty table gives an empty table; other columns are carried through.
 """
 
 from __future__ import annotations
@@ -231,21 +231,13 @@ SEGMENTS = "h long, d long, k long, start int, windows int, words binary, more a
 REPEATS = "d long, k long, first int, end int"
 
 
-def _tag(text: bytes) -> int:
-    """23 bits that tell texts of one id apart."""
-    return xxhash.xxh3_64_intdigest(text) >> 41
-
-
 def _find_anchors(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
             for begin, end in blocks(texts, SCAN_BYTES):
-                doc, h, offsets, places = anchors(texts[begin:end], size)
-                tags = np.fromiter(map(_tag, texts[begin:end]), np.int64, end - begin)
-                places |= np.repeat(tags[doc], np.diff(offsets)) << 40
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids[begin:end][doc], pa.int64()), lists], ["h", "d", "places"])
+                doc, h, offsets, _ = anchors(texts[begin:end], size)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids[begin:end][doc], pa.int64()), pa.array(np.diff(offsets), pa.int32())], ["h", "d", "segments"])
 
     return run
 
@@ -255,23 +247,28 @@ def _cut_segments(size: int):
         for batch in batches:
             d, k = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = utf8(batch.column(2))
-            for first, last in blocks(texts):
+            for first, last in blocks(texts, SCAN_BYTES):
+                doc, hashes, offsets, places = anchors(texts[first:last], size)
+                edges = np.searchsorted(doc, np.arange(last - first + 1)).tolist()
+                hashes, offsets, places = hashes.tolist(), offsets.tolist(), places.tolist()
                 rows: list[tuple] = []
                 for i in range(first, last):
-                    words, tag = texts[i].split(), _tag(texts[i])
-                    for x in batch.column(3)[i].as_py():
+                    shared = {x["h"]: x["hot"] for x in batch.column(3)[i].as_py()}
+                    words = texts[i].split()
+                    for g in range(edges[i - first], edges[i - first + 1]):
+                        h = hashes[g]
+                        if (hot := shared.get(h)) is None:
+                            continue
                         own: dict[tuple[int, bytes], list[int]] = {}
-                        for place in x["places"]:
-                            start, count = place >> 8 & 0xFFFFFFFF, place & 255
-                            if place >> 40 != tag:
-                                continue  # it is of another row with this id
-                            if x["hot"]:
+                        for place in places[offsets[g] : offsets[g + 1]]:
+                            start, count = place >> 8, place & 255
+                            if hot:
                                 for at in range(start, start + count):
                                     window = b" ".join(words[at : at + size])
                                     own.setdefault((xxhash.xxh3_64_intdigest(window) - (1 << 63), window), []).append(at)
                             else:
-                                own.setdefault((x["h"], b" ".join(words[start : start + count + size - 1])), []).append(start)
-                        rows += [(h, d[i], k[i], at[0], segment.count(b" ") + 2 - size, segment, at[1:]) for (h, segment), at in own.items()]
+                                own.setdefault((h, b" ".join(words[start : start + count + size - 1])), []).append(start)
+                        rows += [(key, d[i], k[i], at[0], segment.count(b" ") + 2 - size, segment, at[1:]) for (key, segment), at in own.items()]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "d", "k", "start", "windows", "words", "more"])
@@ -356,9 +353,9 @@ def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
 def repeats(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Intervals of words [first, end) to remove, by document (REPEATS)."""
     # the first pass reads the table itself, not the exchange of texts
-    found = small_batches(docs).select(_key(id_col).alias("d"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_find_anchors(size), "h long, d long, places array<long>")
-    shared = found.withColumn("n", F.sum(F.size("places")).over(Window.partitionBy("h"))).where("n > 1")
-    places = shared.groupBy("d").agg(F.collect_list(F.struct("h", "places", (F.col("n") > HOT_ANCHOR).alias("hot"))).alias("places"))
+    found = small_batches(docs).select(_key(id_col).alias("d"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_find_anchors(size), "h long, d long, segments int")
+    shared = found.withColumn("n", F.sum("segments").over(Window.partitionBy("h"))).where("n > 1")
+    places = shared.groupBy("d").agg(F.collect_list(F.struct("h", (F.col("n") > HOT_ANCHOR).alias("hot"))).alias("places"))
     text = F.col(f"__c{docs.columns.index(text_col)}")
     met = _keyed(docs, id_col).join(places, F.col("__d") == F.col("d"))
     rest = [F.col(f"__c{i}") for i, c in enumerate(docs.columns) if c != text_col]  # read, as the exchange is shared

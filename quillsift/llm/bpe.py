@@ -31,8 +31,10 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: A run of other characters with the space before it, or white space; every split of the vocabulary's own pattern
 #: at white space is one of these too, so that each match can be encoded by itself.
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Runs whose split is plain: Latin letters with the space before them, then ASCII marks.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 #: Entries of a worker's table from runs to ids.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 _CODECS: dict[str, "SpeculativeBpe"] = {}
 
 
@@ -62,6 +64,7 @@ class SpeculativeBpe:
         self.id_of = {b: i for i, b in enumerate(self.bytes_of) if b}
         for b, i in self.specials.items():
             self.bytes_of[i] = b
+        self.of_byte = [self.id_of[bytes([b])] for b in range(256)]
         self.longest = max(map(len, self.id_of))
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -71,12 +74,13 @@ class SpeculativeBpe:
         self.special = re.compile(b"(" + b"|".join(map(re.escape, self.specials)) + b")") if self.specials else None
         self.entries = entries
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
         self.speculated = self.merged = 0
 
     def exact(self, word: bytes) -> tuple[int, ...]:
         """The encoding by merging the lowest-ranked pair, leftmost first, until none is left."""
-        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        ids = list(map(self.of_byte.__getitem__, word))
         none = (1 << 60, 0)
         ranks = [self.merge.get(p, none) for p in zip(ids, ids[1:])]
         while ranks:
@@ -117,16 +121,15 @@ class SpeculativeBpe:
                 a, b = key >> 32, key & 0xFFFFFFFF
                 want = (a,) if b == 0xFFFFFFFF else (a, b)
                 ok[i] = self.exact(b"".join(self.bytes_of[x] for x in want)) == want
-            merged = np.concatenate([self.pair_keys, new])
-            order = np.argsort(merged)
-            self.pair_keys, self.pair_ok = merged[order], np.concatenate([self.pair_ok, ok])[order]
+            place = np.searchsorted(self.pair_keys, new)
+            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, place, new), np.insert(self.pair_ok, place, ok)
         return self.pair_ok[np.searchsorted(self.pair_keys, distinct)][back]
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Encodings of words that the pre-tokeniser has split."""
         if not words:
             return []
-        if len(self.pair_keys) > 8 * self.entries:
+        if len(self.pair_keys) > 4 * self.entries:
             self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
         proposed = [self.greedy(w) for w in words]
         sizes = np.fromiter(map(len, proposed), np.int64, len(words))
@@ -144,8 +147,9 @@ class SpeculativeBpe:
     def _learn(self, runs: set[str]) -> None:
         split: dict[str, list[bytes]] = {}
         for run in runs:
-            if run.isascii() and (run.isalpha() or run[0] == " " and run[1:].isalpha()):
-                split[run] = [run.encode()]
+            if plain := PLAIN.fullmatch(run):
+                letters, marks = plain.groups()
+                split[run] = [letters.encode(), marks.encode()] if marks else [letters.encode()]
             else:
                 split[run] = [run[a:b].encode() for _, (a, b) in self.split(run)]
         words = list({w for parts in split.values() for w in parts})
@@ -157,12 +161,13 @@ class SpeculativeBpe:
         """Ids of each text; the new words of a block of texts are speculated and verified together."""
         for begin, end in blocks(texts):
             split = [self._split(t) for t in texts[begin:end]]
-            new = {r for parts in split for p in parts if isinstance(p, list) for r in p}
-            if len(self.known) > self.entries:
-                self.known = {r: ids for r in new if (ids := self.known.get(r)) is not None}
-            new = new.difference(self.known)
-            if new:
-                self._learn(new)
+            if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
+                self.known, self.old = {}, self.known
+            new = set().union(*(p for parts in split for p in parts if isinstance(p, list))).difference(self.known)
+            again = {r: self.old[r] for r in new if r in self.old}
+            self.known.update(again)
+            if len(again) < len(new):
+                self._learn(new.difference(again))
             for parts in split:
                 out: list[int] = []
                 for p in parts:

@@ -5,8 +5,8 @@ weighted by inverse document frequency and normalised. Each language has several
 and a text gets the language of its nearest centroid. Each centroid has a radius, from the distances of the documents that it was
 made of; a text outside the radius of its nearest centroid is rejected. The reach is wider for short texts, which can't come as near.
 
-The model is fitted on at most `max_fit_rows` labelled rows (the least hashes of the text, at most `per_language` for
-each language), on the driver; predictions read every text whole. The model's size depends on the number of languages only.
+The model is fitted on at most `max_fit_rows` labelled texts (those with the least hashes, at most `per_language` for
+each language; copies count once), on the driver; predictions read every text whole. The model's size depends on the number of languages only.
 
 Cases: a null text, or one without a letter, is `und`, rejected, with score 0; repeated rows get equal predictions; a null label
 or id is not learnt from; without labels everything is `und`; an empty table gives an empty table; keep_known carries other columns through.
@@ -113,13 +113,16 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_fit_rows: int = MAX_FIT_ROWS) -> LanguageModel:
     """From rows (text, lang)."""
-    known = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as there are languages
+    known = [r["lang"] for r in labelled.select("lang").distinct().collect()]  # as many as there are languages
     if not known:
         return LanguageModel([], *(np.zeros(0),) * 4)
     each = max(1, min(per_language, max_fit_rows // len(known)))
-    # of frequent languages, only about four times the rows needed are ranked, those with the least hashes
-    share = F.create_map(*(F.lit(x) for lang, n in known.items() for x in (lang, min(1.0, 4 * each / n))))
-    least = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= F.element_at(share, F.col("lang")) * (1 << 30))
+    # copies share a hash: distinct hashes are ranked, and only texts up to each language's last chosen one are read again
+    hashes = labelled.select("lang", F.xxhash64("text").alias("h")).distinct()
+    chosen = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each)
+    last = {r["lang"]: r["h"] for r in chosen.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    upto = F.create_map(*(F.lit(x).cast(kind) for lang, h in last.items() for x, kind in ((lang, "string"), (h, "long"))))
+    least = labelled.select("text", "lang").where(F.xxhash64("text") <= F.element_at(upto, F.col("lang"))).distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     sample = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
 
@@ -137,7 +140,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_fit_rows: int
     table = np.zeros((len(rows), DIMENSIONS), np.int32)
     for i, r in enumerate(rows):
         table[i, np.frombuffer(r["k"], np.uint16)] = np.frombuffer(r["c"], np.int32)
-    languages = sorted(set(known))
+    languages = sorted(known)
     idf = (np.log((1 + len(rows)) / (1 + (table > 0).sum(axis=0))) + 1).astype(np.float32)
     model = LanguageModel(languages, idf, *(np.zeros(0),) * 3)
     x = model.vectors(table)

@@ -237,6 +237,20 @@ def test_language(spark, docs, none):
     assert language.predict_documents(none, unlearnt).count() == 0
 
 
+def test_language_copies(spark):
+    """Thousands of copies of few texts are learnt from like one of each."""
+    texts = [(0, "kato miru neka toka mika runeto"), (1, "mito kane rumi tone"), (2, "schung einder achung derach")]
+    own = [(10 + i, "queaux oient illeque " * (1 + i % 7) + f"{'abcdefghij'[i % 10]}oi{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}") for i in range(500)]
+    few = spark.createDataFrame([(i, t, "aa" if i < 2 else "bb" if i == 2 else "cc") for i, t in texts + own], "doc_id long, text string, lang string")
+    many = few.join(spark.range(6000).select(F.lit(1).alias("x")), F.col("doc_id") <= 2).drop("x").union(few)
+    plain, model = (language.learn(df, F.lit(True)) for df in (few, many))
+    assert model.languages == ["aa", "bb", "cc"]
+    assert set(model.of.tolist()) == {0, 1, 2} and np.isfinite(model.radius).all()
+    assert np.array_equal(plain.centroids, model.centroids) and np.array_equal(plain.radius, model.radius) and np.array_equal(plain.idf, model.idf)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict_documents(few, model).collect()}
+    assert [got[i] for i in (0, 1, 2)] == ["aa", "aa", "bb"]
+
+
 # 5 exact
 
 

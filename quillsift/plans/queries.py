@@ -164,6 +164,13 @@ def _sort_nulls_last(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.select("doc_id", "quality").limit(500)
 
 
+def _sort_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row's place, from 0, in the order of sort_nulls_last."""
+    whole = dataset(spark, folder, "labelled")
+    data = Dataset(whole.df.select("doc_id", "quality"), Catalog(tuple(c for c in LABELLED.columns if c.id == "quality")), whole.key, NOW)
+    return data.with_row_id(*data.order("quality", True)).withColumnRenamed("_row_id", "position")
+
+
 def _first_wins(spark: SparkSession, folder: str) -> DataFrame:
     """The first order of each customer and status."""
     orders = table(spark, folder, "orders")
@@ -199,6 +206,7 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     ),
     "row_ids": (lambda s, f: dataset(s, f, "orders").with_row_id("o_orderkey").select("o_orderkey", "_row_id"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id FROM orders"),
     "sort_nulls_last": (_sort_nulls_last, f"SELECT doc_id, quality FROM {_TABLES['labelled'][3]} ORDER BY quality DESC NULLS LAST, doc_id LIMIT 500"),
+    "sort_nulls_last_positions": (_sort_positions, f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) - 1 AS position FROM {_TABLES['labelled'][3]}"),
     "top_k": (lambda s, f: dataset(s, f, "orders").top("o_totalprice", 25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25"),
     "first_wins_dedupe": (_first_wins, "SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2"),
     "event_counts": (lambda s, f: telemetry.event_counts(table(s, f, "events"), "event_type"), "SELECT event_type AS operation, count(*) AS n FROM events GROUP BY 1"),

@@ -44,13 +44,17 @@ class Dataset:
     def count(self, condition: FilterSpec | Column) -> DataFrame:
         return self.df.agg(F.count_if(self._as_column(condition)).alias("count"))
 
-    def sort(self, column: str, descending: bool = False) -> DataFrame:
+    def order(self, column: str, descending: bool = False) -> tuple[Column, ...]:
         """Nulls last either way; true before false ascending; texts by bytes; ties by key."""
         kind = self.catalog.get(column)
         c = F.col(f"`{column}`")
         if kind is not None and kind.type == DataType.BOOLEAN:
             c = ~c
-        return self.df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *self.key)
+        return c.desc_nulls_last() if descending else c.asc_nulls_last(), *(F.col(f"`{k}`") for k in self.key)
+
+    def sort(self, column: str, descending: bool = False) -> DataFrame:
+        """The rows in the order of `order`."""
+        return self.df.orderBy(*self.order(column, descending))
 
     def top(self, column: str, n: int, descending: bool = True) -> DataFrame:
         return self.sort(column, descending).limit(n)
@@ -86,11 +90,12 @@ class Dataset:
         if not self.key:
             raise ValueError("this dataset has no key")
 
-    def with_row_id(self, *order: str) -> DataFrame:
+    def with_row_id(self, *order: str | Column) -> DataFrame:
         """_row_id from 0 in a stated order. Ranks are counted by range partition, so that no task sees all rows."""
         from pyspark.sql import Window
 
-        parts = self.df.repartitionByRange(*(F.col(f"`{c}`") for c in order)).withColumn("__part", F.spark_partition_id())
+        order = tuple(F.col(f"`{c}`") if isinstance(c, str) else c for c in order)
+        parts = self.df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
         within = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
         sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
         before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition

@@ -48,3 +48,11 @@ def test_query_equals_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_other_queries_run(spark, name):
     assert entry.queries()[name](spark, str(FOLDER)).count() > 0
+
+
+def test_whole_order_has_every_row(spark):
+    """Each row has its place, and those without a quality come last."""
+    rows = entry.queries()["sort_nulls_last_positions"](spark, str(FOLDER)).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(spark.read.parquet(f"{FOLDER}/documents.parquet").count()))
+    order = [2 if r["quality"] is None else 1 - r["quality"] for r in rows]
+    assert order == sorted(order) and set(order) == {0, 1, 2}

@@ -241,6 +241,14 @@ def test_sort_and_row_ids(engine):
     assert [(r["id"], r["_row_id"]) for r in data.with_row_id("id").orderBy("id").collect()] == [(i + 1, i) for i in range(6)]
 
 
+def test_row_ids_follow_a_sort(engine):
+    """Places in a stated order, nulls last either way."""
+    data = engine.dataset
+    for descending in (False, True):
+        want = [r["id"] for r in data.sort("due", descending).collect()]
+        assert [r["id"] for r in data.with_row_id(*data.order("due", descending)).orderBy("_row_id").collect()] == want
+
+
 def test_explain_score():
     from quillsift.plans.parse import Match
 

@@ -56,3 +56,10 @@ def test_whole_order_has_every_row(spark):
     assert [r["position"] for r in rows] == list(range(spark.read.parquet(f"{FOLDER}/documents.parquet").count()))
     order = [2 if r["quality"] is None else 1 - r["quality"] for r in rows]
     assert order == sorted(order) and set(order) == {0, 1, 2}
+
+
+def test_available_values_of_every_column(spark):
+    """Texts, numbers and dates alike have values in the context."""
+    rows = entry.queries()["context_available_values_all"](spark, str(FOLDER)).groupBy("column_id").count().collect()
+    found = {r["column_id"]: r["count"] for r in rows}
+    assert set(found) == {"ts", "event_type", "value", "user_id"} and found["event_type"] == 1 and min(found["ts"], found["value"]) > 1

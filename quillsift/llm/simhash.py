@@ -14,7 +14,8 @@ Copies share a fingerprint and are one row from the first aggregation on. Compon
 
 Cases: a null text counts as empty; texts without a word have fingerprint zero and are linked like any other; repeated rows get the same
 component; rows with a null id take part in links and get the component's id (null if it has none other); an empty table
-gives an empty table; other columns are carried through by keep_first and not read otherwise.
+gives an empty table; other columns are carried through by keep_first and not read otherwise. keep_first states which rows stay
+where ids are shared or null.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import cut, small_batches, utf8
@@ -60,15 +61,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and if hashed k, the hash that tells texts of one id apart."""
+    more = [F.xxhash64(text_col).alias("k")] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, width) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "k"][: batch.num_columns])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", k long" * hashed)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -235,17 +237,29 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str
     return component_ids(cut(fingerprints(docs, width, id_col, text_col)), most)
 
 
-def component_ids(prints: DataFrame, most: int = 4) -> DataFrame:
-    """component_id for (doc_id, fp)."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _firsts(prints: DataFrame, least: Column, most: int) -> DataFrame:
+    """fp, first: the least of `least` over the component of each fingerprint."""
+    distinct = cut(prints.groupBy("fp").agg(least.alias("least")))
     roots = components(links(distinct.select("fp"), most)).withColumnsRenamed({"node": "fp"})
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return rooted.join(first, "root").select("fp", "first")
+
+
+def component_ids(prints: DataFrame, most: int = 4) -> DataFrame:
+    """component_id for (doc_id, fp)."""
+    return prints.join(_firsts(prints, F.min("doc_id"), most), "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have an earlier near-duplicate. Documents without an id stay."""
-    dropped = near_duplicates(docs, width, most, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped.withColumnRenamed("doc_id", "__dropped"), docs[id_col] == F.col("__dropped"), "left_anti")
+    """docs with one document of each component: that of the smallest id, nulls last, then of the least hash of the text.
+
+    A document is an id and a text. Of documents that share an id each is kept or dropped by itself; repeated rows (id and text
+    are equal) are one document and stay or go together. Documents without an id stay only where no other of their component has one.
+    """
+    prints = cut(fingerprints(docs, width, id_col, text_col, hashed=True))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    first = _firsts(prints, F.min(place), most)
+    later = prints.join(first, "fp").where(place != F.col("first")).select(F.col("doc_id").alias("__dropped"), F.col("k").alias("__k")).distinct()
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__dropped")) & (F.xxhash64(docs[text_col]) == F.col("__k"))
+    return docs.join(later, same, "left_anti")

@@ -327,6 +327,16 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_first_shared_and_null_ids(spark):
+    """One document of each group stays, though ids are shared or null; a repeated row goes with its document."""
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(60)) for w in ("al", "be", "co", "du"))
+    data = [(1, one), (7, one), (7, two), (9, two), (None, two), (None, three), (None, three), (4, four), (4, " " + four), (4, four + " ")]
+    kept = Counter(map(tuple, simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()))
+    fours = {x: n for x, n in kept.items() if x[0] == 4}
+    assert len(fours) == 1 and set(fours.values()) == {1}
+    assert {x: n for x, n in kept.items() if x[0] != 4} == {(1, one): 1, (7, two): 1, (None, three): 2}
+
+
 @pytest.mark.parametrize("cell", [3, 8192])
 def test_simhash_dense_groups(spark, monkeypatch, cell):
     """Groups around centres, dealt to small cells or not."""

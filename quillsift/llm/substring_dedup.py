@@ -9,7 +9,7 @@ is a repeat, and its words are removed. All windows of all documents are compare
 2. A window whose anchor hash occurs once in the corpus can't be repeated. The segments of the others go, with their words, to the
    shard of their anchor hash, so that equal windows always meet, however many documents and shards there are.
 3. Each shard, in parts that end between anchor hashes, builds an FM-index over its distinct segments (words as symbols, suffixes sorted to
-   the window's depth, the BWT in a wavelet matrix with packed bits and block ranks). All segments are streamed through it by backward
+   the window's depth, the BWT in a wavelet matrix with packed bits and block ranks). All distinct segments are streamed through it by backward
    search, a word at a time from their ends: from `size` matched words on, the interval is widened to the last size - 1 words and
    extended again, so that it always holds the occurrences of the window at hand. As the text is in document order, the least text
    position in the interval says whether the window has an earlier occurrence.
@@ -17,7 +17,8 @@ is a repeat, and its words are removed. All windows of all documents are compare
 
 Segments equal to one before, in their document or under the same anchor, are repeats as a whole and aren't indexed, so that hot groups
 of copies cost one comparison each. An anchor hash with very many segments, as at the edges of a very common passage, is dealt out by the
-hashes of its windows, so that a shard never holds more than HOT_ANCHOR segments together.
+hashes of its windows. Each of these windows is a group of its own, whose repeats are decided by equal bytes and don't go through
+the FM-index.
 
 Words are runs of characters other than ASCII white space. Cases: a null or empty text has no words and is left alone; texts of fewer words
 than a window are left alone; rows with the same id and text are one document, and are changed alike; other rows with the same

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quillsift.catalog import Catalog, Column, DataType
 from quillsift.functions.dates import ParsedDate, as_instant, parse_date
+from quillsift.functions.values import to_index_string
 from quillsift.operators.registry import OPERATORS
 
 
@@ -102,7 +103,8 @@ class Binder:
     def _plain(self, spec: FilterSpec, c: SparkColumn, column: Column) -> SparkColumn:
         op = spec.operator
         if column.type == DataType.ARRAY:
-            text, literals = F.array_join(c.cast("array<string>"), ","), [str(a) for a in spec.args]
+            text = c = to_index_string(c, self.types[column.id])  # the text that the value index has
+            literals = [str(a) for a in spec.args]
         else:
             text, literals = c, [_literal(a, column.type) for a in spec.args]
         if op in ("in", "nin"):

@@ -41,7 +41,8 @@ def top_values(index: DataFrame, n: int = 10) -> DataFrame:
 def index_stats(df: DataFrame, index: DataFrame) -> DataFrame:
     """One row: total_rows, columns_indexed, unique_values (distinct lower-cased values over all columns)."""
     rows = df.agg(F.count("*").alias("total_rows"))
-    values = index.agg(F.countDistinct("column_id").alias("columns_indexed"), F.countDistinct(F.lower("value")).alias("unique_values"))
+    texts = index.groupBy(F.lower("value").alias("text")).agg(F.collect_set("column_id").alias("of"))  # at most all columns in a row
+    values = texts.agg(F.size(F.array_distinct(F.flatten(F.collect_set("of")))).cast("long").alias("columns_indexed"), F.count("*").alias("unique_values"))
     return rows.join(values)  # a row each
 
 

@@ -110,8 +110,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _INDEXED = ["o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice", "o_orderdate"]
-_TEXTS = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "o_custkey": "o_custkey::VARCHAR", "o_totalprice": "CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"}
-_EVENT_TEXTS = {"ts": "strftime(ts, '%Y-%m-%d %H:%M:%S')", "event_type": "event_type", "value": "CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END", "user_id": "user_id::VARCHAR"}
+_TEXTS = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "o_custkey": "o_custkey::VARCHAR", "o_totalprice": "CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%g')"}
+_EVENT_TEXTS = {"ts": "strftime(ts, '%Y-%m-%d %H:%M:%S.%g')", "event_type": "event_type", "value": "CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END", "user_id": "user_id::VARCHAR"}
 INDEX_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_id, {t} AS value, count(*) AS row_count FROM orders WHERE {c} IS NOT NULL GROUP BY 2" for c, t in _TEXTS.items())
 
 
@@ -162,7 +162,7 @@ def _parse_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sort_nulls_last(spark: SparkSession, folder: str) -> DataFrame:
     ordered = dataset(spark, folder, "labelled").sort("quality", True)
-    return ordered.select("doc_id", "quality").limit(500)
+    return ordered.select("doc_id", "quality")
 
 
 def _sort_positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,15 +202,11 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     "top_values": (lambda s, f: plans.top_values(_index(s, f), 10), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY row_count DESC, value) AS rank FROM ({INDEX_SQL})) WHERE rank <= 10"),
     "index_stats": (lambda s, f: plans.index_stats(table(s, f, "orders"), _index(s, f)), f"SELECT (SELECT count(*) FROM orders) AS total_rows, count(DISTINCT column_id) AS columns_indexed, count(DISTINCT lower(value)) AS unique_values FROM ({INDEX_SQL})"),
     "context_available_values": (
-        lambda s, f: plans.available_values((d := dataset(s, f, "events").context([FilterSpec("event_type", "eq", ("click",))])).df.select("event_type", "user_id"), Catalog(tuple(c for c in EVENTS.columns if c.id in ("event_type", "user_id")))),
-        "SELECT DISTINCT 'event_type' AS column_id, event_type AS value FROM events WHERE event_type = 'click' UNION ALL SELECT DISTINCT 'user_id', user_id::VARCHAR FROM events WHERE event_type = 'click'",
-    ),
-    "context_available_values_all": (
         lambda s, f: plans.available_values(dataset(s, f, "events").context([FilterSpec("event_type", "eq", ("click",))]).df, EVENTS),
         " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS column_id, {t} AS value FROM events WHERE event_type = 'click' AND {c} IS NOT NULL" for c, t in _EVENT_TEXTS.items()),
     ),
     "row_ids": (lambda s, f: dataset(s, f, "orders").with_row_id("o_orderkey").select("o_orderkey", "_row_id"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id FROM orders"),
-    "sort_nulls_last": (_sort_nulls_last, f"SELECT doc_id, quality FROM {_TABLES['labelled'][3]} ORDER BY quality DESC NULLS LAST, doc_id LIMIT 500"),
+    "sort_nulls_last": (_sort_nulls_last, f"SELECT doc_id, quality FROM {_TABLES['labelled'][3]} ORDER BY quality DESC NULLS LAST, doc_id"),
     "sort_nulls_last_positions": (_sort_positions, f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) - 1 AS position FROM {_TABLES['labelled'][3]}"),
     "top_k": (lambda s, f: dataset(s, f, "orders").top("o_totalprice", 25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25"),
     "first_wins_dedupe": (_first_wins, "SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2"),

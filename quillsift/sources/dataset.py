@@ -5,12 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.catalog import Catalog, DataType
 from quillsift.operators.predicates import Binder, FilterSpec
+from quillsift.sources.storage import cut
 
 
 @dataclass(frozen=True)
@@ -65,9 +68,15 @@ class Dataset:
         return replace(self, df=self.df.unionByName(rows, allowMissingColumns=True))
 
     def update(self, rows: DataFrame) -> Dataset:
-        """Rows with a known key replace the old ones, the others are added."""
+        """Rows with a known key replace the old ones, the others are added. A null in a key equals a null. Of rows that share a key one
+        counts: the one whose hash is greatest, so that the choice is the same each time."""
         self._needs_key()
-        return replace(self, df=self.df.join(rows.select(*self.key), list(self.key), "left_anti").unionByName(rows, allowMissingColumns=True))
+        whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+        keys = [F.col(f"`{k}`") for k in self.key]
+        one = rows.groupBy(*keys).agg(F.max_by(whole, F.xxhash64(whole)).alias("__row")).select("__row.*")
+        new = one.select(*(k.alias(f"__key{i}") for i, k in enumerate(keys)))
+        same = reduce(and_, (k.eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)))
+        return replace(self, df=self.df.join(new, same, "left_anti").unionByName(one, allowMissingColumns=True))
 
     def remove(self, condition: FilterSpec | Column) -> Dataset:
         """Without the rows that match; where the condition is unknown, rows stay."""
@@ -91,12 +100,20 @@ class Dataset:
             raise ValueError("this dataset has no key")
 
     def with_row_id(self, *order: str | Column) -> DataFrame:
-        """_row_id from 0 in a stated order. Ranks are counted by range partition, so that no task sees all rows."""
-        from pyspark.sql import Window
+        """_row_id from 0 in a stated order; rows that agree in it come in any order.
 
+        Rows are dealt to ranges, sorted within each, and written once (a reliable checkpoint) with their range and place. Ids are
+        that place plus the sizes of the ranges before, so that no task sees all rows and one ranging gives both.
+        """
         order = tuple(F.col(f"`{c}`") if isinstance(c, str) else c for c in order)
-        parts = self.df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-        within = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-        sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
-        before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-        return within.join(before, "__part").select(*self.df.columns, (F.col("__n") - 1 + F.col("__before")).alias("_row_id"))
+        ranged = cut(self.df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
+        part, within = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
+        earlier = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+        before = sizes.select("__part", F.coalesce(earlier, F.lit(0)).alias("__before"))
+        placed = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")  # as many rows as ranges
+        return placed.select(*(f"`{c}`" for c in self.df.columns), (within + F.col("__before")).alias("_row_id"))
+
+    def remove_at(self, position: int, *order: str | Column) -> Dataset:
+        """Without the row at a position of a stated order (from 0); a position that no row has changes nothing."""
+        return replace(self, df=self.with_row_id(*order).where(F.col("_row_id") != position).drop("_row_id"))

@@ -60,6 +60,6 @@ def test_whole_order_has_every_row(spark):
 
 def test_available_values_of_every_column(spark):
     """Texts, numbers and dates alike have values in the context."""
-    rows = entry.queries()["context_available_values_all"](spark, str(FOLDER)).groupBy("column_id").count().collect()
+    rows = entry.queries()["context_available_values"](spark, str(FOLDER)).groupBy("column_id").count().collect()
     found = {r["column_id"]: r["count"] for r in rows}
     assert set(found) == {"ts", "event_type", "value", "user_id"} and found["event_type"] == 1 and min(found["ts"], found["value"]) > 1

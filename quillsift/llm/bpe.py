@@ -1,17 +1,22 @@
 """Byte-level BPE encoding by speculation and verification, and decoding.
 
-Greedy longest match proposes the tokens of a word. A proposal is the word's encoding exactly when each token
-encodes to itself and each adjacent pair encodes to itself (merges that cross a boundary would show there), so
-the pairs of all new words are tested together, as integer keys against the pairs tested before. Only words with
-a failing pair are merged one pair at a time.
+Greedy longest match proposes the tokens of a word. A proposal is the word's encoding exactly when each token encodes to itself and no merge
+crosses the boundary of an adjacent pair. The pairs of all new words are tested together, as arrays: the merges that made two
+neighbours are undone, the latest first, and at each step the tokens that face each other at the boundary must not have a merge that would have come
+before the one just undone. Only words with a failing pair are merged one pair at a time, from a heap of merges by rank and place.
 
-Cases: a null or empty text has no tokens; the special token's string in a text is that token; any other text is
-encoded whole, and decodes to itself; a null id is carried; repeated rows and other columns don't matter.
+Long texts are split a stretch at a time, at spaces, which no token crosses.
+
+Cases: a null or empty text has no tokens; the special token's string in a text is that token; any other text is encoded whole, and decodes to
+itself; a word of any length takes time in proportion to its length times its logarithm; a null id is carried; repeated rows and
+other columns don't matter; an empty table gives an empty table; a vocabulary file with another normaliser, pre-tokeniser, decoder
+or kind of model raises.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -33,6 +38,10 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Runs whose split is plain: Latin letters with the space before them, then ASCII marks.
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
+#: Bytes of a text that are split into runs at once; longer texts are handled in stretches that end before a space.
+STRETCH = 1 << 20
+#: Bytes of a word from which merges are taken from a heap.
+LONG_WORD = 48
 #: Entries of a worker's table from runs to ids.
 CACHE_ENTRIES = 1_000_000
 _CODECS: dict[str, "SpeculativeBpe"] = {}
@@ -54,6 +63,7 @@ class SpeculativeBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         symbols = byte_symbols()
         vocab = spec["model"]["vocab"]
@@ -65,27 +75,69 @@ class SpeculativeBpe:
         for b, i in self.specials.items():
             self.bytes_of[i] = b
         self.of_byte = [self.id_of[bytes([b])] for b in range(256)]
-        self.longest = max(map(len, self.id_of))
+        #: The longest token that begins with two bytes.
+        self.longest: dict[bytes, int] = {}
+        for b in self.id_of:
+            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merge[vocab[a], vocab[b]] = rank, vocab[a + b]
+        self._tables()
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.special = re.compile(b"(" + b"|".join(map(re.escape, self.specials)) + b")") if self.specials else None
         self.entries = entries
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
         self.speculated = self.merged = 0
 
+    def _tables(self) -> None:
+        """Merges as arrays: pairs in order with their ranks, and for each token the merge that makes it (rank -1: a byte)."""
+        n = len(self.bytes_of)
+        left, right, rank = (np.fromiter(x, np.int64, len(self.merge)) for x in ((a for a, _ in self.merge), (b for _, b in self.merge), (r for r, _ in self.merge.values())))
+        made = np.fromiter((t for _, t in self.merge.values()), np.int64, len(self.merge))
+        if len(np.unique(made)) < len(made):
+            raise ValueError("two merges make the same token")
+        order = np.argsort(left << 32 | right)
+        self.pair_keys, self.pair_ranks = (left << 32 | right)[order], rank[order]
+        self.left, self.right, self.rank = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        self.left[made], self.right[made], self.rank[made] = left, right, rank
+        # a token encodes to itself if its halves do and nothing crosses between them before they are merged
+        whole = self._stays_apart(left, right, rank)
+        self.valid = np.zeros(n, bool)
+        self.valid[self.of_byte] = True
+        for i in np.argsort(rank).tolist():
+            self.valid[made[i]] = whole[i] and self.valid[left[i]] and self.valid[right[i]]
+
+    def _stays_apart(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | int = 1 << 60) -> np.ndarray:
+        """For pairs of tokens that encode to themselves: whether no merge of a rank less than `before` crosses their boundary."""
+        good = np.ones(len(a), bool)
+        live = np.arange(len(a))
+        a, b, before = a.copy(), b.copy(), np.broadcast_to(before, len(a)).copy()
+        while len(live):
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            crossed = (self.pair_keys[at] == key) & (self.pair_ranks[at] < before)
+            good[live[crossed]] = False
+            made_a, made_b = self.rank[a], self.rank[b]
+            go = ~crossed & ((made_a >= 0) | (made_b >= 0))
+            live, a, b, made_a, made_b = live[go], a[go], b[go], made_a[go], made_b[go]
+            # of merges of one rank the one further left comes first
+            first = made_a > made_b
+            before = np.where(first, made_a, made_b + 1)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return good
+
     def exact(self, word: bytes) -> tuple[int, ...]:
         """The encoding by merging the lowest-ranked pair, leftmost first, until none is left."""
         ids = list(map(self.of_byte.__getitem__, word))
+        if len(ids) > LONG_WORD:
+            return self._exact_by_heap(ids)
         none = (1 << 60, 0)
         ranks = [self.merge.get(p, none) for p in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best is none or best[0] == none[0]:
+            if best[0] == none[0]:
                 break
             i = ranks.index(best)
             ids[i : i + 2] = [best[1]]
@@ -96,50 +148,61 @@ class SpeculativeBpe:
                 ranks[i - 1] = self.merge.get((ids[i - 1], ids[i]), none)
         return tuple(ids)
 
+    def _exact_by_heap(self, ids: list[int]) -> tuple[int, ...]:
+        """The same for a list of byte tokens of any length: neighbours are linked, and merges wait in a heap by rank and place."""
+        n, merge = len(ids), self.merge
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i, pair, found[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (found := merge.get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair, made = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or ids[i] != pair[0] or ids[j] != pair[1]:
+                continue  # one of the two was merged meanwhile (its id is -1 or another)
+            ids[i], ids[j] = made, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if found := merge.get((made, ids[k])):
+                    heapq.heappush(heap, (found[0], i, (made, ids[k]), found[1]))
+            h = before[i]
+            if h >= 0 and (found := merge.get((ids[h], made))):
+                heapq.heappush(heap, (found[0], h, (ids[h], made), found[1]))
+        return tuple(x for x in ids if x >= 0)
+
     def greedy(self, word: bytes) -> list[int]:
         """The longest token at each place."""
         out, at, n, ids, longest = [], 0, len(word), self.id_of, self.longest
         while at < n:
-            end = min(n, at + longest)
+            end = min(n, at + longest.get(word[at : at + 2], 1))
             while (found := ids.get(word[at:end])) is None:
                 end -= 1
             out.append(found)
             at = end
         return out
 
-    def _compatible(self, keys: np.ndarray) -> np.ndarray:
-        """For each key (first << 32 | second; a token alone: token << 32 | 2**32 - 1): whether it encodes to itself."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        at = np.searchsorted(self.pair_keys, distinct)
-        seen = np.zeros(len(distinct), bool)
-        inside = at < len(self.pair_keys)
-        seen[inside] = self.pair_keys[at[inside]] == distinct[inside]
-        new = distinct[~seen]
-        if len(new):
-            ok = np.empty(len(new), bool)
-            for i, key in enumerate(new.tolist()):
-                a, b = key >> 32, key & 0xFFFFFFFF
-                want = (a,) if b == 0xFFFFFFFF else (a, b)
-                ok[i] = self.exact(b"".join(self.bytes_of[x] for x in want)) == want
-            place = np.searchsorted(self.pair_keys, new)
-            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, place, new), np.insert(self.pair_ok, place, ok)
-        return self.pair_ok[np.searchsorted(self.pair_keys, distinct)][back]
+    def _compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """For each pair (second -1: a token alone): whether it encodes to itself."""
+        keys, back = np.unique(first << 32 | second + 1, return_inverse=True)
+        a, b = keys >> 32, (keys & 0xFFFFFFFF) - 1
+        pairs = np.flatnonzero((b >= 0) & self.valid[a])
+        ok = self.valid[a]
+        ok[pairs] = self.valid[b[pairs]]
+        pairs = pairs[ok[pairs]]
+        ok[pairs] = self._stays_apart(a[pairs], b[pairs])
+        return ok[back]
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Encodings of words that the pre-tokeniser has split."""
         if not words:
             return []
-        if len(self.pair_keys) > 4 * self.entries:
-            self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
         proposed = [self.greedy(w) for w in words]
         sizes = np.fromiter(map(len, proposed), np.int64, len(words))
         first = np.fromiter(chain.from_iterable(proposed), np.int64, int(sizes.sum()))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        second = np.append(first[1:], 0xFFFFFFFF)
-        ends = starts + sizes - 1
-        second[ends] = 0xFFFFFFFF
-        # the last token of each word is tested alone; the others' own encodings show in their pairs
-        ok = np.logical_and.reduceat(self._compatible(first << 32 | second), starts)
+        second = np.append(first[1:], -1)
+        second[starts + sizes - 1] = -1
+        ok = np.logical_and.reduceat(self._compatible(first, second), starts)
         self.speculated += int(ok.sum())
         self.merged += int((~ok).sum())
         return [tuple(p) if good else self.exact(w) for p, good, w in zip(proposed, ok.tolist(), words, strict=True)]
@@ -160,19 +223,27 @@ class SpeculativeBpe:
     def encode_many(self, texts: list[bytes]) -> Iterator[list[int]]:
         """Ids of each text; the new words of a block of texts are speculated and verified together."""
         for begin, end in blocks(texts):
-            split = [self._split(t) for t in texts[begin:end]]
-            if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
-                self.known, self.old = {}, self.known
-            new = set().union(*(p for parts in split for p in parts if isinstance(p, list))).difference(self.known)
-            again = {r: self.old[r] for r in new if r in self.old}
-            self.known.update(again)
-            if len(again) < len(new):
-                self._learn(new.difference(again))
-            for parts in split:
-                out: list[int] = []
-                for p in parts:
-                    out += [p] if isinstance(p, int) else chain.from_iterable(map(self.known.__getitem__, p))
-                yield out
+            if end - begin == 1 and len(texts[begin]) > STRETCH:
+                yield list(chain.from_iterable(chain.from_iterable(map(self._encode_block, ([x] for x in stretches(texts[begin]))))))
+            else:
+                yield from self._encode_block(texts[begin:end])
+
+    def _encode_block(self, texts: list[bytes]) -> list[list[int]]:
+        split = [self._split(t) for t in texts]
+        if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
+            self.known, self.old = {}, self.known
+        new = set().union(*(p for parts in split for p in parts if isinstance(p, list))).difference(self.known)
+        again = {r: self.old[r] for r in new if r in self.old}
+        self.known.update(again)
+        if len(again) < len(new):
+            self._learn(new.difference(again))
+        out = []
+        for parts in split:
+            ids: list[int] = []
+            for p in parts:
+                ids += [p] if isinstance(p, int) else chain.from_iterable(map(self.known.__getitem__, p))
+            out.append(ids)
+        return out
 
     def encode(self, text: bytes) -> list[int]:
         return next(self.encode_many([text]))
@@ -189,6 +260,39 @@ class SpeculativeBpe:
         return raw.decode("utf-8", "replace").encode()
 
 
+def _check(spec: dict, path: str) -> None:
+    """Raises unless the file is a byte-level BPE as this module reads it."""
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [
+        name
+        for name, bad in (
+            ("normaliser", spec.get("normalizer")),
+            ("pre-tokeniser", any(split.get(k) != v for k, v in level.items())),
+            ("decoder", (spec.get("decoder") or {}).get("type") != "ByteLevel"),
+            ("model", model.get("type", "BPE") != "BPE"),
+            ("model's options", any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))),
+            ("added tokens", any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path} is no plain byte-level BPE; it differs in its {', '.join(wrong)}")
+
+
+_BEFORE_SPACE = re.compile(rb"(?<=[!-~])(?= [!-~])")
+
+
+def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
+    """Parts of a text that end before a single space between ASCII characters, where two runs always meet."""
+    at = 0
+    while at < len(text):
+        found = _BEFORE_SPACE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def codec(path: str) -> SpeculativeBpe:
     """This worker's codec for a vocabulary file."""
     return _CODECS.get(path) or _CODECS.setdefault(path, SpeculativeBpe(path))

@@ -1,17 +1,20 @@
 """Exact deduplication by content-defined chunk recipes.
 
-White space is normalised, each text is cut where a rolling hash of its own bytes says so, and every chunk's bytes
-travel once to the place of their hash. There, chunks of one hash are compared byte for byte: equal bytes get one
-identifier (hash, number). A text's recipe is its list of identifiers, and texts are equal when their
-recipes are. Only recipes, a few numbers a document, are grouped and joined afterwards.
+White space is normalised, each text is cut where a rolling hash of its own bytes says so, and a text's recipe is the ordered list of its
+chunks' identifiers. An identifier is a hash of 128 bits that is verified: every chunk's bytes travel once to the place of their hash, and
+the least and greatest contents there must be equal, which is a partial aggregation, so that a very common chunk costs a row for each task.
+Texts are equal when their recipes are; only recipes, some bytes a document, are grouped and joined.
 
-A chunk that is repeated within a task's batch travels once from there, with the places that hold it, so that a very
-common chunk costs a row for each batch. Groups are counted with partial aggregation; the join of rows to
-their group has one row a group on the other side, so that Spark can split a hot group.
+Should different contents ever share a hash, the chunks of that hash are told apart by their bytes and numbered, and the recipes that
+hold one get these numbers, so that equal recipes mean equal texts always.
+
+Groups are counted with partial aggregation; the join of rows to their group has one row a group on the other side, so that Spark can
+split a hot group.
 
 Cases: a null text counts as empty; empty texts are equal to each other, but not to texts of white space alone, whose
 normal form is one space; rows with the same id and text are counted each, and kept together when they are the
-group's smallest id; a null id comes after every other; an empty table gives an empty table; other columns are not read.
+group's smallest id; a null id comes after every other; long texts are hashed in parts, and a chunk is MOST bytes at most; an empty table
+gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from quillsift.llm.common import blocks, cut, small_batches, utf8
 
 #: Bytes of a chunk: least, on average beyond the least, most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
-#: The rolling hash reads this many bytes.
-WINDOW = 16
+#: The rolling hash reads this many bytes, over parts of a text of so many.
+WINDOW, PART = 16, 1 << 20
 _SPACES = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 
@@ -43,16 +46,22 @@ def normalise(text: bytes) -> bytes:
     return text
 
 
+def _marks(raw: np.ndarray, lead: int) -> np.ndarray:
+    """The places after which a chunk may end, from the byte after `lead` bytes that are read only."""
+    h = _GEAR[raw]
+    for shift in (1, 2, 4, 8):
+        later = h[shift:] + (h[:-shift] << np.uint32(shift))
+        h[shift:] = later
+    return np.flatnonzero((h[lead:] >> np.uint32(8)) & np.uint32(AVERAGE - 1) == 0) + 1
+
+
 def cuts(texts: list[bytes]) -> Iterator[list[int]]:
     """The places at which each text's chunks end. They depend on the text's own bytes only: no chunk ends before
     LEAST bytes, and the rolling hash reads fewer."""
     if not texts:
         return
-    h = _GEAR[np.frombuffer(b"".join(texts), np.uint8)]
-    for shift in (1, 2, 4, 8):
-        later = h[shift:] + (h[:-shift] << np.uint32(shift))
-        h[shift:] = later
-    found = np.flatnonzero((h >> np.uint32(8)) & np.uint32(AVERAGE - 1) == 0) + 1
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    found = np.concatenate([_marks(raw[max(0, at - WINDOW + 1) : at + PART], min(at, WINDOW - 1)) + at for at in range(0, max(1, len(raw)), PART)])
     begin = 0
     for text in texts:
         end, at, out = begin + len(text), begin, []
@@ -72,49 +81,91 @@ def cuts(texts: list[bytes]) -> Iterator[list[int]]:
         begin = end
 
 
-CHUNKS = "h long, content binary, refs array<struct<doc_id:long,sha:binary,pos:int>>"
+CHUNKS = "h1 long, h2 long, content binary"
+RECIPES = "doc_id long, sha binary, recipe binary"
 
 
-def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct chunks of each batch, with the places that hold them (CHUNKS)."""
-    ref = pa.struct([("doc_id", pa.int64()), ("sha", pa.binary()), ("pos", pa.int32())])
+def identifier(chunk: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(chunk)
+
+
+def _cut_documents(each, names: list[str], kinds: list[pa.DataType]):
+    """A function for mapInArrow over (doc_id, text): `each` makes rows of a block's ids, normal texts and chunk ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = utf8(batch.column(1))
+            ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for first, last in blocks(texts):
                 normal = [normalise(t) for t in texts[first:last]]
-                held: dict[bytes, list[dict]] = {}
-                for doc, text, ends in zip(ids[first:last], normal, cuts(normal), strict=True):
-                    sha, at = hashlib.sha256(text).digest(), 0
-                    for pos, end in enumerate(ends):
-                        held.setdefault(text[at:end], []).append({"doc_id": doc, "sha": sha, "pos": pos})
-                        at = end
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in held), np.uint64, len(held)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(ref))], ["h", "content", "refs"])
+                rows = each(ids[first:last], normal, cuts(normal))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CHUNKS)
+
+def _halves(name: bytes) -> tuple[int, int]:
+    return int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)
+
+
+def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Distinct chunks of each batch (CHUNKS)."""
+
+    def each(ids, normal, ends) -> list[tuple]:
+        held = {text[a:b] for text, places in zip(normal, ends, strict=True) for a, b in zip([0, *places], places)}
+        return [(*_halves(identifier(c)), c) for c in held]
+
+    return _texts(docs, id_col, text_col).mapInArrow(_cut_documents(each, ["h1", "h2", "content"], [pa.int64(), pa.int64(), pa.binary()]), CHUNKS)
 
 
 def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sha (of the normal form), rows (with both the same), recipe (verified chunk identifiers in order)."""
-    verified = chunks_of(docs, id_col, text_col).withColumn("variant", F.dense_rank().over(Window.partitionBy("h").orderBy("content")))
-    places = verified.select("h", "variant", F.explode("refs").alias("ref")).select("ref.*", "h", "variant")
-    listed = F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "h", "variant"))))
-    return places.groupBy("doc_id", "sha").agg(
-        F.count_if(F.col("pos") == 0).alias("rows"),
-        F.transform(listed, lambda x: F.struct(x["h"].alias("h"), x["variant"].alias("variant"))).alias("recipe"),
-    )
+    """A row for each row of docs: its id, the SHA-256 of its normal form, and its identifiers in order (RECIPES)."""
+
+    def each(ids, normal, ends) -> list[tuple]:
+        return [(d, hashlib.sha256(text).digest(), b"".join(identifier(text[a:b]) for a, b in zip([0, *places], places))) for d, text, places in zip(ids, normal, ends, strict=True)]
+
+    return _texts(docs, id_col, text_col).mapInArrow(_cut_documents(each, ["doc_id", "sha", "recipe"], [pa.int64(), pa.binary(), pa.binary()]), RECIPES)
+
+
+def colliding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The hashes (h1, h2) that chunks of different contents share; none, unless a hash fails."""
+    verified = chunks_of(docs, id_col, text_col).groupBy("h1", "h2").agg(F.min("content").alias("least"), F.max("content").alias("most"))
+    return cut(verified.where("least <> most").select("h1", "h2"))
+
+
+def _numbered(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The recipes of all rows, where an identifier of a hash in `bad` is followed by its content's number."""
+    contents = chunks_of(docs, id_col, text_col).join(bad, ["h1", "h2"], "left_semi").distinct()
+    numbers = cut(contents.withColumn("number", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("content"))))
+
+    def each(ids, normal, ends) -> list[tuple]:
+        return [
+            (d, hashlib.sha256(text).digest(), pos, *_halves(identifier(text[a:b])), text[a:b])
+            for d, text, places in zip(ids, normal, ends, strict=True)
+            for pos, (a, b) in enumerate(zip([0, *places], places))
+        ]
+
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "sha", "pos", "h1", "h2", "content"]
+    places = _texts(docs, id_col, text_col).mapInArrow(_cut_documents(each, names, kinds), "doc_id long, sha binary, pos int, h1 long, h2 long, content binary")
+    named = places.join(numbers, ["h1", "h2", "content"], "left").select("doc_id", "sha", "pos", F.struct("h1", "h2", F.coalesce("number", F.lit(0)).alias("number")).alias("name"))
+    listed = F.transform(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "name")))), lambda x: x["name"])
+    recipes = named.groupBy("doc_id", "sha").agg(F.count_if(F.col("pos") == 0).cast("int").alias("rows"), F.to_json(listed).cast("binary").alias("recipe"))
+    return recipes.select("doc_id", "sha", "recipe", F.explode(F.sequence(F.lit(1), "rows")).alias("copy")).drop("copy")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    recipes = cut(recipes_of(docs, id_col, text_col))
+    bad = colliding(docs, id_col, text_col)
+    recipes = recipes_of(docs, id_col, text_col) if bad.isEmpty() else _numbered(docs, bad, id_col, text_col)
+    recipes = cut(recipes)
     # checkpointed apart from the join, whose hot groups Spark can split then
-    groups = cut(recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")))
-    rows = recipes.select("doc_id", "sha", "recipe", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
-    return rows.join(groups, "recipe").select(
+    groups = cut(recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    return recipes.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 

@@ -4,35 +4,25 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.sources.storage import cut, shared_folder
+
 #: Bytes of text that a worker handles at once; longer documents are handled alone.
 BLOCK_BYTES = 4 << 20
 #: Bytes of an Arrow batch between Spark and its Python workers; one row can be larger.
 BATCH_BYTES = 4 << 20
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary folder takes its place."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillsift-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+__all__ = ["blocks", "cut", "parts_at_spaces", "quiet_threads", "read_table", "row_key", "shared_folder", "small_batches", "utf8"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -63,9 +53,23 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
+_SPACES = re.compile(rb"[\x20\x09-\x0d]+")
+
+
+def parts_at_spaces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of a text of about `size` bytes that end after ASCII white space, so that each word is in one of them."""
+    at = 0
+    while at < len(text):
+        gap = _SPACES.search(text, at + size) if len(text) - at > size else None
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """128 bits that tell rows apart by id and text; never null. Rows that agree in both are one."""
-    parts = (F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    text = F.col(f"`{text_col}`")
+    parts = (F.col(f"`{id_col}`"), text.isNull(), text)
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
 
 

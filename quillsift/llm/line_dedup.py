@@ -10,8 +10,9 @@ Everything runs as DataFrame operations. Counting is partial; the joins have one
 Spark can split a very common line. Texts move once, to meet the list of their removed lines.
 
 Cases: a null text stays null with no lines; a null site is no site; a null id comes after every other; rows with the same id
-and text are one document for counting, and are changed alike; an empty table gives an empty table; other columns are carried
-through unchanged.
+and text are one document for counting, and are changed alike; a text of very many lines takes time in proportion to them, and its lines
+are spread over tasks like all others, but it is put together in one; an empty table gives an empty table; other columns, whatever
+their names, are carried through unchanged.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ MARGIN = 6 * 1.04 / 2 ** (LG_K / 2)
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     k1, k2 = row_key(id_col, text_col)
-    each = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    text, site = F.col(f"`{text_col}`"), F.col(f"`{site_col}`")
+    # keys first: beside posexplode they would be computed for every line
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{id_col}`").alias("id"), site.alias("site"), F.split(text, "\n").alias("parts"))
+    each = keyed.select("k1", "k2", "id", "site", F.posexplode("parts").alias("pos", "line"))
     line = F.trim("line")
     return each.select("k1", "k2", "id", "site", "pos", line.alias("line")).where("line <> ''").select("k1", "k2", "id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
@@ -46,31 +50,35 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """docs with __lines, __removed and __kept."""
+    """docs, with columns c0 and so on, and n_lines, n_removed and kept."""
     lines = _lines(docs, id_col, text_col, site_col)
     spread_lines = cut(spread(lines, min_sites))  # apart from the join, whose hot lines Spark can split then
     here = F.struct("k1", "k2", "pos")
     first = F.struct(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))
-    removed = lines.join(spread_lines, ["h1", "h2"]).where(here != first).groupBy("k1", "k2").agg(F.collect_set("pos").alias("__gone"))
+    removed = lines.join(spread_lines, ["h1", "h2"]).where(here != first).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
     k1, k2 = row_key(id_col, text_col)
-    joined = docs.select("*", k1.alias("__k1"), k2.alias("__k2")).join(removed.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    return joined.select(*(f"`{c}`" for c in docs.columns), F.coalesce(F.size(parts).cast("long"), F.lit(0)).alias("__lines"), F.coalesce(F.size("__gone").cast("long"), F.lit(0)).alias("__removed"), kept.alias("__kept"))
+    joined = docs.select(k1.alias("k1"), k2.alias("k2"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).join(removed, ["k1", "k2"], "left")
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    parts = F.split(text, "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")  # by hashing, in order
+    # the array of one array gives the lines a name, so that they are split once
+    kept = F.transform(F.array(parts), lambda some: F.array_join(F.transform(places, lambda i: some[i]), "\n"))[0]
+    n_lines, n_removed = F.coalesce(F.size(parts).cast("long"), F.lit(0)), F.coalesce(F.size("gone").cast("long"), F.lit(0))
+    return joined.select("*", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.when(F.col("gone").isNull(), text).otherwise(kept).alias("kept"))
 
 
 def mark_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with n_lines, n_removed and kept_text (null for a null text); columns of docs with these names are replaced."""
     marked = _marked(docs, min_sites, id_col, text_col, site_col)
-    names = {"__lines": "n_lines", "__removed": "n_removed", "__kept": "kept_text"}
-    return marked.select(*(f"`{c}`" for c in docs.columns if c not in names.values()), *(F.col(a).alias(b) for a, b in names.items()))
+    carried = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed", "kept_text")]
+    return marked.select(*carried, "n_lines", "n_removed", F.col("kept").alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with their boilerplate lines taken out; a document of which only blank lines are left goes."""
     marked = _marked(docs, min_sites, id_col, text_col, site_col)
-    stays = (F.col("__removed") == 0) | F.col("__kept").rlike(r"[^ \n]")
-    return marked.where(stays).select(*(F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    stays = (F.col("n_removed") == 0) | F.col("kept").rlike(r"[^ \n]")
+    return marked.where(stays).select(*((F.col("kept") if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
 def oracle(min_sites: int) -> str:

@@ -4,15 +4,20 @@ Documents are tokenised to piece lengths on the executors. The plan depends only
 there are of each length, a table of at most `capacity` rows at any corpus size, so it is made on the
 driver: for each length, longest first, combinations of one, two or three shorter lengths that fill
 the gap exactly are looked up by their sum and consumed as often as the counts allow; what is left
-goes by best fit. Of the plans with up to three, two, one and no combined lengths, the shortest is taken. The plan names slots (length, first rank, first sequence, offset). Pieces then get their rank
-within their length, hot lengths in buckets, and find their slot.
+goes by best fit. Pieces longer than half a sequence each need a sequence of their own, so the look-up looks ahead: a combination may
+use more short pieces than it fills such sequences only while enough short ones are left for every long one that still waits. Plans with
+combinations of up to three, two and one length are made in this way, and the one of fewest sequences counts. The plan names slots (length, first rank, first sequence, offset). Pieces then get their rank within their length, hot lengths
+in buckets, and find their slot.
 
 Cases: a null text is empty and has the one closing token; no rows give no rows; repeated rows are packed
-as often as they come; a null id is carried; other columns are not read.
+as often as they come; among pieces of one length, ids in order take slots in order, and rows that agree in all are alike; a text of any
+length is tokenised in parts that end at white space; a null id is carried; an empty table gives an empty table; other columns are
+not read; a vocabulary file of another kind raises.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -23,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import blocks, cut, quiet_threads, small_batches, utf8
+from quillsift.llm.common import blocks, cut, parts_at_spaces, quiet_threads, small_batches, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Entries of a worker's table from white-space separated strings to ids.
 CACHE_ENTRIES = 1_000_000
+#: Bytes of a long text that are encoded at once.
+PART_BYTES = 1 << 20
 #: Pieces of one length that are ranked together at least.
 BUCKET_ROWS = 250
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -54,6 +61,8 @@ class ChunkEncoder:
         quiet_threads()
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            _check(json.load(f), path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -68,23 +77,28 @@ class ChunkEncoder:
     def encode_many(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text; the new strings of a block of texts are learnt together."""
         for begin, end in blocks(texts):
-            if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
-                self.known, self.old = {}, self.known
-            held: list[tuple[list[bytes], list[bytes | None]]] = []
-            new: set[bytes] = set()
-            for t in texts[begin:end]:
-                words = (t if b"<|" in t else t.lower()).split()
-                ids = list(map(self.known.get, words))
-                if None in ids:
-                    new.update([w for w, i in zip(words, ids, strict=True) if i is None])
-                held.append((words, ids))
-            again = {w: self.old[w] for w in new if w in self.old}
-            self.known.update(again)
-            if len(again) < len(new):
-                self._learn(new.difference(again))
-            known = self.known
-            for words, ids in held:
-                yield b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
+            if end - begin == 1 and len(texts[begin]) > PART_BYTES:
+                yield b"".join(b"".join(self._encode_block([part])) for part in parts_at_spaces(texts[begin], PART_BYTES))
+            else:
+                yield from self._encode_block(texts[begin:end])
+
+    def _encode_block(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
+            self.known, self.old = {}, self.known
+        held: list[tuple[list[bytes], list[bytes | None]]] = []
+        new: set[bytes] = set()
+        for t in texts:
+            words = (t if b"<|" in t else t.lower()).split()
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                new.update([w for w, i in zip(words, ids, strict=True) if i is None])
+            held.append((words, ids))
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.known.update(again)
+        if len(again) < len(new):
+            self._learn(new.difference(again))
+        known = self.known
+        return [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in held]
 
     def encode(self, text: bytes) -> bytes:
         return next(self.encode_many([text]))
@@ -121,6 +135,26 @@ class ChunkEncoder:
         self.known.update((w, self.known[body] + self.known[marks]) for w, (body, marks) in marked.items())
 
 
+def _check(spec: dict, path: str) -> None:
+    """Raises unless the file lower-cases, splits at white space, and ends words with </w>."""
+    steps = spec.get("normalizer") or {}
+    steps = steps.get("normalizers", [steps])
+    split = spec.get("pre_tokenizer") or {}
+    split = split.get("pretokenizers", [split])
+    wrong = [
+        name
+        for name, bad in (
+            ("normaliser", {s.get("type") for s in steps} - {"Replace"} != {"NFC", "Lowercase"} or any(s["type"] == "Replace" and s.get("content") != " " for s in steps)),
+            ("pre-tokeniser", [s.get("type") for s in split] != ["Split", "ByteLevel"] or split[0].get("behavior") != "Removed" or not split[0].get("invert") or split[1].get("add_prefix_space")),
+            ("model", spec["model"].get("end_of_word_suffix") != "</w>" or any(spec["model"].get(k) for k in ("dropout", "unk_token", "byte_fallback"))),
+            ("added tokens", any(not t["content"].startswith("<|") or any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in spec["added_tokens"])),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path} is no vocabulary of lower-case words; it differs in its {', '.join(wrong)}")
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row for each piece of at most `capacity` tokens; every document ends with `end_id`."""
     end = np.asarray([end_id], "<u4").tobytes()
@@ -139,7 +173,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, PIECES)
 
 
 class Plan:
@@ -200,15 +234,11 @@ def _complement(left: np.ndarray, gap: int, pairs: np.ndarray, most: int) -> tup
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
-    """Sequences for `counts` pieces of each length.
-
-    Filling gaps early can leave large pieces without small ones to go with, so plans with fewer combined pieces are
-    made too, down to best fit alone, and the shortest counts; a plan without waste ends the search.
-    """
+    """Sequences for `counts` pieces of each length: the shortest of the plans with combinations of up to three, two and one length."""
     least = -(-sum(k * n for k, n in counts.items()) // capacity)
     best: Plan | None = None
-    for most in (3, 2, 1, 0):
-        plan = _plan(counts, capacity, most)
+    for longest in (3, 2, 1):
+        plan = _plan(counts, capacity, longest)
         if best is None or plan.sequences < best.sequences:
             best = plan
         if best.sequences == least:
@@ -216,13 +246,16 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     return best
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> Plan:
+def _plan(counts: dict[int, int], capacity: int, longest: int) -> Plan:
     plan = Plan(capacity)
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
     plan.add((capacity,), int(left[capacity]))
     left[capacity] = 0
+    half = capacity // 2
+    #: Short pieces that are left, less the long ones that still need one, matched by best fit or here.
+    surplus = int(left[: half + 1].sum() - left[half + 1 :].sum())
 
     def pair_sums() -> np.ndarray:
         have = (left > 0).astype(float)
@@ -233,9 +266,11 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> Plan:
     rest = np.zeros_like(left)
     pairs, fresh = pair_sums(), int((left > 0).sum())
     for length in range(capacity - 1, 0, -1):
+        own = -1 if length > half else 1  # what the piece itself takes from the surplus
         while left[length]:
             left[length] -= 1  # the piece whose gap is to be filled
-            found = _complement(left, capacity - length, pairs, most)
+            most = min(longest, surplus - own)
+            found = _complement(left, capacity - length, pairs, most) if most > 0 else ()
             left[length] += 1
             if not found:
                 rest[length] += left[length]
@@ -245,7 +280,10 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> Plan:
             for x in (length, *found):
                 need[x] += 1
             times = min(int(left[x]) // n for x, n in need.items())
+            if (taken := own + len(found)) > 0:
+                times = min(times, surplus // taken)
             plan.add((length, *found), times)
+            surplus -= taken * times
             for x, n in need.items():
                 left[x] -= n * times
         if (now := int((left > 0).sum())) != fresh:

@@ -6,17 +6,19 @@ that can't grow become anchors, anchors that follow each other in a template and
 a chain that covers enough of its template is a span with that template's label. A phrase is found where the
 matching statistics reach a state whose suffix chain holds the phrase.
 
-The automaton depends on the templates only and is built once in each worker. Documents are read once; nothing is
-shuffled.
+The automaton depends on the templates, phrases and settings only, all of which a caller may give, and is built once in each worker process.
+Documents are read once; nothing is shuffled. Words are turned into numbers a part of a text at a time, so that a long text takes four bytes a word.
 
-Cases: a null or empty text has no words, no label and score 0; long texts are scanned whole; a null id is
-carried; repeated rows and other columns don't matter.
+Cases: a null or empty text has no words, no label and score 0; long texts are scanned whole; a template of fewer words than an anchor, or a phrase of fewer than two, raises; of
+places where a template fits as well, the first in the template counts; a null id is carried; repeated rows and other columns
+don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import small_batches, utf8
+from quillsift.llm.common import parts_at_spaces, small_batches, utf8
 
 #: Lower-cases A-Z and turns every byte that isn't part of a word into a space; bytes of other scripts are kept.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -53,6 +55,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
+#: Up to so many different words in templates, pairs are looked up in a table.
+TABLE_WORDS = 4096
 SPAN = "struct<label:string,template:int,first_word:long,last_word:long,coverage:double>"
 SCANNED = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<{SPAN}>"
 
@@ -142,13 +146,16 @@ class LicenseScanner:
             for w in words:
                 self.ids.setdefault(w, len(self.ids) + 1)
         coded = [[self.ids[w] for w in words] for words in (*split, *base)]
+        if any(len(words) < settings.min_match for words in split) or any(len(words) < 2 for words in base):
+            raise ValueError(f"a template has at least {settings.min_match} words and a phrase two")
         self.sizes = [len(c) for c in coded[: len(split)]]
         self.automaton = SuffixAutomaton(coded)
-        size = len(self.ids) + 1
-        #: Whether two words follow each other in a template: longer matches lie within runs of such pairs.
-        self.follows = np.zeros((size, size), bool)
-        for c in coded:
-            self.follows[c[:-1], c[1:]] = True
+        #: Pairs of words that follow each other in a template, as one number each: longer matches lie within runs of such pairs.
+        self.size = len(self.ids) + 1
+        self.follows = np.unique(np.concatenate([np.asarray(c[:-1], np.int64) * self.size + c[1:] for c in coded]))
+        self.table = np.zeros(self.size**2 if self.size <= TABLE_WORDS else 0, bool)
+        if len(self.table):
+            self.table[self.follows] = True
         #: For each state, the phrases on its suffix chain: (words, label).
         self.phrases: list[tuple[tuple[int, str], ...]] = [()] * len(self.automaton.length)
         ends = {}
@@ -159,12 +166,11 @@ class LicenseScanner:
             self.phrases[v] = (*self.phrases[self.automaton.link[v]], *ends.get(v, ()))
 
     def scan(self, text: bytes) -> dict:
-        words = words_of(text)
+        ids = self._coded(text)
         base: list[tuple[int, str]] = []
         anchors: list[tuple[int, int, int]] = []  # first word, words, state
-        if len(words) > 1:
-            ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
-            pairs = np.flatnonzero(self.follows[ids[:-1], ids[1:]])
+        if len(ids) > 1:
+            pairs = np.flatnonzero(self._known(ids[:-1].astype(np.int64) * self.size + ids[1:]))
             for run in np.split(pairs, np.flatnonzero(np.diff(pairs) > 1) + 1) if len(pairs) else ():
                 self._stream(int(run[0]), ids[run[0] : run[-1] + 2].tolist(), base, anchors)
         spans = self._chain(anchors)
@@ -174,11 +180,21 @@ class LicenseScanner:
         base_labels = sorted({label for _, label in base})
         starts = [at for at, _ in base]
         return {
-            "n_words": len(words), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(base_labels),
+            "n_words": len(ids), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(base_labels),
             "labels": ",".join(sorted({*base_labels, *(s[0] for s in spans)})), "score": 1.0 if base else min(1.0, best),
             "spans": [dict(zip(("label", "template", "first_word", "last_word", "coverage"), s, strict=True)) for s in spans],
         }
 
+    def _known(self, pairs: np.ndarray) -> np.ndarray:
+        if len(self.table):
+            return self.table[pairs]
+        return self.follows[np.minimum(np.searchsorted(self.follows, pairs), len(self.follows) - 1)] == pairs
+
+    def _coded(self, text: bytes) -> np.ndarray:
+        """The number of each word, 0 for those that no template has."""
+        parts = [words_of(part) for part in parts_at_spaces(text)]
+        return np.concatenate([np.empty(0, np.int32), *(np.fromiter(map(self.ids.get, words, repeat(0)), np.int32, len(words)) for words in parts)])
+
     def _stream(self, at: int, ids: list[int], base: list, anchors: list) -> None:
         least = self.settings.min_match
         before = (0, 0)
@@ -218,15 +234,27 @@ class LicenseScanner:
         return sorted(done, key=lambda s: (s[1], s[2]))
 
 
-def scan_documents(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Phrases, labels and spans of each document (SCANNED); places are counted in words from 0."""
+@lru_cache(maxsize=4)
+def scanner_of(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], settings: Settings) -> LicenseScanner:
+    """This worker's scanner, kept from task to task."""
+    return LicenseScanner(templates, dict(phrases), settings)
+
+
+def scan_documents(
+    docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] | None = None
+) -> DataFrame:
+    """Phrases, labels and spans of each document (SCANNED); places are counted in words from 0. `templates` are (label, text), `phrases` have
+    their labels; a span's template is its place in `templates`."""
+    known = tuple((label, text) for label, text in templates), tuple((BASE_PHRASES if phrases is None else phrases).items()), settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = LicenseScanner(settings=settings)
+        from quillsift.llm.licenses import scanner_of
+
+        scanner = scanner_of(*known)
         span = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("coverage", pa.float64())])
         kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(span)}
         for batch in batches:
             rows = [scanner.scan(t) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in kinds.items())], ["doc_id", *kinds])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCANNED)
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, SCANNED)

@@ -6,10 +6,14 @@ and a text gets the language of its nearest centroid. Each centroid has a radius
 made of; a text outside the radius of its nearest centroid is rejected. The reach is wider for short texts, which can't come as near.
 
 The model is fitted on at most `max_fit_rows` labelled texts (those with the least hashes, at most `per_language` for
-each language; copies count once), on the driver; predictions read every text whole. The model's size depends on the number of languages only.
-
-Cases: a null text, or one without a letter, is `und`, rejected, with score 0; repeated rows get equal predictions; a null label
-or id is not learnt from; without labels everything is `und`; an empty table gives an empty table; keep_known carries other columns through.
+each language; copies count once), on the driver; predictions read every text whole. The model's size depends on the number of languages
+only. Distinct hashes are counted by their size in bits, a row for each language and bit, which says below which power of two a language has
+enough of them: about twice as many texts as are wanted are ranked, however many there are.
+
+Cases: a null text, or one without a letter, is `und`, rejected, with score 0; long texts are counted in parts; repeated rows get equal
+predictions; a null label or id is not learnt from; more languages than `max_fit_rows` raise; without labels everything is `und`; ties
+between centroids go to the first language by name; an empty table gives an empty table; keep_known carries other columns, whatever
+their names, through.
 """
 
 from __future__ import annotations
@@ -45,13 +49,22 @@ def has_letter(text: bytes) -> bool:
 
 def counts(texts: list[bytes]) -> np.ndarray:
     """Counts of hashed n-grams, a row for each text."""
-    raw = np.frombuffer(b"".join(b" " + t.translate(_LETTERS) + b" " for t in texts), np.uint8).astype(np.uint32)
-    row = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+    if len(texts) == 1 and len(texts[0]) > _BYTES:
+        padded = b" " + texts[0].translate(_LETTERS) + b" "
+        return sum(_counts([padded[at : at + _BYTES + 2]], min(_BYTES, len(padded) - at)) for at in range(0, len(padded), _BYTES))
+    return _counts([b" " + t.translate(_LETTERS) + b" " for t in texts])
+
+
+def _counts(padded: list[bytes], most: int | None = None) -> np.ndarray:
+    """Counts of the n-grams that begin in the first `most` bytes of each."""
+    raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
+    row = np.repeat(np.arange(len(padded)), list(map(len, padded)))
     pair = raw[:-1] << 8 | raw[1:]
     triple = pair[:-1] << 8 | raw[2:]
-    out = np.zeros((len(texts), DIMENSIONS), np.int64)
+    out = np.zeros((len(padded), DIMENSIONS), np.int64)
     for grams, width, salt in ((pair, 2, 0x9E3779B1), (triple, 3, 0x85EBCA77)):
         inside = (row[: len(grams)] == row[width - 1 :]) & (grams != (0x2020 if width == 2 else 0x202020))
+        inside[len(raw) if most is None else most :] = False
         place = (grams[inside] * np.uint32(salt)) >> np.uint32(32 - 13)
         out += np.bincount(row[: len(grams)][inside] * DIMENSIONS + place, minlength=out.size).reshape(out.shape)
     return out
@@ -113,18 +126,29 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_fit_rows: int = MAX_FIT_ROWS) -> LanguageModel:
     """From rows (text, lang)."""
-    known = [r["lang"] for r in labelled.select("lang").distinct().collect()]  # as many as there are languages
+    spark = labelled.sparkSession
+    # copies share a hash, and distinct hashes are counted
+    least = F.shiftrightunsigned(F.xxhash64("text"), 1)  # 63 bits
+    sizes = labelled.select("lang", least.alias("h")).distinct().groupBy("lang", F.length(F.bin("h")).alias("bits")).agg(F.count("*").alias("n"))
+    found = sizes.limit(64 * max_fit_rows + 1).collect()  # 63 rows a language at most
+    known = sorted({r["lang"] for r in found})
     if not known:
         return LanguageModel([], *(np.zeros(0),) * 4)
-    each = max(1, min(per_language, max_fit_rows // len(known)))
-    # copies share a hash: distinct hashes are ranked, and only texts up to each language's last chosen one are read again
-    hashes = labelled.select("lang", F.xxhash64("text").alias("h")).distinct()
-    chosen = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each)
-    last = {r["lang"]: r["h"] for r in chosen.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    upto = F.create_map(*(F.lit(x).cast(kind) for lang, h in last.items() for x, kind in ((lang, "string"), (h, "long"))))
-    least = labelled.select("text", "lang").where(F.xxhash64("text") <= F.element_at(upto, F.col("lang"))).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    if len(known) > max_fit_rows:
+        raise ValueError(f"more than {max_fit_rows} languages")
+    each = min(per_language, max_fit_rows // len(known))
+    below = {}
+    for lang in known:
+        n = 0
+        for bits, some in sorted((r["bits"], r["n"]) for r in found if r["lang"] == lang):
+            n += some
+            below[lang] = (1 << bits) - 1
+            if n >= each:
+                break
+    limits = spark.createDataFrame(sorted(below.items()), "lang string, most long")  # a row for each language
+    near = labelled.join(F.broadcast(limits), "lang").where(least <= F.col("most")).select("text", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(least, "text")  # of about twice as many rows as are wanted, for each language
+    sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +164,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_fit_rows: int
     table = np.zeros((len(rows), DIMENSIONS), np.int32)
     for i, r in enumerate(rows):
         table[i, np.frombuffer(r["k"], np.uint16)] = np.frombuffer(r["c"], np.int32)
-    languages = sorted(known)
+    languages = known
     idf = (np.log((1 + len(rows)) / (1 + (table > 0).sum(axis=0))) + 1).astype(np.float32)
     model = LanguageModel(languages, idf, *(np.zeros(0),) * 3)
     x = model.vectors(table)
@@ -163,8 +187,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_fit_rows: int
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """`train` says which rows may be learnt from."""
-    usable = train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
-    return fit(docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    return fit(docs.where(train & lang.isNotNull() & text.rlike(r"\p{L}")).select(text.alias("text"), lang.cast("string").alias("lang")))
 
 
 def predict_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +199,7 @@ def predict_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
             names, scores, accepted = model.predict(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -184,6 +208,6 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.predict(utf8(batch.column(place)))[2]))
+            yield batch.filter(pa.array(model.predict(utf8(batch.column(place)))[2], pa.bool_()))
 
     return small_batches(docs).mapInArrow(run, docs.schema)

@@ -17,13 +17,13 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of it and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these. Edges go from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes, which takes a number of rounds of the order
     of the logarithm squared of the nodes at most. Each round has as many edges as the one before or fewer, and is
-    checkpointed; a node with very many links is one row of the aggregate, and the join with it can be split.
+    checkpointed. A node with very many links is one row of the partial aggregate; that is checkpointed too, apart from the join with the
+    links, so that Spark can split the links of such a node.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)

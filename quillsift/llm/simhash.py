@@ -10,11 +10,12 @@ Only links that connect are returned, so a dense group of n fingerprints gives f
 Keys with very many fingerprints are dealt into cells: the fingerprints of a key are hashed into s parts and each pair of
 parts is a cell, so that a task's work is bounded and every pair still meets.
 
-Copies share a fingerprint and are one row from the first aggregation on. Components of the links come from graph.components.
+Copies share a fingerprint and are one row from the first aggregation on. Components of the links come from graph.components; what is
+joined back to them is checkpointed first, so that Spark can split the rows of a large component.
 
-Cases: a null text counts as empty; texts without a word have fingerprint zero and are linked like any other; repeated rows get the same
-component; rows with a null id take part in links and get the component's id (null if it has none other); an empty table
-gives an empty table; other columns are carried through by keep_first and not read otherwise. keep_first states which rows stay
+Cases: a null text counts as empty; texts without a word have fingerprint zero and are linked like any other; long texts are hashed in parts
+that overlap by a shingle less a word; repeated rows get the same component; ties in the number of set bits leave a bit at 0; rows with a null id take part in links and get the component's id (null if it has none other); an empty table
+gives an empty table; other columns, whatever their names, are carried through by keep_first and not read otherwise. keep_first states which rows stay
 where ids are shared or null.
 """
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, small_batches, utf8
+from quillsift.llm.common import cut, parts_at_spaces, small_batches, utf8
 from quillsift.llm.graph import components
 
 SEED = 42
@@ -44,33 +45,43 @@ _BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 def fingerprint(text: bytes, width: int = 4) -> int:
     """64 bits by majority over the hashes of all shingles of `width` words."""
-    words = text.lower().split()
-    if not words:
-        return 0
+    ones, n = np.zeros(64, np.int64), 0
+    carried: list[bytes] = []  # words that begin shingles of the next part
+    for part in parts_at_spaces(text):
+        words = carried + part.lower().split()
+        carried = words[-width + 1 :] if width > 1 else []
+        if len(words) < width:
+            carried = words
+            continue
+        hashes = _shingles(words, width)
+        n += len(hashes)
+        for at in range(0, len(hashes), 255):
+            some = hashes[at : at + 255].view(np.uint8).reshape(-1, 8)
+            ones += np.add.reduce(np.unpackbits(some, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    if not n:  # fewer words: the whole sequence
+        return xxhash.xxh64_intdigest(b" ".join(carried), SEED) if carried else 0
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
+def _shingles(words: list[bytes], width: int) -> np.ndarray:
     joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 255):
-        some = hashes[at : at + 255].view(np.uint8).reshape(-1, 8)
-        ones += np.add.reduce(np.unpackbits(some, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long), and if hashed k, the hash that tells texts of one id apart."""
-    more = [F.xxhash64(text_col).alias("k")] if hashed else []
+    text = F.col(f"`{text_col}`")
+    more = [F.xxhash64(text).alias("k")] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, width) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "k"][: batch.num_columns])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", k long" * hashed)
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", k long" * hashed)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -242,7 +253,7 @@ def _firsts(prints: DataFrame, least: Column, most: int) -> DataFrame:
     distinct = cut(prints.groupBy("fp").agg(least.alias("least")))
     roots = components(links(distinct.select("fp"), most)).withColumnsRenamed({"node": "fp"})
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    first = cut(rooted.groupBy("root").agg(F.min("least").alias("first")))  # apart from the join, whose hot roots Spark can split then
     return rooted.join(first, "root").select("fp", "first")
 
 
@@ -260,6 +271,8 @@ def keep_first(docs: DataFrame, width: int = 4, most: int = 4, id_col: str = "do
     prints = cut(fingerprints(docs, width, id_col, text_col, hashed=True))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
     first = _firsts(prints, F.min(place), most)
-    later = prints.join(first, "fp").where(place != F.col("first")).select(F.col("doc_id").alias("__dropped"), F.col("k").alias("__k")).distinct()
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__dropped")) & (F.xxhash64(docs[text_col]) == F.col("__k"))
-    return docs.join(later, same, "left_anti")
+    later = prints.join(first, "fp").where(place != F.col("first")).select("doc_id", "k").distinct()
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.xxhash64(text).alias("t"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    left = keyed.join(later, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("k")), "left_anti")
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

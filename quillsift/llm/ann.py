@@ -266,7 +266,7 @@ def build_index(valid: DataFrame, k: int, shard_rows: int = SHARD_ROWS, element:
     deal = spark.createDataFrame([(d, a, n) for d, (a, n) in first.items()], "dim int, first int, parts int")
     dealt = nodes.withColumn("dim", F.size("v")).join(F.broadcast(deal), "dim")  # a row for each vector length
     shard = (F.col("first") + F.pmod("h1", "parts")).cast("int")
-    dealt = dealt.select(shard.alias("shard"), "dim", "h2", "ids", "v").repartition(total, "shard").sortWithinPartitions("shard", "h2", F.col("ids")[0])
+    dealt = dealt.select(shard.alias("shard"), "dim", "h2", "ids", "v").repartitionByRange(total, "shard").sortWithinPartitions("shard", "h2", F.col("ids")[0])  # hashes of few numbers would put several shards in a task
 
     def make(shard: int, dim: int, draw: list, ids: list, flat: np.ndarray) -> pa.RecordBatch:
         x = flat.reshape(-1, dim)
@@ -370,7 +370,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int =
     nothing = index.schema
     visits = blocks.select("shard", "grp", "block", *(F.lit(None).cast(nothing[c].dataType).alias(c) for c in nothing.names[1:]), "queries", "places")
     kept = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(-1).alias("block"), *nothing.names[1:], F.lit(None).cast("array<struct<h1:long,h2:long>>").alias("queries"), F.lit(None).cast("binary").alias("places"))
-    width = max(1, shards.count() * groups)
+    width = max(1, 4 * shards.count() * groups)  # few meet in a task by chance
     met = kept.unionByName(visits).repartition(width, "shard", "grp").sortWithinPartitions("shard", "grp", "block")
     found = small_batches(met).mapInArrow(_search(k, beam, element), "h1 long, h2 long, vec_id long, score double")
     order = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")

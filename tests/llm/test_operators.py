@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,6 +121,75 @@ def test_license_spans():
     assert scanner.scan(b"permission to use the copy of the work in the house")["labels"] == ""
 
 
+def brute_spans(templates, text, settings=licenses.Settings()):
+    """Spans by looking for every stretch of words in every template."""
+    split = [licenses.words_of(t.encode()) for _, t in templates]
+    words = licenses.words_of(text.encode())
+    places = defaultdict(list)
+    for k, t in enumerate(split):
+        for i in range(len(t)):
+            for j in range(i + 1, len(t) + 1):
+                places[tuple(t[i:j])].append((k, i))
+    longest = [next((n for n in range(i + 1, 0, -1) if tuple(words[i + 1 - n : i + 1]) in places), 0) for i in range(len(words))]
+    anchors = [(i + 1 - n, n) for i, n in enumerate(longest) if n >= settings.min_match and (i + 1 == len(words) or longest[i + 1] <= n)]
+    out = []
+    for k, t in enumerate(split):
+        chains = []  # first word, last word, last place, words
+        for at, n in anchors:
+            for q, begin in places[tuple(words[at : at + n])]:
+                if q != k:
+                    continue
+                end, now = begin + n - 1, chains[-1] if chains else None
+                if now and begin > now[2] and 0 < at - now[1] <= settings.max_gap:
+                    now[1:] = [at + n - 1, end, now[3] + n]
+                elif now and at <= now[1]:
+                    grown = at + n - 1 - now[1]
+                    if grown > 0 and end - grown >= now[2]:
+                        now[1:] = [at + n - 1, end, now[3] + grown]
+                else:
+                    chains.append([at, at + n - 1, end, n])
+        least = settings.short_coverage if len(t) <= settings.short_words else settings.min_coverage
+        out += [(k, a, b, n / len(t)) for a, b, _, n in chains if n / len(t) >= least]
+    return sorted(out)
+
+
+def test_license_spans_equal_brute_force(spark, monkeypatch):
+    """Texts of cut, changed, repeated and mixed templates, with the built-in and with own templates."""
+    r = random.Random(18)
+    own = tuple((f"l{k % 3}", " ".join(r.choices("abcdefgh", k=r.randrange(3, 25)))) for k in range(9))
+    for templates in (licenses.TEMPLATES, own):
+        scanner = licenses.LicenseScanner(templates)
+        texts = []
+        for _ in range(60):
+            parts = []
+            for _ in range(r.randrange(1, 4)):
+                w = r.choice(templates)[1].split()
+                a = r.randrange(len(w))
+                w = w[a:] + w[: r.randrange(3)] if r.random() < 0.3 else w
+                parts += [x if r.random() > 0.05 else "other" for x in w] + ["between"] * r.randrange(3)
+            texts.append(" ".join(parts))
+        for text in texts:
+            got = sorted((s["template"], s["first_word"], s["last_word"], s["coverage"]) for s in scanner.scan(text.encode())["spans"])
+            assert got == brute_spans(templates, text)
+        monkeypatch.setattr(licenses, "TABLE_WORDS", 1)
+        untabled = licenses.LicenseScanner(templates)
+        assert [untabled.scan(t.encode()) for t in texts] == [scanner.scan(t.encode()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "`an id` long, `a.text` string")
+    got = licenses.scan_documents(df, id_col="an id", text_col="a.text", templates=own, phrases={"a b": "ab"}).collect()
+    assert {x["doc_id"]: [s["template"] for s in x["spans"]] for x in got} == {i: [k for k, *_ in brute_spans(own, t)] for i, t in enumerate(texts)}
+    assert {x["doc_id"]: x["n_base"] for x in got} == {i: sum(t.split()[j : j + 2] == ["a", "b"] for j in range(len(t.split()))) for i, t in enumerate(texts)}
+    for bad in (dict(templates=(("x", "two words"),)), dict(phrases={"one": "x"})):
+        with pytest.raises(ValueError, match="template"):
+            licenses.LicenseScanner(**bad)
+
+
+def test_license_long_text():
+    scanner = licenses.LicenseScanner()
+    got = scanner.scan(b"plain words \xc3\xa9 here " * 200_000 + licenses.TEMPLATES[0][1].encode() + b" mit license")
+    assert got["n_words"] == 800_000 + len(licenses.words_of(licenses.TEMPLATES[0][1].encode())) + 2
+    assert (got["labels"], got["n_base"], got["first_word"]) == ("mit", 1, got["n_words"] - 2) and got["spans"][0]["first_word"] == 800_000
+
+
 # 2 lines
 
 
@@ -163,6 +233,22 @@ def test_line_near_threshold_is_exact(spark):
     assert removed == {"line1": 2999, "line2": 3000}
 
 
+def test_many_lines_and_odd_names(spark):
+    """Two hundred thousand lines in a text, half of them boilerplate, in columns named like the operator's own."""
+    common = [f"common {i}" for i in range(100_000)]
+    texts = ["\n".join(x for i, c in enumerate(common) for x in (c, f"own {d} {i}")) for d in range(3)]
+    data = [(d, t, f"s{d}", "x", 1, 2, 3) for d, t in enumerate(texts)] + [(9, None, "s9", "x", 1, 2, 3)]
+    df = spark.createDataFrame(data, "`the id` long, `a.text` string, k1 string, c0 string, gone int, kept int, pos int")
+    began = time.perf_counter()
+    kept = line_dedup.dedup_lines(df, 3, "the id", "a.text", "k1")
+    got = {r["the id"]: r for r in kept.collect()}
+    assert time.perf_counter() - began < 60
+    assert kept.columns == df.columns and [f.dataType for f in kept.schema] == [f.dataType for f in df.schema]
+    assert got[0]["a.text"] == texts[0] and got[9]["a.text"] is None
+    for d in (1, 2):
+        assert got[d]["a.text"] == "\n".join(f"own {d} {i}" for i in range(100_000)) and tuple(got[d])[2:] == (f"s{d}", "x", 1, 2, 3)
+
+
 # 3 BPE
 
 
@@ -200,6 +286,27 @@ def test_bpe_pairs_of_tokens():
     assert codec.encode_words(words) == [codec.exact(w) for w in words]
 
 
+def test_bpe_long_words_and_texts(reference_bpe, monkeypatch):
+    """A word of a megabyte takes seconds, and texts that are split in stretches are encoded as wholes."""
+    codec, r = bpe.SpeculativeBpe(BYTE_BPE), random.Random(5)
+    word = "".join(r.choices("abcdefghijklmnopqrst", k=1 << 20))
+    for text in (word, "a" * 200_000, word[:5000] + "é" * 5000, "=" * 70_000 + word[:3000]):
+        assert codec.encode(text.encode()) == reference_bpe.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "STRETCH", 50)
+    monkeypatch.setattr(bpe, "LONG_WORD", 3)
+    for _ in range(200):
+        text = "".join(r.choice(["word", "  ", " ", "'s", "12", "é", "<|endoftext|>", "\n", " \t", "x", "中", "..."]) for _ in range(300))
+        for _ in range(2):
+            assert next(codec.encode_many([text.encode()])) == reference_bpe.encode(text, add_special_tokens=False).ids
+        codec.known.clear()
+        codec.old.clear()
+
+
+def test_bpe_other_vocabularies():
+    with pytest.raises(ValueError, match="normaliser"):
+        bpe.SpeculativeBpe(WORD_BPE)
+
+
 def test_bpe_small_table():
     """The table of known runs may be dropped at any time."""
     codec = bpe.SpeculativeBpe(BYTE_BPE, entries=3)
@@ -251,6 +358,84 @@ def test_language_copies(spark):
     assert [got[i] for i in (0, 1, 2)] == ["aa", "aa", "bb"]
 
 
+def language_texts(n, seed=5):
+    r = random.Random(seed)
+    syllables = {"aa": "ka to mi ru ne".split(), "bb": "sch ung ein der ach".split(), "cc": "que aux oi ent ille".split()}
+    langs = [r.choice(list(syllables)) for _ in range(n)]
+    return [(i, " ".join("".join(r.choices(syllables[lang], k=r.randrange(1, 4))) for _ in range(r.randrange(5, 60))), lang) for i, lang in enumerate(langs)]
+
+
+def test_language_hot_copy(spark):
+    """However small its hash is, one text's copies don't stand for their language."""
+    data = language_texts(1500)
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    hot = df.where("lang = 'aa'").orderBy(F.shiftrightunsigned(F.xxhash64("text"), 1)).limit(1)
+    many = df.union(hot.join(spark.range(3000).select(F.lit(1).alias("x")), F.lit(True)).drop("x"))
+    model = language.learn(many, F.lit(True))
+    assert [model.of.tolist().count(i) for i in range(3)] == [language.CLUSTERS] * 3
+    got = {r["doc_id"]: r for r in language.predict_documents(df, model).collect()}
+    assert sum(got[i]["lang_pred"] == lang for i, _, lang in data) > 0.99 * len(data)
+    assert sum(got[i]["accepted"] for i, *_ in data) >= 0.99 * len(data)
+
+
+def test_language_sample_is_bounded(spark):
+    df = spark.createDataFrame(language_texts(600), "doc_id long, text string, lang string")
+    small = language.fit(df, per_language=50, max_fit_rows=90)  # 30 of each
+    least = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)).toPandas().sort_values("h").groupby("lang").head(30)
+    again = language.fit(spark.createDataFrame(least[["text", "lang"]]), per_language=50, max_fit_rows=90)
+    assert np.array_equal(small.centroids, again.centroids) and np.array_equal(small.idf, again.idf)
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(spark.range(9).select(F.col("id").cast("string").alias("text"), F.col("id").cast("string").alias("lang")), max_fit_rows=4)
+
+
+def test_language_equals_dense_model(spark):
+    """Predictions equal those of a dictionary-based TF-IDF and dense centroids made from the same sample."""
+    data = [(*x[:2], "aa" if x[2] == "cc" else x[2]) for x in language_texts(120)] + [(500 + i, t, "zz") for i, t in enumerate(("Ωμέγα δέλτα", "γάμμα Ωμέγα", "12 ab, AB!"))]
+    model = language.learn(spark.createDataFrame(data, "doc_id long, text string, lang string"), F.lit(True))
+
+    def grams(text):
+        raw = b" " + "".join(c if c.isascii() and c.isalpha() or ord(c) > 127 else " " for c in text).encode().lower() + b" "
+        found = Counter()
+        for width, salt in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for i in range(len(raw) - width + 1):
+                if (gram := raw[i : i + width]) != b" " * width:
+                    found[int.from_bytes(gram, "big") * salt % 2**32 >> 19] += 1
+        return found
+
+    counted = {t: grams(t) for _, t, _ in data}
+    idf = [np.log((1 + len(data)) / (1 + sum(k in c for c in counted.values()))) + 1 for k in range(language.DIMENSIONS)]
+
+    def vector(c):
+        v = np.array([np.log1p(c[k]) * idf[k] for k in range(language.DIMENSIONS)])
+        return v / np.linalg.norm(v)
+
+    vectors = {t: vector(c) for t, c in counted.items()}
+    centroids = []
+    for lang in ("aa", "bb", "zz"):
+        own = sorted((t for _, t, x in data if x == lang), key=lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 1)
+        x = np.array([vectors[t] for t in own])
+        seeds = [x.mean(axis=0) / np.linalg.norm(x.mean(axis=0))]
+        while len(seeds) < min(4, len(x)):
+            seeds.append(min(x, key=lambda v: max(v @ s for s in seeds)))
+        for _ in range(10):
+            parts = [[v for v in x if max(range(len(seeds)), key=lambda j: v @ seeds[j]) == k] for k in range(len(seeds))]
+            seeds = [np.mean(p, axis=0) / np.linalg.norm(np.mean(p, axis=0)) for p in parts if p]
+        centroids += [(s, lang) for s in seeds]
+    assert len(centroids) == len(model.centroids)
+    names, scores, _ = model.predict([t.encode() for _, t, _ in data])
+    for (_, t, _), name, score in zip(data, names, scores, strict=True):
+        best = max(centroids, key=lambda c: vectors[t] @ c[0])
+        assert name == best[1] and abs(score - vectors[t] @ best[0]) < 1e-3
+
+
+def test_language_long_text(monkeypatch):
+    r = random.Random(14)
+    text = "".join(r.choice("abc .é") for _ in range(5000)).encode()
+    whole = language.counts([text])
+    monkeypatch.setattr(language, "_BYTES", 333)
+    assert np.array_equal(language.counts([text]), whole)
+
+
 # 5 exact
 
 
@@ -281,12 +466,27 @@ def test_chunks_depend_on_their_text_only():
     assert len(shared) > 20
 
 
-def test_colliding_chunks_are_told_apart(docs, monkeypatch):
-    """Even if every hash were the same, equal recipes would mean equal texts."""
-    real = exact_dedup.chunks_of
-    monkeypatch.setattr(exact_dedup, "chunks_of", lambda *a: real(*a).withColumn("h", F.lit(1).cast("long")))
-    got = exact_dedup.exact_groups(docs)
-    assert got.select("keep_id", "text_sha256").distinct().count() == got.select("text_sha256").distinct().count()
+@pytest.mark.parametrize("share", [1, 2])
+def test_colliding_chunks_are_told_apart(docs, monkeypatch, share):
+    """Even if every hash, or every other one, were the same, equal recipes would mean equal texts."""
+    real = exact_dedup.identifier
+    want = collected(exact_dedup.exact_groups(docs))
+    assert exact_dedup.colliding(docs).count() == 0
+    monkeypatch.setattr(exact_dedup, "identifier", lambda c: b"one for all here" if len(c) % share == 0 else real(c))
+    assert exact_dedup.colliding(docs).count() == 1
+    assert collected(exact_dedup.exact_groups(docs)) == want
+
+
+def test_exact_long_texts(spark, monkeypatch):
+    r = random.Random(13)
+    long = " ".join(f"w{r.randrange(1 << 30)}" for _ in range(400_000))
+    data = [(3, long), (2, long.replace(" ", "\n \t")), (1, long[:-1] + "x"), (4, long + " ")]
+    got = {x["doc_id"]: x["keep_id"] for x in exact_dedup.exact_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+    raw = [exact_dedup.normalise(long.encode()), b"ab " * 9000, b""]
+    whole = list(exact_dedup.cuts(raw))
+    monkeypatch.setattr(exact_dedup, "PART", 1000)
+    assert list(exact_dedup.cuts(raw)) == whole
 
 
 # 6 SimHash
@@ -337,6 +537,25 @@ def test_keep_first_shared_and_null_ids(spark):
     assert {x: n for x, n in kept.items() if x[0] != 4} == {(1, one): 1, (7, two): 1, (None, three): 2}
 
 
+def test_fingerprint_of_long_texts(monkeypatch):
+    from quillsift.llm import common
+
+    r = random.Random(17)
+    texts = [" \t".join(f"W{r.randrange(5000)}" for _ in range(n)) for n in (0, 1, 3, 4, 5, 7, 50, 900)] + ["x" * 500 + " b c d"]
+    whole = [simhash.fingerprint(t.encode()) for t in texts]
+    assert whole == [brute_fingerprint(t) for t in texts]
+    for size in (1, 10, 100):
+        monkeypatch.setattr(simhash, "parts_at_spaces", lambda t, size=size: common.parts_at_spaces(t, size))
+        assert [simhash.fingerprint(t.encode()) for t in texts] == whole
+
+
+def test_keep_first_odd_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 4, 5, 6), (3, None, 7, 8, 9)], "`the id` long, `a.text` string, d int, k int, c0 int")
+    kept = simhash.keep_first(df, id_col="the id", text_col="a.text")
+    assert kept.schema == df.schema and sorted(tuple(r)[::2] for r in kept.collect()) == [(1, 1, 3), (3, 7, 9)]
+
+
 @pytest.mark.parametrize("cell", [3, 8192])
 def test_simhash_dense_groups(spark, monkeypatch, cell):
     """Groups around centres, dealt to small cells or not."""
@@ -409,6 +628,55 @@ def test_quality(spark, docs, none):
     assert quality.score_documents(none, known, train, 0.3).count() == 0
 
 
+def test_quality_equals_one_matrix(spark):
+    """Scores equal those of a ridge solved on one matrix of all rows, and of an isotonic fit by its definition on out-of-fold scores."""
+    r = random.Random(15)
+    data, labels = [], []
+    for i in range(300):
+        words = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(r.randrange(10, 80))]
+        labels.append(int(r.random() < len(words) / 90))
+        data.append((i, " ".join(words) + "." * labels[-1] * r.randrange(2)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    known = spark.createDataFrame([*enumerate(labels), *enumerate(labels[:50])], "doc_id long, quality int")
+    got = {x["doc_id"]: x["score"] for x in quality.score_documents(df, known, F.lit(True), 0.3).collect()}
+    folds = np.array([x["f"] for x in df.select("doc_id", quality.fold_of("doc_id").alias("f")).orderBy("doc_id").collect()])
+    x, y = np.array([quality.statistics(t.encode()) for _, t in data]), np.array(labels, float)
+    z = quality.FourierMap(x.mean(axis=0), x.std(axis=0))(x)
+
+    def weights(some):
+        return np.linalg.solve(z[some].T @ z[some] + quality.RIDGE * some.sum() / z.shape[1] * np.eye(z.shape[1]), z[some].T @ y[some])
+
+    out_of_fold = np.array([z[i] @ weights(folds != folds[i]) for i in range(300)])
+    order = np.argsort(out_of_fold, kind="stable")
+    s, sy = out_of_fold[order], y[order]
+    total = np.concatenate([[0], np.cumsum(sy)])
+    fitted = np.array([max(min((total[b] - total[a]) / (b - a) for b in range(i + 1, 301)) for a in range(i + 1)) for i in range(300)])
+    levels = np.unique(np.round(fitted, 12))
+    knots = [s[np.abs(fitted - v) < 1e-9].mean() for v in levels]
+    raw = z @ weights(np.ones(300, bool))
+    want = np.clip(0.999 * np.interp(raw, knots, levels) + 0.001 / (1 + np.exp(-raw)), 0, 1)
+    assert len(set(folds.tolist())) == quality.FOLDS
+    assert np.allclose([got[i] for i in range(300)], want, atol=1e-6)
+
+
+def test_quality_long_text(spark):
+    text = ("some words here, and a line.\n" * 150_000).encode()
+    assert len(text) > 4 << 20
+    short = quality.statistics(text[: 29 * 100])
+    got = dict(enumerate(quality.statistics(text)))
+    assert np.allclose([got[k] for k in (2, 3, 9, *range(11, 20))], [short[k] for k in (2, 3, 9, *range(11, 20))])
+
+
+def test_quality_many_labels_for_an_id(spark):
+    """An id with thousands of equal label rows is learnt from once."""
+    texts = [(i, "good words here and there." if i % 2 else "BAD!! BAD!! BAD!!") for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    known = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    many = known.union(known.where("doc_id = 1").join(spark.range(5000).select(F.lit(1).alias("x")), F.lit(True)).drop("x"))
+    one, other = ({x["doc_id"]: x["score"] for x in quality.score_documents(df, k, F.lit(True), 0.3).collect()} for k in (known, many))
+    assert all(abs(one[i] - other[i]) < 1e-9 for i in one)
+
+
 def test_quality_bounded_sample(spark):
     r = random.Random(8)
     data = [(i, "good words here and there." if r.random() < 0.5 else "BAD!! BAD!! BAD!!") for i in range(1500)]
@@ -483,6 +751,30 @@ def test_packing_plan():
     assert packing.plan_packing({5: 2, 3: 1, 2: 1, 4: 1, 1: 3, 10: 1}, 10).sequences == 4
 
 
+def test_packing_keeps_short_pieces_for_long_ones():
+    """As many long as short pieces: exact combinations of several short ones would leave long ones alone."""
+    r = random.Random(16)
+    for _ in range(5):
+        counts = Counter(r.randrange(1, 4096) for _ in range(3000))
+        bound = max(-(-sum(k * n for k, n in counts.items()) // 4096), sum(n for k, n in counts.items() if 2 * k > 4096))
+        assert bound <= packing.plan_packing(counts, 4096).sequences <= 1.015 * bound
+    combined = packing.plan_packing({3000: 4, 1000: 2, 96: 2, 600: 2, 400: 2, 90: 1, 6: 9}, 4096)
+    assert any(len(lengths) > 2 and sum(lengths) == 4096 for lengths, _ in combined.patterns)
+
+
+def test_packing_long_text(spark):
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"word{i % 977} Ünder_{i % 13}" for i in range(300_000))
+    assert len(text) > 4 << 20
+    got = sorted(packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORD_BPE, 4096).collect(), key=lambda r: r["piece"])
+    ids = [*Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids, 1]
+    assert [(r["start"], r["length"]) for r in got] == [(at, min(4096, len(ids) - at)) for at in range(0, len(ids), 4096)]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.asarray(ids[at : at + 4096], "<u4").tobytes()) for at in range(0, len(ids), 4096)]
+    with pytest.raises(ValueError, match="normaliser"):
+        packing.ChunkEncoder(BYTE_BPE)
+
+
 def test_chunk_encoder_equals_library():
     from tokenizers import Tokenizer
 
@@ -524,6 +816,59 @@ def test_neighbours(spark):
     assert {r["vec_id"] for r in few} == {1, 2}
 
 
+def test_neighbours_of_large_doubles_and_odd_names(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 4))
+    scaled = x * 10.0 ** r.integers(-200, 300, (60, 1))
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in enumerate(scaled.tolist())], "`the id` long, `a.vector` array<double>, id long, v long")
+    got = ann.nearest(df, F.col("id") < 60, 3, id_col="the id", vector_col="a.vector").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = unit @ unit.T - 9 * np.eye(60)
+    assert len(got) == 180
+    for q in got:
+        assert abs(q["score"] - np.sort(cosine[q["query_id"]])[-q["rank"]]) < 1e-9
+
+
+def test_neighbours_in_groups(spark, monkeypatch):
+    """Queries in several groups and blocks, vectors of two lengths, small shards: few differ from brute force."""
+    monkeypatch.setattr(ann, "QUERY_GROUP", 40)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(6)
+    data = [(i, v, 1) for i, v in enumerate(r.normal(size=(900, 12)).tolist())] + [(1000 + i, v, 1) for i, v in enumerate(r.normal(size=(200, 5)).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, shard int")
+    got = defaultdict(list)
+    for q in ann.nearest(df, F.col("id") % 10 == 0, 5, shard_rows=300).orderBy("query_id", "rank").collect():
+        got[q["query_id"]].append(q["vec_id"])
+    assert set(got) == {i for i, *_ in data if i % 10 == 0}
+    hits = 0
+    for begin, end in ((0, 900), (1000, 1200)):
+        x = np.array([v for i, v, _ in data if begin <= i < end])
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for q in range(begin, end, 10):
+            want = np.argsort(-(unit @ unit[q - begin] - 9 * (np.arange(end - begin) == q - begin)))[:5] + begin
+            assert len(got[q]) == 5
+            hits += len(set(want.tolist()) & set(got[q]))
+    assert hits > 0.97 * 5 * 110
+
+
+def test_graph_recall():
+    """Vectors without structure, the hardest to walk among: at least 0.95 of the nearest are found."""
+    r = np.random.default_rng(7)
+    unit = ann._unit(r.normal(size=(6000, 48)))
+    graph = ann.Graph.build(unit, r.integers(0, 2**63, 6000, dtype=np.uint64) * np.uint64(2))
+    assert len(graph.levels) > 1 and all((level.table < level.count).all() and level.count == len(level.members) for level in graph.levels)
+    queries = ann._unit(r.normal(size=(200, 48)))
+    found, near = graph.search(queries, ann.BEAM)
+    got = np.take_along_axis(found, np.argsort(-near, axis=1)[:, :5], axis=1)
+    want = np.argsort(-(queries @ unit.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got.tolist(), want.tolist(), strict=True)]) >= 0.95
+
+
+def test_shards_grow():
+    assert [ann.shards_of(n, 64, ann.SHARD_ROWS) for n in (1, 16_384, 16_385, 50_000, 1_048_576, 8_388_608, 10**9)] == [1, 1, 2, 4, 64, 64, 7630]
+    assert ann.shards_of(10**6, 1024, ann.SHARD_ROWS) == 62 and ann.shards_of(10**7, 1024, ann.SHARD_ROWS) == 611
+
+
 # 10 substrings
 
 
@@ -545,10 +890,11 @@ def brute_substrings(data, size):
     return out
 
 
-@pytest.mark.parametrize(("part_words", "hot"), [(50, 20_000), (300_000, 20_000), (300_000, 3)])
-def test_substrings(docs, none, monkeypatch, part_words, hot):
+@pytest.mark.parametrize(("part_words", "hot", "scan"), [(50, 20_000, 1 << 19), (300_000, 20_000, 200), (300_000, 3, 1 << 19), (300_000, 3, 200)])
+def test_substrings(docs, none, monkeypatch, part_words, hot, scan):
     monkeypatch.setattr(substring_dedup, "PART_WORDS", part_words)
     monkeypatch.setattr(substring_dedup, "HOT_ANCHOR", hot)
+    monkeypatch.setattr(substring_dedup, "SCAN_BYTES", scan)
     data = [x for x in rows() if x[0] not in (3, 5)]
     df = docs.where("doc_id IS NULL OR doc_id NOT IN (3, 5)")
     assert collected(substring_dedup.digests(df, 20)) == Counter(brute_substrings(data, 20))
@@ -582,6 +928,37 @@ def test_substrings_of_few_words(spark, monkeypatch, hot):
     assert collected(substring_dedup.digests(df, 20)) == Counter(brute_substrings(data, 20))
 
 
+@pytest.mark.parametrize("hot", [100, 20_000])
+def test_window_in_thousands_of_documents(spark, monkeypatch, hot):
+    """A passage of one window and a bit, in 5,000 documents of few partitions, half of them without an id."""
+    monkeypatch.setattr(substring_dedup, "HOT_ANCHOR", hot)
+    passage = " ".join(f"common{i}" for i in range(22))
+    data = [(i if i % 2 else None, f"a{i} b{i} {passage} c{i}") for i in range(5000)]
+    got = substring_dedup.digests(spark.createDataFrame(data, "doc_id long, text string").repartition(7), 20)
+    rows = got.groupBy("n_words", "n_removed").count().collect()
+    assert {(r["n_words"], r["n_removed"]): r["count"] for r in rows} == {(25, 0): 1, (25, 22): 4999}
+    assert got.where("n_removed = 0").first()["doc_id"] == 1
+
+
+def test_substrings_of_a_very_long_text(spark):
+    """Eight megabytes in one text, of which a quarter repeats, and an unbroken word of two megabytes."""
+    r = random.Random(12)
+    words = [f"w{r.randrange(1 << 40):x}" for _ in range(500_000)]
+    data = [(1, " ".join(words)), (2, " \n ".join(words[200_000:325_000]) + " end"), (3, "x" * (2 << 20) + " " + " ".join(words[:50]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert max(len(t) for _, t in data) > 5 << 20
+    got = {x["doc_id"]: x for x in substring_dedup.digests(df, 20).collect()}
+    assert {d: (x["n_words"], x["n_removed"]) for d, x in got.items()} == {1: (500_000, 0), 2: (125_001, 125_000), 3: (51, 50)}
+    assert got[1]["kept_sha256"] == hashlib.sha256(data[0][1].encode()).hexdigest()
+    assert {x["doc_id"]: x["text"] for x in substring_dedup.remove_repeats(df, 20).collect()} == {1: data[0][1], 2: "end", 3: "x" * (2 << 20)}
+
+
+def test_window_sizes(docs):
+    for size in (4, 256):
+        with pytest.raises(ValueError, match="window"):
+            substring_dedup.digests(docs, size)
+
+
 def test_rows_that_share_an_id(spark):
     long = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, long), (1, long), (1, "other " + long), (2, long)], "doc_id long, text string")
@@ -590,6 +967,17 @@ def test_rows_that_share_an_id(spark):
     assert got[:2].count((1, 40, 0)) == 2 and got[2] == (1, 41, 40) or got[:2] == [(1, 40, 40)] * 2 and got[2] == (1, 41, 0)
 
 
+def test_bits():
+    r = np.random.default_rng(6)
+    for n, share in ((1, 1.0), (64, 0.5), (65, 0.1), (1000, 0.01), (1000, 0.9), (4096, 0.5)):
+        raw = r.random(n) < share
+        raw[0] = True
+        bits, ones = substring_dedup.Bits(raw), np.flatnonzero(raw)
+        places = np.arange(n + 1)
+        assert bits.rank(places).tolist() == np.concatenate([[0], np.cumsum(raw)]).tolist()
+        assert bits.select(np.arange(len(ones))).tolist() == ones.tolist()
+
+
 def test_wavelet_ranks():
     r = np.random.default_rng(4)
     for sigma in (1, 2, 3, 70):

@@ -15,6 +15,7 @@ from quillsift.operators.predicates import FilterSpec
 from quillsift.operators.registry import Operator, operators_for
 from quillsift.plans import index as plans
 from quillsift.plans.parse import Parsed, as_filter_args, assign, find_matches
+from quillsift.plans.strategies import STRATEGIES, Strategy
 from quillsift.plans.suggest import SCHEMA, Response, Suggester, to_rows
 from quillsift.plans.telemetry import Collector
 from quillsift.sources.dataset import Dataset
@@ -22,7 +23,8 @@ from quillsift.sources.dataset import Dataset
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """now: the reference time of date phrases (the clock if None). persist: keeps value indexes in executor memory and disk."""
+    """now: the reference time of date phrases (the clock if None). persist: keeps value indexes in executor memory and disk.
+    strategies: how suggestions are made, in order."""
 
     max_suggestions: int = 10
     locale: str = "en"
@@ -31,6 +33,7 @@ class EngineConfig:
     persist: bool = True
     contexts: int = 20
     telemetry: bool = False
+    strategies: tuple[Strategy, ...] = STRATEGIES
 
 
 class Engine:
@@ -164,7 +167,7 @@ class Engine:
         event = self.collector.start_event("suggest", query=text, filters=len(context))
         try:
             data = self._data().context(context)
-            maker = Suggester(self.catalog, self.config.provider, self.config.now, self.config.locale)
+            maker = Suggester(self.catalog, self.config.provider, self.config.now, self.config.locale, self.config.strategies)
             with event.phase("total"):
                 out = maker.suggest(text, self.value_index(context), data.df, data.bind, self.config.max_suggestions, bool(context), cursor)
         except Exception as e:

@@ -110,7 +110,7 @@ def match_operators(grams: list[Ngram], provider=None) -> list[Match]:
 
 def value_candidates(index: DataFrame, texts: list[str], limit: int = TOP_VALUES) -> DataFrame:
     """ngram, column_id, value, row_count, score: the best values for each text. One pass over the index: the texts are literals, and each
-    value is scored by its shortest stretch that holds the characters in order."""
+    value is scored by the first place that has the text, or else by the leftmost stretch that holds its characters in order (as `match` does)."""
     low = F.lower("value")
     each = []
     for i, text in enumerate(texts):

@@ -134,11 +134,78 @@ def _suggest(text: str, context: tuple[FilterSpec, ...] = ()) -> Query:
         data = dataset(spark, folder, "orders").context(context)
         index = plans.value_index(data.df, ["o_orderstatus", "o_orderpriority"])
         response = Suggester(ORDERS, None, NOW).suggest(text, index, data.df, data.bind, 10, bool(context))
-        return spark.createDataFrame(to_rows(response), SCHEMA)
+        part = lambda m: F.concat_ws(":", m["type"], m["start"], m["end"], m["target"], F.round(m["score"], 6).cast("string"))
+        return spark.createDataFrame(to_rows(response), SCHEMA).select(
+            "rank", "id", "label", "column_id", "operator", F.array_join(F.transform("arguments", lambda a: F.concat_ws(":", a["kind"], a["value"])), ",").alias("arguments"), "result_count",
+            F.round("score", 6).alias("score"), "is_complete", "completion_text", "category", F.array_join(F.transform("query_matches", part), ",").alias("query_matches"),
+        )
 
     return run
 
 
+def _suggested(rows: list[tuple], counts: str) -> str:
+    """SQL for suggestions (label, column, operator, argument, its count's name in `counts`, score, category, matches) in order, worked out by hand."""
+    out = []
+    for rank, (label, column, operator, argument, count, score, category, matches) in enumerate(rows, 1):
+        text = lambda x: "'" + x + "'"
+        cells = (str(rank), text(f"{column}:{operator}:{argument}"), text(label), text(column), text(operator), text(f"string:{argument}" if argument else ""), count, f"{score}::DOUBLE", str(bool(argument)), text(label), text(category), text(matches))
+        names = ("rank", "id", "label", "column_id", "operator", "arguments", "result_count", "score", "is_complete", "completion_text", "category", "query_matches")
+        out.append("SELECT " + ", ".join(f"{c} AS {n}" for c, n in zip(cells, names, strict=True)) + " FROM c")
+    return f"WITH c AS ({counts}) " + " UNION ALL ".join(out)
+
+
+# Two words, both explained: 0.4 for the column (1.0) and 0.4 for the value, which stands after a mark (0.95) and is six of eight characters (0.8 + 0.2 * 6/8).
+_URGENT = "column:0:8:Priority:1.0,value:9:15:1-URGENT:0.9025"
+SUGGEST_RANKED_SQL = _suggested(
+    [
+        ("Priority equals 1-URGENT", "o_orderpriority", "eq", "1-URGENT", "urgent", 0.761, "equality", _URGENT),
+        ("Priority not equals 1-URGENT", "o_orderpriority", "neq", "1-URGENT", "other", 0.761, "equality", _URGENT),
+        ("Priority in 1-URGENT", "o_orderpriority", "in", "1-URGENT", "urgent", 0.761, "set_membership", _URGENT),
+        ("Priority not in 1-URGENT", "o_orderpriority", "nin", "1-URGENT", "other", 0.761, "set_membership", _URGENT),
+    ],
+    "SELECT count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority <> '1-URGENT') AS other FROM orders",
+)
+# Both words explained by column and value, each whole: 0.4 + 0.4. Then one word of two by a column that begins with it, one of five or seven
+# characters: 0.5 * 0.4 * (0.8 + 0.2/5 or 0.2/7), with its first three operators; other columns begin with it in longer names.
+_OPEN, _ORDER, _DATE = "column:0:6:Status:1.0,value:7:8:O:1.0", "column:7:8:Order:0.84", "column:7:8:ordered:0.828571"
+SUGGEST_IN_CONTEXT_SQL = _suggested(
+    [
+        ("Status equals O", "o_orderstatus", "eq", "O", "open", 0.8, "equality", _OPEN),
+        ("Status not equals O", "o_orderstatus", "neq", "O", "other", 0.8, "equality", _OPEN),
+        ("Status in O", "o_orderstatus", "in", "O", "open", 0.8, "set_membership", _OPEN),
+        ("Status not in O", "o_orderstatus", "nin", "O", "other", 0.8, "set_membership", _OPEN),
+        *((f"Order {word}", "o_orderkey", operator, "", "open + other", 0.168, category, _ORDER) for operator, word, category in (("eq", "equals", "equality"), ("neq", "not equals", "equality"), ("lt", "less than", "comparison"))),
+        *((f"Date {word}", "o_orderdate", operator, "", "open + other", 0.165714, category, _DATE) for operator, word, category in (("eq", "equals", "equality"), ("neq", "not equals", "equality"), ("lt", "less than", "comparison"))),
+    ],
+    "SELECT count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus <> 'O') AS other FROM orders WHERE o_totalprice > 200000",
+)
+PARSE_TOKENS_SQL = """SELECT * FROM (VALUES
+    ('priority eq 1-URGENT', 'o_orderpriority', 'eq', '1-URGENT', ''),
+    ('status in F O', 'o_orderstatus', 'in', 'F,O', ''),
+    ('price between 1000 2000', 'o_totalprice', 'between', '1000,2000', ''),
+    ('ordered before 1995-01-01', 'o_orderdate', 'lt', '1995-01-01T00:00:00', ''),
+    ('price', 'o_totalprice', NULL, '', 'No operator specified')
+) AS t(text, column_id, operator, args, errors)"""
+
+
+def _candidates_sql(texts: list[str]) -> str:
+    """The best ten values for each text: density squared, place and coverage of the first place, or of the leftmost stretch."""
+    index = " UNION ALL ".join(f"SELECT '{c}' AS column_id, {c} AS value, count(*) AS row_count FROM part GROUP BY 2" for c in ("p_name", "p_brand", "p_type"))
+    each = []
+    for i, q in enumerate(texts):
+        stretch = f"regexp_extract(lower(value), '({'.*?'.join(q)})', 1)"
+        each.append(f"SELECT {i} AS ngram, *, {len(q)} AS matched, CASE WHEN contains(lower(value), '{q}') THEN '{q}' ELSE {stretch} END AS stretch FROM i")
+    return rf"""
+WITH i AS ({index}),
+m AS ({" UNION ALL ".join(each)}),
+p AS (SELECT *, strpos(lower(value), stretch) - 1 AS first FROM m WHERE stretch <> ''),
+s AS (SELECT ngram, column_id, value, row_count, (CASE WHEN first = 0 THEN 1.0::DOUBLE WHEN regexp_matches(substr(value, first::BIGINT, 1), '[\s_\-./\\]') THEN 0.95::DOUBLE ELSE 0.6::DOUBLE END)
+        * (0.8::DOUBLE + 0.2::DOUBLE * least(1.0::DOUBLE, matched::DOUBLE / length(value))) * pow(matched::DOUBLE / length(stretch), 2) AS score FROM p)
+SELECT column_id, value, row_count, ngram, round(score, 9) AS score FROM s WHERE score >= 0.1
+QUALIFY row_number() OVER (PARTITION BY ngram ORDER BY score DESC, row_count DESC, column_id, value) <= 10
+"""
+
+
 def _compiled(text: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         data = dataset(spark, folder, "orders")
@@ -232,7 +299,7 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     ),
     "subsequence_candidates": (lambda s, f: parse.subsequence_candidates(plans.value_index(table(s, f, "part"), ["p_name"]), "sml"), "SELECT 'p_name' AS column_id, p_name AS value, count(*) AS row_count FROM part WHERE regexp_matches(lower(p_name), 's.*?m.*?l') GROUP BY 2"),
     "prefix_candidates": (lambda s, f: parse.prefix_candidates(plans.value_index(table(s, f, "part"), ["p_brand"]), "brand#2"), "SELECT 'p_brand' AS column_id, p_brand AS value, count(*) AS row_count FROM part WHERE starts_with(lower(p_brand), 'brand#2') GROUP BY 2"),
-    "value_candidates": (lambda s, f: parse.value_candidates(plans.value_index(table(s, f, "part"), ["p_name", "p_brand", "p_type"]), ["re", "brand", "eco"]), None),
+    "value_candidates": (lambda s, f: parse.value_candidates(plans.value_index(table(s, f, "part"), ["p_name", "p_brand", "p_type"]), ["re", "brand", "eco", "sml"]).withColumn("score", F.round("score", 9)), _candidates_sql(["re", "brand", "eco", "sml"])),
     "tokenize_col": (
         lambda s, f: table(s, f, "part").select("p_partkey", F.array_join(tokens_column(F.col("p_name")), "|").alias("tokens")),
         r"""SELECT p_partkey, array_to_string(regexp_extract_all(p_name, '("[^"]*"|''[^'']*''|>=|<=|!=|==|<>|[<>=~]|[^\s"''<>=~]+)'), '|') AS tokens FROM part""",
@@ -248,9 +315,9 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
         lambda s, f: dataset(s, f, "events").execute(FilterSpec("ts", "between", ("last week",))).select("event_id", "ts"),
         "SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-15 23:59:59.999'",
     ),
-    "suggest_ranked": (_suggest("priority urgent"), None),
-    "suggest_in_context": (_suggest("status o", (FilterSpec("o_totalprice", "gt", (200000,)),)), None),
-    "parse_tokens": (_parse_tokens, None),
+    "suggest_ranked": (_suggest("priority urgent"), SUGGEST_RANKED_SQL),
+    "suggest_in_context": (_suggest("status o", (FilterSpec("o_totalprice", "gt", (200000,)),)), SUGGEST_IN_CONTEXT_SQL),
+    "parse_tokens": (_parse_tokens, PARSE_TOKENS_SQL),
     "add_rows": (
         lambda s, f: Dataset(table(s, f, "supplier"), Catalog.infer(table(s, f, "supplier").schema), ("s_suppkey",)).add(table(s, f, "supplier").select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), F.upper("s_name").alias("s_name"), "s_nationkey", "s_acctbal")).df,
         "SELECT * FROM supplier UNION ALL SELECT s_suppkey + 1000000, upper(s_name), s_nationkey, s_acctbal FROM supplier",

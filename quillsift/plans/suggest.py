@@ -6,46 +6,23 @@ Candidates come from small driver-side tables; at most two Spark jobs run: one f
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.catalog import Catalog, Column, DataType
-from quillsift.functions.dates import ParsedDate, date_suggestions, format_date, parse_date
-from quillsift.functions.text import THRESHOLD, shorten, tokenize
-from quillsift.operators.predicates import Binder, FilterSpec
-from quillsift.operators.registry import OPERATORS, is_valid_for, label_of, operators_for, spread_pairs
-from quillsift.plans.parse import Match, Matches, arguments, find_matches, number, without_overlap
+from quillsift.catalog import Catalog
+from quillsift.functions.text import THRESHOLD, tokenize
+from quillsift.operators.predicates import Binder
+from quillsift.plans.parse import Matches, find_matches, without_overlap
+from quillsift.plans.strategies import STRATEGIES, Literal, Query, Strategy, Suggestion, explain_score, value_text
 
-COLUMN, OPERATOR, VALUE = 0.4, 0.2, 0.4
-ONE_LITERAL, NO_LITERAL = 5, 3
 SCHEMA = (
     "rank int, id string, label string, column_id string, operator string, arguments array<struct<kind:string,value:string>>, result_count bigint, score double, is_complete boolean, "
     "completion_text string, category string, query_matches array<struct<start:int,end:int,text:string,type:string,target:string,indexes:array<int>,score:double>>"
 )
 
 
-@dataclass(frozen=True)
-class Suggestion:
-    id: str
-    label: str
-    column_id: str
-    operator: str
-    args: tuple
-    score: float
-    is_complete: bool
-    completion_text: str
-    category: str
-    matches: tuple[Match, ...] = ()
-    result_count: int | None = None
-
-    @property
-    def spec(self) -> FilterSpec:
-        return FilterSpec(self.column_id, self.operator, self.args)
-
-
 @dataclass(frozen=True)
 class Response:
     query: str
@@ -57,150 +34,16 @@ class Response:
         return dict(Counter(s.category for s in self.suggestions))
 
 
-def value_text(value) -> str:
-    if isinstance(value, ParsedDate):
-        return f"{format_date(value.start)} - {format_date(value.end)}" if value.is_range else format_date(value.start)
-    return str(value)
-
-
-def _id(column: str, operator: str, args: tuple) -> str:
-    if args and all(isinstance(a, ParsedDate) for a in args):
-        ends = [x.isoformat() for a in args for x in (a.start, a.end) if x is not None]
-        return f"{column}:{operator}:date:{'-'.join(ends)}"
-    return f"{column}:{operator}:{','.join(map(str, args))}"
-
-
-def explain_score(total: int, column: Match | None, operator: Match | None, values: list[Match]) -> float:
-    """Share of the tokens that the parts explain, times their weighted quality. A part that explains no new token adds nothing."""
-    claimed: set[int] = set()
-    quality = 0.0
-    for weight, parts in ((COLUMN, [column] if column else []), (OPERATOR, [operator] if operator else []), (VALUE, values)):
-        scores = []
-        for m in parts:
-            new = set(m.tokens) - claimed
-            if new:
-                claimed |= new
-                scores.append(m.score)
-        quality += weight * sum(scores) / len(scores) if scores else 0.0
-    return min(1.0, len(claimed) / total * quality) if total else 0.0
-
-
 class Suggester:
-    def __init__(self, catalog: Catalog, provider=None, now=None, locale: str = "en"):
-        self.catalog, self.provider, self.now, self.locale = catalog, provider, now, locale
-
-    def make(self, column: Column, operator_id: str, args: tuple, score: float, matches: tuple[Match, ...] = ()) -> Suggestion:
-        operator = OPERATORS[operator_id]
-        title = (column.key and self.provider and self.provider.translate(column.key)) or column.title
-        used = next((m.text for m in matches if m.kind == "operator" and m.text.lower() != operator.id.lower()), None)
-        enough = len(args) >= (operator.min_arguments if operator.variadic else 1) or any(isinstance(a, ParsedDate) and a.is_range for a in args)
-        texts = [self._label(column, a) for a in args]
-        words = (" - " if operator_id == "between" else ", ").join((shorten(t) or (t,))[0] for t in texts)
-        label = " ".join(x for x in (title, used or label_of(operator_id, self.provider), words) if x)
-        completion = " ".join(x for x in (title, label_of(operator_id, self.provider), *(f'"{t}"' if " " in t else t for t in texts)) if x)
-        return Suggestion(_id(column.id, operator_id, args), label, column.id, operator_id, args, score, enough or not operator.takes_argument, completion, str(operator.category), matches)
-
-    def _label(self, column: Column, value) -> str:
-        for v in column.values:
-            if v.value == value:
-                return (v.key and self.provider and self.provider.translate(v.key)) or v.label or v.value
-        return value_text(value)
-
-    def empty(self) -> Iterator[Suggestion]:
-        """Each column with its first operator."""
-        for c in self.catalog.columns:
-            yield self.make(c, operators_for(c.type)[0].id, (), 0.0)
-
-    def spreads(self, found: Matches) -> Iterator[Suggestion]:
-        """from X to Y, between X and Y. Numbers are put in order, dates aren't."""
-        tokens = found.tokens.tokens
-        words = [t.text.lower() for t in tokens]
-        for start, separator in spread_pairs(self.provider.word_sets() if self.provider else None) if self.provider else spread_pairs():
-            if start not in words or separator not in words[words.index(start) + 1 :]:
-                continue
-            a = words.index(start)
-            b = words.index(separator, a + 1)
-            left, right = " ".join(t.text for t in tokens[a + 1 : b]), " ".join(t.text for t in tokens[b + 1 :])
-            numbers = number(left), number(right)
-            dates = parse_date(left, self.now, self.locale), parse_date(right, self.now, self.locale)
-            named = {m.key: m for m in found.columns if m.score >= 0.3 and not set(m.tokens) & set(range(a, len(tokens)))}
-            for c in self.catalog.columns:
-                if named and c.id not in named:
-                    continue
-                ends = tuple(sorted(numbers)) if c.type == DataType.NUMBER and None not in numbers else dates if c.type == DataType.DATE and None not in dates else None
-                if ends:
-                    yield self.make(c, "between", ends, 0.95, (named[c.id],) if c.id in named else ())
-
-    def composed(self, found: Matches, available: set[str] | None = None) -> Iterator[Suggestion]:
-        """Column, operator and literals or values, as far as the text has them."""
-        total = len(found.tokens.tokens)
-        by_column = {m.key: m for m in found.columns}
-        for column in sorted(self.catalog.columns, key=lambda c: -by_column[c.id].score if c.id in by_column else 0):
-            for c in ([by_column[column.id]] if column.id in by_column else []) + [None]:
-                allowed = [o for o in found.operators if is_valid_for(o.key, column.type) and (not o.types or column.type in o.types) and not (c and set(c.tokens) & set(o.tokens))]
-                for o in allowed:
-                    yield from self._with(found, column, c, o, o.key, total)
-                args = arguments(found, column, set(c.tokens) if c else set())
-                if c is None and not args:
-                    continue
-                fitting = operators_for(column.type)
-                plan: list[str] = []
-                if len(args) > 1:
-                    plan += [o.id for o in sorted((o for o in fitting if o.variadic), key=lambda o: o.id != "between")]
-                if len(args) == 1 and isinstance(args[0].key, ParsedDate) and args[0].key.is_range:
-                    plan.append("between")
-                if args:
-                    plan += [o.id for o in fitting if o.takes_argument and not o.variadic][:ONE_LITERAL]
-                    plan += [o.id for o in fitting if o.variadic and not len(args) > 1 and o.min_arguments == 1]
-                else:
-                    plan += [o.id for o in fitting][:NO_LITERAL] + (["isTrue", "isFalse"] if column.type == DataType.BOOLEAN else [])
-                for operator in dict.fromkeys(plan):
-                    yield from self._with(found, column, c, None, operator, total)
-
-    def _with(self, found: Matches, column: Column, c: Match | None, o: Match | None, operator_id: str, total: int) -> Iterator[Suggestion]:
-        operator = OPERATORS[operator_id]
-        taken = set(c.tokens if c else ()) | set(o.tokens if o else ())
-        parts = tuple(m for m in (c, o) if m)
-        if not operator.takes_argument:
-            if parts:
-                yield self.make(column, operator_id, (), explain_score(total, c, o, []), parts)
-            return
-        values = arguments(found, column, taken)
-        if operator_id == "between":
-            values = values[:1] if values and isinstance(values[0].key, ParsedDate) and values[0].key.is_range else values[:2]
-        elif not operator.variadic:
-            values = values[:1]
-        if values:
-            args = tuple(v.key for v in values)
-            if operator_id == "between" and column.type == DataType.NUMBER:
-                args = tuple(sorted(args))
-            yield self.make(column, operator_id, args, explain_score(total, c, o, values), (*parts, *values))
-        elif parts:
-            yield self.make(column, operator_id, (), explain_score(total, c, o, []), parts)
-            if column.type == DataType.DATE and c and o:
-                for text, _ in date_suggestions(self.locale):
-                    if parsed := parse_date(text, self.now, self.locale):
-                        yield self.make(column, operator_id, (parsed,), 0.9 * explain_score(total, c, o, []), parts)
-
-    def top_of_column(self, found: Matches, index: DataFrame) -> Iterator[Suggestion]:
-        """For a column and an operator without a value: the column's most frequent values. One small job."""
-        if not (found.columns and found.operators):
-            return
-        c = found.columns[0]
-        column = self.catalog.get(c.key)
-        for o in found.operators:
-            if OPERATORS[o.key].takes_argument and column.type in (DataType.STRING, DataType.ENUM) and is_valid_for(o.key, column.type) and not set(c.tokens) & set(o.tokens) and len(set(c.tokens) | set(o.tokens)) == len(found.tokens.tokens):
-                for r in index.where(F.col("column_id") == column.id).orderBy(F.desc("row_count"), "value").limit(10).collect():
-                    yield self.make(column, o.key, (r["value"],), 0.9 * explain_score(len(found.tokens.tokens), c, o, []), (c, o))
-                return
+    def __init__(self, catalog: Catalog, provider=None, now=None, locale: str = "en", strategies: tuple[Strategy, ...] = STRATEGIES):
+        self.catalog, self.provider, self.now, self.locale, self.strategies = catalog, provider, now, locale, strategies
 
     def suggest(self, text: str, index: DataFrame, context: DataFrame, bind: Binder, limit: int, filtered: bool = False, cursor: int | None = None) -> Response:
-        tokens = tokenize(text).tokens
-        if not tokens:
-            made = list(self.empty())
-        else:
-            found = find_matches(text, self.catalog, index, self.now, self.locale, self.provider)
-            made = [*(self.spreads(found) if len(tokens) >= 3 else ()), *self.composed(found), *self.top_of_column(found, index)]
+        tokens = tokenize(text)
+        found = find_matches(text, self.catalog, index, self.now, self.locale, self.provider) if tokens.tokens else Matches(tokens)
+        query = Query(found, self.catalog, index, self.provider, self.now, self.locale)
+        made = [s for strategy in self.strategies if strategy.handles(query) for s in strategy.generate(query)]
+        if tokens.tokens:
             made = [s for s in made if s.score >= THRESHOLD]
         unique: dict[str, Suggestion] = {}
         for s in sorted(made, key=lambda s: -s.score):
@@ -222,10 +65,9 @@ class Suggester:
 
 
 def to_rows(response: Response) -> list[tuple]:
-    kind = lambda a: "date" if isinstance(a, ParsedDate) else "boolean" if isinstance(a, bool) else "number" if isinstance(a, (int, float)) else "string"
     return [
         (
-            i, s.id, s.label, s.column_id, s.operator, [(kind(a), value_text(a)) for a in s.args], s.result_count, float(s.score), s.is_complete, s.completion_text, s.category,
+            i, s.id, s.label, s.column_id, s.operator, [(Literal.of(a).kind, value_text(a)) for a in s.args], s.result_count, float(s.score), s.is_complete, s.completion_text, s.category,
             [(m.ngram.begin, m.ngram.end, m.ngram.text, m.kind, m.text, list(m.indexes), float(m.score)) for m in s.matches],
         )
         for i, s in enumerate(response.suggestions, 1)

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from quillsift.catalog import Catalog
+from quillsift.catalog import Catalog, DataType
 from quillsift.catalog import Column as DeclaredColumn
 from quillsift.operators.predicates import FilterSpec
 from quillsift.operators.registry import Operator, operators_for
@@ -19,6 +19,7 @@ from quillsift.plans.strategies import STRATEGIES, Strategy
 from quillsift.plans.suggest import SCHEMA, Response, Suggester, to_rows
 from quillsift.plans.telemetry import Collector
 from quillsift.sources.dataset import Dataset
+from quillsift.sources.progress import job_group
 
 
 @dataclass(frozen=True)
@@ -74,16 +75,13 @@ class Engine:
             self.catalog = Catalog.infer(df.schema)
         self._bind(Dataset(df, self.catalog, tuple(key), self.config.now, self.config.locale))
 
-    def index_data_async(self, df: DataFrame, key: Iterable[str] = (), job_group: str = "quillsift-index", on_progress: Callable[[float], None] | None = None) -> None:
-        """index_data, with the value index made at once in a job group that spark.sparkContext.cancelJobGroup stops."""
+    def index_data_async(self, df: DataFrame, key: Iterable[str] = (), group: str = "quillsift-index", on_progress: Callable[[float], None] | None = None) -> None:
+        """index_data, with the index of texts made at once in a job group, which spark.sparkContext.cancelJobGroup stops. `on_progress` hears of
+        the share of tasks that are done."""
         self.index_data(df, key)
-        self.spark.sparkContext.setJobGroup(job_group, "value index", interruptOnCancel=True)
-        try:
-            self.value_index().count()
-        finally:
-            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        if on_progress:
-            on_progress(1.0)
+        with job_group(self.spark, group, on_progress):
+            if (index := self._text_index()) is not None:
+                index.count()
 
     def _bind(self, dataset: Dataset) -> None:
         self.dataset = dataset
@@ -117,14 +115,15 @@ class Engine:
 
     # the value index
 
-    def value_index(self, context: Iterable[FilterSpec] = ()) -> DataFrame:
-        """column_id, value, row_count in a context. The indexes of the last contexts are kept."""
+    def value_index(self, context: Iterable[FilterSpec] = (), columns: Iterable[str] | None = None) -> DataFrame:
+        """column_id, value, row_count in a context, of all columns or of some. The indexes of the last contexts are kept."""
         context = list(context)
-        key = tuple(sorted(f.key for f in context))
+        columns = self.catalog.ids() if columns is None else list(columns)
+        key = tuple(sorted(f.key for f in context)), tuple(columns)
         if key in self._indexes:
             self._indexes.move_to_end(key)
             return self._indexes[key]
-        made = plans.value_index(self._data().context(context).df, self.catalog.ids())
+        made = plans.value_index(self._data().context(context).df, columns)
         if self.config.persist:
             made = made.persist()
         self._indexes[key] = made
@@ -132,8 +131,14 @@ class Engine:
             self._indexes.popitem(last=False)[1].unpersist()
         return made
 
+    def _text_index(self, context: Iterable[FilterSpec] = ()) -> DataFrame | None:
+        """The values that texts are matched with: numbers and dates are read from the text itself, however many the data has."""
+        columns = [c.id for c in self.catalog.columns if c.type in (DataType.STRING, DataType.ENUM)]
+        return self.value_index(context, columns) if columns else None
+
     def get_index_stats(self) -> DataFrame:
-        return plans.index_stats(self._data().df, self.value_index())
+        data = self._data().df
+        return plans.index_stats(data, plans.value_index(data, self.catalog.ids()))
 
     def available_values(self, context: Iterable[FilterSpec] = ()) -> DataFrame:
         return plans.available_values(self._data().context(context).df, self.catalog)
@@ -146,7 +151,7 @@ class Engine:
     # text
 
     def _found(self, text: str):
-        return find_matches(text, self.catalog, self.value_index() if self.dataset else None, self.config.now, self.config.locale, self.config.provider)
+        return find_matches(text, self.catalog, self._text_index() if self.dataset else None, self.config.now, self.config.locale, self.config.provider)
 
     def parse(self, text: str) -> Parsed:
         return assign(self._found(text), self.catalog)
@@ -169,7 +174,7 @@ class Engine:
             data = self._data().context(context)
             maker = Suggester(self.catalog, self.config.provider, self.config.now, self.config.locale, self.config.strategies)
             with event.phase("total"):
-                out = maker.suggest(text, self.value_index(context), data.df, data.bind, self.config.max_suggestions, bool(context), cursor)
+                out = maker.suggest(text, self._text_index(context), data.df, data.bind, self.config.max_suggestions, bool(context), cursor)
         except Exception as e:
             event.error(e)
             raise

@@ -42,14 +42,31 @@ DATE_SUGGESTIONS: dict[str, tuple[tuple[str, str], ...]] = {
 }
 _MONTHS = {name.lower(): i for i in range(1, 13) for name in (calendar.month_name[i], calendar.month_abbr[i])}
 _DAYS = {name.lower(): i for i in range(7) for name in (calendar.day_name[i], calendar.day_abbr[i])}
-_UNITS = "second|minute|hour|day|week|month|year"
+_UNITS = "second|minute|hour|day|week|month|quarter|year"
+# Month names by locale, January first; units as (word, unit); a number of units back and ahead.
+MONTH_NAMES = {
+    "de": "januar februar märz april mai juni juli august september oktober november dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "nl": "januari februari maart april mei juni juli augustus september oktober november december",
+    "pt": "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro",
+}
+UNIT_WORDS = {
+    "de": "tag|day tage|day tagen|day woche|week wochen|week monat|month monate|month monaten|month quartal|quarter quartalen|quarter jahr|year jahre|year jahren|year stunde|hour stunden|hour minute|minute minuten|minute",
+    "fr": "jour|day jours|day semaine|week semaines|week mois|month trimestre|quarter trimestres|quarter an|year ans|year année|year années|year heure|hour heures|hour minute|minute minutes|minute",
+    "es": "día|day días|day semana|week semanas|week mes|month meses|month trimestre|quarter trimestres|quarter año|year años|year hora|hour horas|hour minuto|minute minutos|minute",
+    "nl": "dag|day dagen|day week|week weken|week maand|month maanden|month kwartaal|quarter kwartalen|quarter jaar|year jaren|year uur|hour uren|hour minuut|minute minuten|minute",
+    "pt": "dia|day dias|day semana|week semanas|week mês|month meses|month trimestre|quarter trimestres|quarter ano|year anos|year hora|hour horas|hour minuto|minute minutos|minute",
+    "ja": "日|day 週間|week か月|month ヶ月|month 四半期|quarter 年|year 時間|hour 分|minute",
+}
+BACK_AND_AHEAD = {"de": ("vor {}", "in {}"), "fr": ("il y a {}", "dans {}"), "es": ("hace {}", "(?:en|dentro de) {}"), "nl": ("{} geleden", "over {}"), "pt": ("há {}", "(?:em|daqui a) {}"), "ja": ("{}前", "{}後")}
 _COUNTS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 _MONTH, _WEEKDAY = "|".join(sorted(_MONTHS, key=len, reverse=True)), "|".join(sorted(_DAYS, key=len, reverse=True))
 
 
 def _shift(when: dt.datetime, n: int, unit: str) -> dt.datetime:
-    if unit in ("month", "year"):
-        months = when.year * 12 + when.month - 1 + n * (12 if unit == "year" else 1)
+    if unit in ("month", "quarter", "year"):
+        months = when.year * 12 + when.month - 1 + n * {"month": 1, "quarter": 3, "year": 12}[unit]
         year, month = divmod(months, 12)
         return when.replace(year=year, month=month + 1, day=min(when.day, calendar.monthrange(year, month + 1)[1]))
     return when + n * dt.timedelta(**{unit + "s": 1})
@@ -64,7 +81,10 @@ def _end(when: dt.datetime) -> dt.datetime:
 
 
 def _period(which: str, unit: str, now: dt.datetime) -> tuple[dt.datetime, dt.datetime | None]:
-    """Last and this week, month and year are ranges that end today; next ones are single dates."""
+    """Last and this week, month and year are ranges that end today; next ones, and quarters, are single dates."""
+    if unit == "quarter":
+        first = now.replace(month=(now.month - 1) // 3 * 3 + 1, day=1)
+        return {"last": _shift(now, -1, unit), "this": _start(first), "next": _shift(now, 1, unit)}[which], None
     if which == "last":
         back = {"week": now - 7 * _DAY, "month": now - 30 * _DAY, "year": _shift(now, -1, "year")}[unit]
         return _start(back), _end(now)
@@ -92,15 +112,46 @@ _RULES = tuple((re.compile(rf"(?<!\w)(?:{p})(?!\w)", re.I), f) for p, f in (
     (rf"(?P<m>{_MONTH}) (?P<y>\d{{4}})", lambda m, now: (dt.datetime(int(m["y"]), _MONTHS[m["m"].lower()], 1), None)),
     (r"now", lambda m, now: (now, None)),
     (r"(?P<w>today|yesterday|tomorrow)", lambda m, now: (now + {"today": 0, "yesterday": -1, "tomorrow": 1}[m["w"].lower()] * _DAY, None)),
-    (r"(?P<w>last|this|next) (?P<u>week|month|year)", lambda m, now: _period(m["w"].lower(), m["u"].lower(), now)),
+    (r"(?P<w>last|this|next) (?P<u>week|month|quarter|year)", lambda m, now: _period(m["w"].lower(), m["u"].lower(), now)),
     (rf"(?P<n>\d+|{'|'.join(_COUNTS)}) (?P<u>{_UNITS})s? ago", lambda m, now: (_shift(now, -_count(m["n"]), m["u"].lower()), None)),
     (rf"in (?P<n>\d+|{'|'.join(_COUNTS)}) (?P<u>{_UNITS})s?", lambda m, now: (_shift(now, _count(m["n"]), m["u"].lower()), None)),
-    (rf"(?:last|past) (?P<n>\d+) (?P<u>{_UNITS})s?", lambda m, now: (_shift(now, -int(m["n"]), m["u"].lower()), None)),
+    (rf"(?:within (?:the )?)?(?:last|past) (?P<n>\d+) (?P<u>{_UNITS})s?", lambda m, now: (_shift(now, -int(m["n"]), m["u"].lower()), None)),
     (rf"(?:(?P<w>last|this|next) )?(?P<day>{_WEEKDAY})", lambda m, now: (_weekday(now, _DAYS[m["day"].lower()], (m["w"] or "").lower()), None)),
     (r"(?:at )?(?P<h>\d{1,2})(?::(?P<min>\d{2}))? ?(?P<half>am|pm)", lambda m, now: (_clock(m, now), None)),
 ))
 
 
+def _local_rules(locale: str) -> tuple:
+    """Day-first dates, month names, and numbers of units back and ahead."""
+    units = dict(w.split("|") for w in UNIT_WORDS.get(locale, "").split())
+    if not units:
+        return ()
+    months = {name: i for i, name in enumerate(MONTH_NAMES.get(locale, "").split(), 1)}
+    amount = r"(?P<n>\d+)" + ("" if locale == "ja" else " ") + f"(?P<u>{'|'.join(sorted(units, key=len, reverse=True))})"
+    day_first = lambda m, now: (dt.datetime(_year(m["y"]), int(m["m"]), int(m["d"])), None)
+    moved = lambda sign: lambda m, now: (_shift(now, sign * int(m["n"]), units[m["u"].lower()]), None)
+    back, ahead = (form.format(amount) for form in BACK_AND_AHEAD[locale])
+    rules = [(back, moved(-1)), (ahead, moved(1))]
+    if months:
+        names = "|".join(sorted(months, key=len, reverse=True))
+        named = lambda m, now: (dt.datetime(int(m["y"] or now.year), months[m["m"].lower()], int(m["d"] or 1)), None)
+        rules += [
+            (r"(?P<d>\d{1,2})[./-](?P<m>\d{1,2})[./-](?P<y>\d{4}|\d{2})", day_first),
+            (rf"(?P<d>\d{{1,2}})(?:\.|er|º)? (?:de )?(?P<m>{names})(?:,? (?:de )?(?P<y>\d{{4}}))?", named),
+            (rf"(?P<d>)(?P<m>{names}) (?:de )?(?P<y>\d{{4}})", named),
+        ]
+    else:
+        rules.append((r"(?P<y>\d{4})年(?P<m>\d{1,2})月(?P<d>\d{1,2})日", day_first))
+    edge = ("", "") if locale == "ja" else (r"(?<!\w)", r"(?!\w)")
+    return tuple((re.compile(f"{edge[0]}(?:{p}){edge[1]}", re.I), f) for p, f in rules)
+
+
+@lru_cache(maxsize=None)
+def _rules(locale: str) -> tuple:
+    """A locale's rules, which come before the English ones at one place and length."""
+    return *_local_rules(locale), *_RULES
+
+
 def _count(text: str) -> int:
     return _COUNTS.get(text.lower()) or int(text)
 
@@ -124,14 +175,14 @@ def _english(text: str, locale: str) -> tuple[str, bool]:
     return text, False
 
 
-def detect_dates(text: str, now: dt.datetime | None = None) -> list[ParsedDate]:
-    """All date expressions in the text, without overlaps, in order."""
+def detect_dates(text: str, now: dt.datetime | None = None, locale: str = "en") -> list[ParsedDate]:
+    """All date expressions in the text, in the locale or in English, without overlaps, in order."""
     now = now or dt.datetime.now()
     found: list[ParsedDate] = []
     at = 0
     while at < len(text):
         best: tuple[int, int, re.Match, object] | None = None
-        for pattern, make in _RULES:
+        for pattern, make in _rules(locale):
             if (m := pattern.search(text, at)) and (best is None or (m.start(), -m.end()) < best[:2]):
                 best = (m.start(), -m.end(), m, make)
         if best is None:
@@ -148,7 +199,7 @@ def detect_dates(text: str, now: dt.datetime | None = None) -> list[ParsedDate]:
 
 @lru_cache(maxsize=100)
 def _parse(text: str, now: dt.datetime, locale: str) -> ParsedDate | None:
-    found = detect_dates(_english(text, locale)[0], now)
+    found = detect_dates(_english(text, locale)[0], now, locale)
     if not found:
         return None
     first = found[0]

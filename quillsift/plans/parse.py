@@ -175,7 +175,7 @@ def match_literals(tokens: Tokens, now, locale: str) -> tuple[list[Match], list[
                 break
             text = tokens.original[some[0].begin : some[-1].end]
             parsed = parse_date(text, now, locale)
-            if parsed and (parsed.begin == 0 and parsed.finish == len(text) or parsed.text != text and len(detect_dates(text, now)) == 0):
+            if parsed and (parsed.begin == 0 and parsed.finish == len(text) or parsed.text != text and len(detect_dates(text, now, locale.lower().split('-')[0])) == 0):
                 dates.append(Match("date", parsed, text, Ngram(text, i, i + size - 1, some[0].begin, some[-1].end), 1.0))
                 used |= set(range(i, i + size))
                 break

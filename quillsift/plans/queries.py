@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from quillsift.functions.text import ngrams_column, tokens_column
 from quillsift.operators.predicates import FilterSpec
 from quillsift.plans import index as plans
 from quillsift.plans import parse, telemetry
+from quillsift.plans.rowsets import RowSet
 from quillsift.plans.suggest import SCHEMA, Suggester, to_rows
 from quillsift.sources.dataset import Dataset
 from quillsift.sources.tables import labelled_documents, table
@@ -245,6 +247,18 @@ def _first_wins(spark: SparkSession, folder: str) -> DataFrame:
     return orders.groupBy("o_custkey", "o_orderstatus").agg(F.min_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("x")).select("o_custkey", "o_orderstatus", "x.o_orderkey", "x.o_totalprice")
 
 
+def _row_sets(spark: SparkSession, folder: str) -> tuple[RowSet, RowSet]:
+    data = dataset(spark, folder, "orders")
+    return tuple(RowSet.of(data.df, data.bind(FilterSpec(*spec)), "o_orderkey") for spec in (("o_orderstatus", "eq", ("F",)), ("o_totalprice", "gt", (150000,))))
+
+
+def _row_set_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many orders are in both, either, the first only, or one of two sets."""
+    a, b = _row_sets(spark, folder)
+    each = {"a": a, "and": a.and_(b), "and_not": a.and_not(b), "b": b, "or": a.or_(b), "xor": a.xor(b)}
+    return reduce(DataFrame.unionByName, (s.cardinality().select(F.lit(name).alias("set"), "cardinality") for name, s in each.items()))
+
+
 _OTHER: dict[str, tuple[Query, str | None]] = {
     "flagship_facets": (flagship, "SELECT 'l_linestatus' AS column_id, l_linestatus AS value, count(*) AS row_count FROM lineitem WHERE l_returnflag = 'R' AND l_quantity BETWEEN 10 AND 20 GROUP BY 2"),
     "contains_array": (
@@ -318,6 +332,18 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     "suggest_ranked": (_suggest("priority urgent"), SUGGEST_RANKED_SQL),
     "suggest_in_context": (_suggest("status o", (FilterSpec("o_totalprice", "gt", (200000,)),)), SUGGEST_IN_CONTEXT_SQL),
     "parse_tokens": (_parse_tokens, PARSE_TOKENS_SQL),
+    "row_set_counts": (
+        _row_set_counts,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS set, count(*) AS cardinality FROM orders WHERE {condition}"
+            for name, condition in (("a", "o_orderstatus = 'F'"), ("and", "o_orderstatus = 'F' AND o_totalprice > 150000"), ("and_not", "o_orderstatus = 'F' AND NOT o_totalprice > 150000"), ("b", "o_totalprice > 150000"), ("or", "o_orderstatus = 'F' OR o_totalprice > 150000"), ("xor", "(o_orderstatus = 'F') <> (o_totalprice > 150000)"))
+        ),
+    ),
+    "row_set_ids": (lambda s, f: (ab := _row_sets(s, f))[0].xor(ab[1]).ids(), "SELECT o_orderkey AS _row_id FROM orders WHERE (o_orderstatus = 'F') <> (o_totalprice > 150000)"),
+    "percentiles_sliced": (
+        lambda s, f: telemetry.percentiles(table(s, f, "events"), (0.5, 0.95, 0.99), "event_type", "value", slices=16, together=0).select("operation", "count", "min", "max", F.round("mean", 6).alias("mean"), "p50", "p95", "p99"),
+        "SELECT event_type AS operation, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, " + ", ".join(f"list_sort(list(value))[floor(count(*) * {p})::BIGINT + 1] AS p{round(p * 100)}" for p in (0.5, 0.95, 0.99)) + " FROM events GROUP BY 1",
+    ),
     "add_rows": (
         lambda s, f: Dataset(table(s, f, "supplier"), Catalog.infer(table(s, f, "supplier").schema), ("s_suppkey",)).add(table(s, f, "supplier").select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), F.upper("s_name").alias("s_name"), "s_nationkey", "s_acctbal")).df,
         "SELECT * FROM supplier UNION ALL SELECT s_suppkey + 1000000, upper(s_name), s_nationkey, s_acctbal FROM supplier",

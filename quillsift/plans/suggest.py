@@ -38,7 +38,7 @@ class Suggester:
     def __init__(self, catalog: Catalog, provider=None, now=None, locale: str = "en", strategies: tuple[Strategy, ...] = STRATEGIES):
         self.catalog, self.provider, self.now, self.locale, self.strategies = catalog, provider, now, locale, strategies
 
-    def suggest(self, text: str, index: DataFrame, context: DataFrame, bind: Binder, limit: int, filtered: bool = False, cursor: int | None = None) -> Response:
+    def suggest(self, text: str, index: DataFrame | None, context: DataFrame, bind: Binder, limit: int, filtered: bool = False, cursor: int | None = None) -> Response:
         tokens = tokenize(text)
         found = find_matches(text, self.catalog, index, self.now, self.locale, self.provider) if tokens.tokens else Matches(tokens)
         query = Query(found, self.catalog, index, self.provider, self.now, self.locale)

@@ -34,14 +34,26 @@ def error_rate(events: DataFrame, failed: Column) -> DataFrame:
     return events.agg(F.coalesce(F.floor(share * 10000 + 0.5) / 100, F.lit(0.0)).alias("error_rate"))
 
 
-def percentiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99), operation: str = "operation", duration: str = "duration", slices: int = 64) -> DataFrame:
+#: Up to so many different pairs of operation and duration, an operation's are ranked in one task.
+RANKED_TOGETHER = 1_000_000
+
+
+def percentiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99), operation: str = "operation", duration: str = "duration", slices: int = 64, together: int = RANKED_TOGETHER) -> DataFrame:
     """min, max, mean, count and the values at floor(n * p) in order, from 0, for each operation.
 
-    Equal durations are counted first (a partial aggregation). Approximate quantiles then cut each operation into slices; a value's rank is its
-    place in its slice plus the rows of the slices before, so that a hot operation is ranked by as many tasks as it has
-    slices. The cuts only say where work is done: ranks are exact.
+    Equal durations are counted first (a partial aggregation), so that ranks are taken over different ones. Where about `together` or fewer are
+    left, which a first pass over the two columns estimates, one window ranks them. Beyond that, approximate quantiles cut each operation into
+    slices; a value's rank is its place in its slice plus the rows of the slices before, so that a hot operation is ranked by as many tasks
+    as it has slices. Ranks are exact either way.
     """
-    counted = events.where(F.col(duration).isNotNull()).groupBy(F.col(operation).alias("operation"), F.col(duration).alias("d")).agg(F.count("*").alias("times"))
+    events = events.where(F.col(duration).isNotNull()).select(F.col(operation).alias("operation"), F.col(duration).alias("d"))
+    counted = events.groupBy("operation", "d").agg(F.count("*").alias("times"))
+    names = [f"p{round(p * 100)}" for p in points]
+    if events.agg(F.approx_count_distinct(F.struct("operation", "d"))).first()[0] <= together:
+        own = Window.partitionBy("operation")
+        ranked = counted.withColumns({"n": F.sum("times").over(own), "upto": F.sum("times").over(own.orderBy("d"))})
+        at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("d"))).alias(name) for p, name in zip(points, names, strict=True)]
+        return ranked.groupBy("operation").agg(F.sum("times").alias("count"), F.min("d").alias("min"), F.max("d").alias("max"), (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"), *at)
     inner = [i / slices for i in range(1, slices)]
     total = counted.groupBy("operation").agg(
         F.sum("times").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"), F.percentile_approx("d", inner, 1000).alias("cuts")
@@ -52,7 +64,6 @@ def percentiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99)
     before = sizes.select("operation", "slice", F.coalesce(earlier, F.lit(0)).alias("before"))
     upto = F.sum("times").over(Window.partitionBy("operation", "slice").orderBy("d"))
     ranked = sliced.withColumn("within", upto).join(before, ["operation", "slice"]).withColumn("upto", F.col("within") + F.col("before"))
-    names = [f"p{round(p * 100)}" for p in points]
     at = ranked.groupBy("operation").agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("d"))).alias(name) for p, name in zip(points, names, strict=True)))
     return total.join(at, "operation").select("operation", F.col("n").alias("count"), "min", "max", "mean", *names)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +40,22 @@ def sample_tasks(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     )
 
 
+def _marked(events: DataFrame, service: str, environment: str) -> DataFrame:
+    return events.withColumns({"_service": F.lit(service), "_environment": F.lit(environment)})
+
+
 def write_events(events: DataFrame, path: str, service: str, environment: str) -> None:
     """Appends events, marked with their service and environment, as Parquet by environment."""
-    events.withColumns({"_service": F.lit(service), "_environment": F.lit(environment)}).write.mode("append").partitionBy("_environment").parquet(path)
+    _marked(events, service, environment).write.mode("append").partitionBy("_environment").parquet(path)
+
+
+def stream_events(events: DataFrame, path: str, checkpoint: str, service: str, environment: str, once: bool = False) -> StreamingQuery:
+    """Writes a stream of events like write_events, also by batch (_batch): a batch that is run again after a failure replaces what it wrote
+    before, so that each event is there once. `once`: ends when what there is has been written."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        marked = _marked(batch, service, environment).withColumn("_batch", F.lit(number))
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_environment", "_batch").parquet(path)
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,6 +1,7 @@
 """Registry, tokens, dates, suggestions and the engine's methods."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +250,94 @@ def test_row_ids_follow_a_sort(engine):
         assert [r["id"] for r in data.with_row_id(*data.order("due", descending)).orderBy("_row_id").collect()] == want
 
 
+def test_quarters():
+    now = D(2024, 5, 31, 12)
+    at = lambda t: dates.parse_date(t, now)
+    assert (at("last quarter").start, at("next quarter").start, at("this quarter").start) == (D(2024, 2, 29, 12), D(2024, 8, 31, 12), D(2024, 4, 1))
+    assert not any(at(f"{w} quarter").is_range for w in ("last", "this", "next"))
+    assert at("2 quarters ago").start == D(2023, 11, 30, 12) and at("in 1 quarter").start == D(2024, 8, 31, 12)
+    assert at("within the last 3 days").start == at("past 3 days").start == D(2024, 5, 28, 12)
+
+
+@pytest.mark.parametrize(
+    "locale, text, expected",
+    [
+        ("de", "31.12.2024", D(2024, 12, 31)),
+        ("de-AT", "3. März 2023", D(2023, 3, 3)),
+        ("de", "Mai 2022", D(2022, 5, 1)),
+        ("de", "vor 2 Wochen", D(2024, 1, 1, 12)),
+        ("de", "in 1 Quartal", D(2024, 4, 15, 12)),
+        ("fr", "31/12/2024", D(2024, 12, 31)),
+        ("fr", "1er août 2023", D(2023, 8, 1)),
+        ("fr", "il y a 3 jours", D(2024, 1, 12, 12)),
+        ("es", "5 de marzo de 2021", D(2021, 3, 5)),
+        ("es", "hace 1 año", D(2023, 1, 15, 12)),
+        ("es", "dentro de 2 meses", D(2024, 3, 15, 12)),
+        ("nl", "04-07-2023", D(2023, 7, 4)),
+        ("nl", "3 dagen geleden", D(2024, 1, 12, 12)),
+        ("nl", "12 mei", D(2024, 5, 12)),
+        ("pt", "25 de dezembro de 2020", D(2020, 12, 25)),
+        ("pt", "há 2 semanas", D(2024, 1, 1, 12)),
+        ("ja", "2024年12月31日", D(2024, 12, 31)),
+        ("ja", "3日前", D(2024, 1, 12, 12)),
+        ("en", "03/04/2024", D(2024, 3, 4)),
+        ("de", "2024-03-04", D(2024, 3, 4)),
+        ("de", "tomorrow", D(2024, 1, 16, 12)),
+    ],
+)
+def test_local_dates(locale, text, expected):
+    assert dates.parse_date(text, D(2024, 1, 15, 12), locale).start == expected
+
+
+def test_local_dates_that_are_none():
+    for locale, text in (("de", "31.13.2024"), ("fr", "il y a"), ("en", "31.12.2024"), ("ja", "年月日")):
+        assert dates.parse_date(text, D(2024, 1, 15, 12), locale) is None
+
+
+def test_strategies(spark):
+    """What each strategy makes by itself, and one of a caller's own."""
+    from quillsift.plans import strategies
+
+    rows = [("Open", 1, D(2024, 1, 1)), ("Open", 2, D(2024, 1, 5)), ("Closed", 3, None)]
+    columns = [dict(id="status", type="enum", name="Status"), dict(id="priority", type="number", name="Priority"), dict(id="due", type="date", name="Due")]
+
+    def made(text, *names, **config):
+        e = Engine(spark, EngineConfig(now=NOW, persist=False, **({"strategies": tuple(s for s in strategies.STRATEGIES if s.name in names)} if names else {}), **config))
+        e.set_schema(columns)
+        e.index_data(spark.createDataFrame(rows, "status string, priority int, due timestamp_ntz"))
+        return [(s.id, round(s.score, 4)) for s in e.suggest(text).suggestions]
+
+    assert made("", "empty") == [("status:eq:", 0.0), ("priority:eq:", 0.0), ("due:eq:", 0.0)]
+    assert made("from 5 to 2", "spread") == [("priority:between:2,5", 0.95)]
+    assert made("status", "column") == [("status:eq:", 0.4), ("status:neq:", 0.4), ("status:in:", 0.4)]
+    assert made("open", "value") == [("status:eq:Open", 0.4)]
+    assert made("gte", "operator") == [("priority:gte:", 0.2), ("due:gte:", 0.2)]
+    assert made("gte 2", "operator") == [("priority:gte:2", 0.6), ("priority:gte:", 0.1), ("due:gte:", 0.1)]
+    assert made("status neq", "column and operator") == [("status:neq:", 0.6), ("status:neq:Open", 0.54), ("status:neq:Closed", 0.54)]
+    assert made("7", "numbers") == [(f"priority:{o}:7", 0.5) for o in ("eq", "neq", "lt", "lte", "gt")]
+    numbers = dict(made("7 5 9", "numbers"))
+    assert numbers["priority:between:5,7"] == 0.45 and numbers["priority:in:7,5,9"] == 0.5 and numbers["priority:eq:7"] == 0.4
+    assert [i.split(":")[1] for i, _ in made("2024-01-05", "dates")] == ["eq", "neq", "lt", "lte", "gt"]
+    assert [i.split(":")[1] for i, _ in made("last week", "dates")][:1] == ["between"]
+    assert made("open closed", "values") == [("status:in:Open,Closed", 0.4), ("status:nin:Open,Closed", 0.4)]
+    assert made("status open closed", "column and values") == [("status:in:Open,Closed", 0.8), ("status:nin:Open,Closed", 0.8)]
+    assert made("nin open closed", "operator and values") == [("status:nin:Open,Closed", 0.6)]
+    for silent in ("numbers", "dates", "values"):
+        assert made("status 7", silent) == []
+
+    class Highest:
+        name = "highest"
+
+        def handles(self, query):
+            return query.found.tokens.texts == ["highest"]
+
+        def generate(self, query):
+            yield query.make(query.catalog.get("priority"), "gte", (3,), 1.0)
+
+    assert made("highest", strategies=(*strategies.STRATEGIES, Highest()))[0] == ("priority:gte:3", 1.0)
+    assert [strategies.Literal.of(v).kind for v in ("x", 1, 2.5, True, dates.parse_date("today", NOW))] == ["string", "number", "number", "boolean", "date"]
+
+
 def test_explain_score():
     from quillsift.plans.parse import Match
 
@@ -305,18 +394,84 @@ def test_telemetry(engine, spark, tmp_path):
     assert {(r["_service"], r["_environment"]) for r in spark.read.parquet(str(tmp_path / "e")).collect()} == {("svc", "test")}
 
 
-def test_streaming(spark, tmp_path):
-    from quillsift.streaming.incremental import event_rollup, streaming_value_index
+EVENTS_SCHEMA = "ts timestamp, op string, ms double"
+
+
+def streamed(spark, frame, mode, name):
+    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.table(name)
+
+
+def test_streaming_rollup(spark, tmp_path):
+    """Files arrive one by one; events of a window that the watermark has closed are left out, the others are counted as in a batch."""
+    from quillsift.streaming.incremental import event_rollup
+
+    path = str(tmp_path / "in")
+    parts = [[(D(2024, 1, 1, 0, m), "a", float(m)) for m in (0, 20, 40)], [(D(2024, 1, 1, 1, m), "a", 10.0) for m in (5, 50)] + [(D(2024, 1, 1, 1, 55), "b", 1.0)], [(D(2024, 1, 1, 5), "a", 7.0)], [(D(2024, 1, 1, 0, 30), "a", 999.0), (D(2024, 1, 1, 4, 55), "b", 3.0)], [(D(2024, 1, 1, 9), "a", 1.0)]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.01 * i)
+    files = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    got = {(r["window_start"].hour, r["operation"]): (r["n"], r["mean_duration"], r["max_duration"]) for r in streamed(spark, event_rollup(files, "ts", "op", "ms"), "append", "rollup").collect()}
+    assert got == {(0, "a"): (3, 20.0, 40.0), (1, "a"): (2, 10.0, 10.0), (1, "b"): (1, 1.0, 1.0), (4, "b"): (1, 3.0, 3.0), (5, "a"): (1, 7.0, 7.0)}
+    everything = event_rollup(spark.read.parquet(path), "ts", "op", "ms")
+    assert {(r["window_start"].hour, r["operation"]): r["n"] for r in everything.collect()}[0, "a"] == 4  # a batch leaves nothing out
+
+
+def test_streaming_index(spark, tmp_path):
+    """The running index after several batches is that of all rows, and merging the batches' indexes gives it too."""
+    from quillsift.plans.index import value_index
+    from quillsift.streaming.incremental import merge_index, streaming_value_index
 
     path = str(tmp_path / "in")
-    spark.createDataFrame([(D(2024, 1, 1, h, 5), f"op{h % 2}", float(h)) for h in range(6)], "ts timestamp, op string, ms double").repartition(3).write.parquet(path)
-    stream = spark.readStream.schema("ts timestamp, op string, ms double").parquet(path)
-    for frame, mode in ((streaming_value_index(stream, ["op"]), "complete"), (event_rollup(stream, "ts", "op", "ms"), "complete")):
-        q = frame.writeStream.outputMode(mode).format("memory").queryName(f"out{abs(hash(mode + str(frame.columns)))}").start()
-        q.processAllAvailable()
-        name = q.name
-        q.stop()
-        assert spark.table(name).count() == (2 if "value" in frame.columns else 6)
+    halves = [spark.createDataFrame([(D(2024, 1, 1, h), f"op{h % k}", float(h)) for h in range(9)], EVENTS_SCHEMA).coalesce(1) for k in (2, 3)]
+    for half in halves:
+        half.write.mode("append").parquet(path)
+    files = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    whole = {tuple(r) for r in value_index(spark.read.parquet(path), ["op", "ms"]).collect()}
+    assert {tuple(r) for r in streamed(spark, streaming_value_index(files, ["op", "ms"]), "complete", "running").collect()} == whole
+    assert {tuple(r) for r in merge_index(*(value_index(h, ["op", "ms"]) for h in halves)).collect()} == whole
+
+
+def test_stream_of_events(spark, tmp_path):
+    """Each event is written once, also when a batch is run again."""
+    from quillsift.sources.tables import stream_events
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(2):
+        spark.createDataFrame([(D(2024, 1, 1, h), f"op{k}", float(h)) for h in range(5)], EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        for checkpoint in ("first", "again") if k else ("first",):
+            events = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+            stream_events(events, out, str(tmp_path / checkpoint), "svc", "test", once=True).awaitTermination(120)
+    rows = spark.read.parquet(out)
+    assert rows.count() == rows.distinct().count() == 10 and {r["_service"] for r in rows.collect()} == {"svc"}
+    assert rows.groupBy("op").count().where("count = 5").count() == 2
+
+
+def test_progress(spark):
+    heard = []
+    e = Engine(spark, EngineConfig(now=NOW))
+    e.set_schema([dict(id="name", type="string"), dict(id="n", type="number")])
+    e.index_data_async(spark.range(0, 4_000_000, 1, 64).select(F.concat(F.lit("Name"), F.col("id") % 1000).alias("name"), F.col("id").alias("n")), on_progress=heard.append)
+    assert heard[0] == 0.0 and heard[-1] == 1.0 and heard == sorted(heard) and len(heard) > 2
+    assert [k for _, k in e._indexes] == [("name",)]  # numbers aren't indexed for texts
+    e.set_schema([dict(id="n", type="number")])
+    assert top(e, "7") == ["n:eq:7"]
+
+
+def test_row_sets(spark):
+    from quillsift.plans.rowsets import RowSet
+
+    rows = spark.createDataFrame([(i, i % 2, i % 3) for i in (*range(-70, 200), 5_000_000_000)] + [(None, 0, 0)], "_row_id long, two int, three int")
+    a, b = RowSet.of(rows, F.col("two") == 0), RowSet.of(rows, F.col("three") == 0)
+    ids = [*range(-70, 200), 5_000_000_000]
+    x, y = {i for i, t in zip(ids, (r["two"] for r in rows.collect())) if t == 0}, {i for i, t in zip(ids, (r["three"] for r in rows.collect())) if t == 0}
+    for got, want in ((a, x), (a.and_(b), x & y), (a.or_(b), x | y), (a.and_not(b), x - y), (a.xor(b), x ^ y), (a.and_not(a), set())):
+        assert {r["_row_id"] for r in got.ids().collect()} == want and got.cardinality().first()[0] == len(want)
 
 
 def test_sample_is_the_same_for_any_partitions(spark):

@@ -259,6 +259,67 @@ def _row_set_counts(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (s.cardinality().select(F.lit(name).alias("set"), "cardinality") for name, s in each.items()))
 
 
+# Rows that the driver's tables lack: nulls, empty and null-like texts, NaN, the ends of a day, arrays with nulls and commas.
+_EDGE_ROWS = (
+    (1, None, None, None, None),
+    (2, "", float("nan"), dt.datetime(2024, 1, 1), ()),
+    (3, "null", 0.0, dt.datetime(2024, 1, 1, 23, 59, 59, 999000), ("a,b",)),
+    (4, "Mixed Case", 5.0, dt.datetime(2024, 1, 2), ("a", "b")),
+    (5, "mixed case", -1.5, dt.datetime(2024, 1, 1, 23, 59, 59, 998000), ("a", None, "b")),
+)
+EDGE = Catalog.of(dict(id="s", type="string"), dict(id="n", type="number"), dict(id="d", type="date"), dict(id="tags", type="array"))
+
+
+def _edge(spark: SparkSession) -> Dataset:
+    rows = [(i, s, n, d, None if tags is None else list(tags)) for i, s, n, d, tags in _EDGE_ROWS]
+    return Dataset(spark.createDataFrame(rows, "id long, s string, n double, d timestamp_ntz, tags array<string>"), EDGE, ("id",), NOW)
+
+
+def _edge_sql() -> str:
+    def cell(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, tuple):
+            return f"[{', '.join(map(cell, x))}]::VARCHAR[]"
+        if isinstance(x, dt.datetime):
+            return f"TIMESTAMP '{x.isoformat(sep=' ')}'"
+        return f"'{x}'::DOUBLE" if isinstance(x, float) else f"'{x}'" if isinstance(x, str) else str(x)
+
+    return "(VALUES " + ", ".join(f"({', '.join(map(cell, r))})" for r in _EDGE_ROWS) + ") AS edge(id, s, n, d, tags)"
+
+
+#: The text of an array: its elements, empty for nulls, with commas between.
+_TAGS = "array_to_string([coalesce(t, '') for t in tags], ',')"
+EDGE_FILTERS: dict[str, tuple[str, str, tuple, str]] = {
+    "edge_array_contains": ("tags", "contains", ("a,b",), f"contains({_TAGS}, 'a,b')"),
+    "edge_array_contains_null": ("tags", "contains", ("a,,b",), f"contains({_TAGS}, 'a,,b')"),
+    "edge_array_not_contains": ("tags", "notContains", ("b",), f"tags IS NULL OR NOT contains({_TAGS}, 'b')"),
+    "edge_array_is_empty": ("tags", "isEmpty", (), "tags IS NULL"),
+    "edge_nan_gt": ("n", "gt", (-2,), "n > -2 AND NOT isnan(n)"),
+    "edge_nan_neq": ("n", "neq", (0,), "n IS DISTINCT FROM 0"),
+    "edge_nan_between": ("n", "between", (-2, 5), "n BETWEEN -2 AND 5"),
+    "edge_text_is_empty": ("s", "isEmpty", (), "s IS NULL OR s = ''"),
+    "edge_text_neq": ("s", "neq", ("null",), "s IS DISTINCT FROM 'null'"),
+    "edge_text_neq_ignore_case": ("s", "neqIgnoreCase", ("MIXED case",), "lower(s) IS DISTINCT FROM 'mixed case'"),
+    "edge_date_day": ("d", "eq", ("2024-01-01",), "d >= TIMESTAMP '2024-01-01' AND d < TIMESTAMP '2024-01-02'"),
+    "edge_date_not_day": ("d", "neq", ("2024-01-01",), "d < TIMESTAMP '2024-01-01' OR d >= TIMESTAMP '2024-01-02'"),
+}
+
+
+def _edge_filter(name: str) -> Query:
+    column, operator, args, _ = EDGE_FILTERS[name]
+    return lambda spark, folder: _edge(spark).execute(FilterSpec(column, operator, args)).select("id")
+
+
+def _edge_index(spark: SparkSession, folder: str) -> DataFrame:
+    return plans.value_index(_edge(spark).df, ["s", "d", "tags"])
+
+
+def _edge_index_sql() -> str:
+    texts = {"s": "s", "d": "strftime(d, '%Y-%m-%d %H:%M:%S.%g')", "tags": _TAGS}
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_id, {t} AS value, count(*) AS row_count FROM {_edge_sql()} WHERE {c} IS NOT NULL GROUP BY 2" for c, t in texts.items())
+
+
 _OTHER: dict[str, tuple[Query, str | None]] = {
     "flagship_facets": (flagship, "SELECT 'l_linestatus' AS column_id, l_linestatus AS value, count(*) AS row_count FROM lineitem WHERE l_returnflag = 'R' AND l_quantity BETWEEN 10 AND 20 GROUP BY 2"),
     "contains_array": (
@@ -358,8 +419,10 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {name: _filter(name) for name in FILTERS} | {name: q for name, (q, _) in _OTHER.items()}
+    edges = {name: _edge_filter(name) for name in EDGE_FILTERS} | {"edge_index": _edge_index}
+    return {name: _filter(name) for name in FILTERS} | edges | {name: q for name, (q, _) in _OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _filter_sql(name) for name in FILTERS} | {name: sql for name, (_, sql) in _OTHER.items() if sql}
+    edges = {name: f"SELECT id FROM {_edge_sql()} WHERE {condition}" for name, (*_, condition) in EDGE_FILTERS.items()} | {"edge_index": _edge_index_sql()}
+    return {name: _filter_sql(name) for name in FILTERS} | edges | {name: sql for name, (_, sql) in _OTHER.items() if sql}

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillsift.catalog import Catalog, DataType
 from quillsift.functions.values import to_index_string
@@ -18,9 +19,22 @@ def _unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.column_id", "p.value").where("value IS NOT NULL")
 
 
+def _counted(df: DataFrame, column: str, kind: T.DataType) -> DataFrame:
+    """One column's index: values are counted as they are and written as text once each; texts that several values share are added up."""
+    counts = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("row_count")).where("v IS NOT NULL")
+    texts = counts.select(F.lit(column).alias("column_id"), to_index_string(F.col("v"), kind).alias("value"), "row_count")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.ArrayType)):
+        return texts.groupBy("column_id", "value").agg(F.sum("row_count").alias("row_count"))
+    return texts
+
+
 def value_index(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_id, value, row_count: one scan, and one shuffle of partial counts."""
-    return _unpivoted(df, columns).groupBy("column_id", "value").agg(F.count("*").alias("row_count"))
+    """column_id, value, row_count. Each column is read and counted by itself, with one shuffle of partial counts, so that a columnar source is read
+    once in all; a stream is read as (column, value) pairs, as it can have one aggregation only."""
+    if df.isStreaming:
+        return _unpivoted(df, columns).groupBy("column_id", "value").agg(F.count("*").alias("row_count"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return reduce(DataFrame.unionByName, (_counted(df, c, kinds[c]) for c in columns))
 
 
 def cardinality(index: DataFrame) -> DataFrame:
@@ -41,15 +55,16 @@ def top_values(index: DataFrame, n: int = 10) -> DataFrame:
 def index_stats(df: DataFrame, index: DataFrame) -> DataFrame:
     """One row: total_rows, columns_indexed, unique_values (distinct lower-cased values over all columns)."""
     rows = df.agg(F.count("*").alias("total_rows"))
-    texts = index.groupBy(F.lower("value").alias("text")).agg(F.collect_set("column_id").alias("of"))  # at most all columns in a row
-    values = texts.agg(F.size(F.array_distinct(F.flatten(F.collect_set("of")))).cast("long").alias("columns_indexed"), F.count("*").alias("unique_values"))
-    return rows.join(values)  # a row each
+    # both read the exchange of the index
+    columns = index.groupBy("column_id").agg(F.count("*")).agg(F.count("*").alias("columns_indexed"))
+    values = index.groupBy(F.lower("value").alias("text")).agg(F.count("*")).agg(F.count("*").alias("unique_values"))
+    return rows.join(columns).join(values)  # a row each
 
 
 def available_values(df: DataFrame, catalog: Catalog) -> DataFrame:
     """Distinct values in a context for columns of text, numbers and dates."""
     kinds = (DataType.STRING, DataType.ENUM, DataType.NUMBER, DataType.DATE)
-    return _unpivoted(df, [c.id for c in catalog.columns if c.type in kinds]).distinct()
+    return value_index(df, [c.id for c in catalog.columns if c.type in kinds]).select("column_id", "value")
 
 
 def merged_counts(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:

@@ -8,8 +8,8 @@ is a repeat, and its words are removed. All windows of all documents are compare
    repeats itself has one row for each hash. Places aren't sent but found again, from the text alone. Segments are counted by a partial
    aggregation, and the counts are joined back, so that Spark can split the rows of a very common anchor.
 2. A window whose anchor hash occurs once in the corpus can't be repeated. The segments of the others go, with their words, to the
-   shard of their anchor hash, so that equal windows always meet, however many documents and shards there are. Of equal segments in an
-   Arrow batch only the first goes there; the others are repeats as a whole and are dealt to all shards, to be passed through.
+   shard of their anchor hash, so that equal windows always meet, however many documents and shards there are. Of equal segments in a
+   megabyte of text only the first goes there; the others are repeats as a whole and are dealt to all shards, to be passed through.
 3. Each shard, in parts that end between anchor hashes, builds an FM-index over its distinct segments: words as symbols, suffixes sorted to
    the window's depth, the BWT in a wavelet matrix of packed bits. Of the suffix array it keeps, as packed bits, where suffixes
    with another window begin and where those with another window less a word do, and the least text position of each window that occurs
@@ -50,6 +50,8 @@ PART_WORDS = 300_000
 SCAN_BYTES = 1 << 19
 #: With more segments than this, an anchor hash is not one group: each of its windows goes by its own hash.
 HOT_ANCHOR = 1000
+#: Bytes of text whose segments are held at once.
+HELD_BYTES = 1 << 20
 #: Rows of an Arrow batch that a worker returns.
 OUT_ROWS = 20_000
 #: A window's number of starts under one anchor is kept in 8 bits.
@@ -339,8 +341,16 @@ def _cut_segments(size: int):
                             held.setdefault((h, b" ".join(words[start : start + count + size - 1]), count), []).append((d[i], k[i], start + before[j]))
         return held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sizes = [len(t) for t in utf8(batch.column(2))]
+            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // HELD_BYTES, prepend=0)).tolist()
+            for begin, end in zip([0, *ends], [*ends, batch.num_rows]):
+                if begin < end:
+                    yield batch.slice(begin, end - begin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             rows: list[tuple] = []
             whole: list[tuple[int, int, int, int]] = []  # repeats: d, k, first word, the word after the last
             for (h, words, count), at in segments(batch).items():

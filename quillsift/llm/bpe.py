@@ -307,7 +307,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             ids = list(bpe.encode_many(utf8(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKENS)
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, TOKENS)
 
 
 def decode_documents(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -335,4 +335,4 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, ENCODED)

@@ -3,7 +3,8 @@
 Greedy longest match proposes the tokens of a word. A proposal is the word's encoding exactly when each token encodes to itself and no merge
 crosses the boundary of an adjacent pair. The pairs of all new words are tested together, as arrays: the merges that made two
 neighbours are undone, the latest first, and at each step the tokens that face each other at the boundary must not have a merge that would have come
-before the one just undone. Only words with a failing pair are merged one pair at a time, from a heap of merges by rank and place.
+before the one just undone. Only words with a failing pair are merged exactly: short ones together, each word's next merge in one step for all of them,
+and long ones each from a heap of merges by rank and place.
 
 Long texts are split a stretch at a time, at spaces, which no token crosses.
 
@@ -40,8 +41,11 @@ RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 #: Bytes of a text that are split into runs at once; longer texts are handled in stretches that end before a space.
 STRETCH = 1 << 20
-#: Bytes of a word from which merges are taken from a heap.
-LONG_WORD = 48
+#: Bytes of words that are handled together as arrays; a longer word is handled alone, its merges taken from a heap.
+LONG_WORD = 64
+#: Words that are merged together.
+TOGETHER = 20_000
+_NEVER = np.int32(2**31 - 1)
 #: Entries of a worker's table from runs to ids.
 CACHE_ENTRIES = 1_000_000
 _CODECS: dict[str, "SpeculativeBpe"] = {}
@@ -54,6 +58,39 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+class Lookup:
+    """From non-negative numbers of 64 bits to numbers of 32 bits, for whole arrays: open addressing, with a quarter of the places used at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        place, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[place[left]] < 0]
+            self.keys[place[free]] = keys[free]  # of several, the last one stays
+            took = free[self.keys[place[free]] == keys[free]]
+            self.values[place[took]] = values[took]
+            left = left[self.keys[place[left]] != keys[left]]
+            place[left] = (place[left] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray, otherwise: int = -1) -> np.ndarray:
+        place = self._place(keys)
+        there = self.keys[place]
+        out = np.where(there == keys, self.values[place], np.int32(otherwise))
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            place[left] = (place[left] + 1) & self.mask
+            there = self.keys[place[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[place[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
 class SpeculativeBpe:
     """Encoder and decoder for a byte-level BPE in the tokenizers library's file format."""
 
@@ -87,8 +124,9 @@ class SpeculativeBpe:
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.special = re.compile(b"(" + b"|".join(map(re.escape, self.specials)) + b")") if self.specials else None
         self.entries = entries
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        #: Ids of runs, as numbers of 32 bits in bytes, which are joined faster than lists.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.speculated = self.merged = 0
 
     def _tables(self) -> None:
@@ -98,8 +136,9 @@ class SpeculativeBpe:
         made = np.fromiter((t for _, t in self.merge.values()), np.int64, len(self.merge))
         if len(np.unique(made)) < len(made):
             raise ValueError("two merges make the same token")
-        order = np.argsort(left << 32 | right)
-        self.pair_keys, self.pair_ranks = (left << 32 | right)[order], rank[order]
+        self.rank_of = Lookup(left << 32 | right, rank)
+        self.made = np.empty(len(made), np.int32)  # the token of each rank
+        self.made[rank] = made
         self.left, self.right, self.rank = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
         self.left[made], self.right[made], self.rank[made] = left, right, rank
         # a token encodes to itself if its halves do and nothing crosses between them before they are merged
@@ -108,6 +147,23 @@ class SpeculativeBpe:
         self.valid[self.of_byte] = True
         for i in np.argsort(rank).tolist():
             self.valid[made[i]] = whole[i] and self.valid[left[i]] and self.valid[right[i]]
+        # bytes: their tokens, and the ranks of their pairs
+        self.byte_token = np.asarray(self.of_byte, np.int32)
+        both = self.byte_token.astype(np.int64)
+        self.byte_rank = self.rank_of((both[:, None] << 32 | both[None, :]).reshape(-1), int(_NEVER))
+        # a tree of the tokens' bytes: children by state and byte, and the token that ends in a state
+        states: dict[bytes, int] = {b"": 0}
+        keys, children = [], []
+        for word in self.id_of:
+            for i in range(1, len(word) + 1):
+                if word[:i] not in states:
+                    states[word[:i]] = len(states)
+                    keys.append(states[word[: i - 1]] << 8 | word[i - 1])
+                    children.append(states[word[:i]])
+        self.child = Lookup(np.asarray(keys, np.int64), np.asarray(children, np.int32))
+        self.token_at = np.full(len(states), -1, np.int32)
+        for word, token in self.id_of.items():
+            self.token_at[states[word]] = token
 
     def _stays_apart(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | int = 1 << 60) -> np.ndarray:
         """For pairs of tokens that encode to themselves: whether no merge of a rank less than `before` crosses their boundary."""
@@ -115,9 +171,8 @@ class SpeculativeBpe:
         live = np.arange(len(a))
         a, b, before = a.copy(), b.copy(), np.broadcast_to(before, len(a)).copy()
         while len(live):
-            key = a << 32 | b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            crossed = (self.pair_keys[at] == key) & (self.pair_ranks[at] < before)
+            found = self.rank_of(a << 32 | b)
+            crossed = (found >= 0) & (found < before)
             good[live[crossed]] = False
             made_a, made_b = self.rank[a], self.rank[b]
             go = ~crossed & ((made_a >= 0) | (made_b >= 0))
@@ -128,27 +183,54 @@ class SpeculativeBpe:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return good
 
-    def exact(self, word: bytes) -> tuple[int, ...]:
-        """The encoding by merging the lowest-ranked pair, leftmost first, until none is left."""
-        ids = list(map(self.of_byte.__getitem__, word))
-        if len(ids) > LONG_WORD:
-            return self._exact_by_heap(ids)
-        none = (1 << 60, 0)
-        ranks = [self.merge.get(p, none) for p in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best[0] == none[0]:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = self.merge.get((ids[i], ids[i + 1]), none)
-            if i:
-                ranks[i - 1] = self.merge.get((ids[i - 1], ids[i]), none)
-        return tuple(ids)
-
-    def _exact_by_heap(self, ids: list[int]) -> tuple[int, ...]:
+    def exact(self, word: bytes) -> bytes:
+        """The encoding (ids of 32 bits) by merging the lowest-ranked pair, leftmost first, until none is left."""
+        return self._exact_by_heap(list(map(self.of_byte.__getitem__, word)))
+
+    def exact_together(self, words: list[bytes]) -> list[bytes]:
+        """The same for many short words. Each step takes the next merge of every word that has one."""
+        out = [b""] * len(words)
+        by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for at in range(0, len(by_length), TOGETHER):
+            some = by_length[at : at + TOGETHER]
+            for i, ids in zip(some, self._merged_together([words[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _merged_together(self, words: list[bytes]) -> list[bytes]:
+        n, width = len(words), max(1, max(map(len, words)))
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        inside = np.arange(width) < sizes[:, None]
+        ids = np.where(inside, self.byte_token[raw], -1)
+        # the rank of the pair that begins at each place; the places of a token's neighbours
+        ranks = np.full((n, width), _NEVER, np.int32)
+        ranks[:, :-1] = np.where(inside[:, 1:], self.byte_rank[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]], _NEVER)
+        after, before = np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1)), np.tile(np.arange(-1, width - 1, dtype=np.int16), (n, 1))
+        rows = np.arange(n)
+        while len(rows):
+            now = ranks[rows]
+            i = now.argmin(axis=1)
+            rank = now[np.arange(len(rows)), i]
+            more = rank < _NEVER
+            rows, i, rank = rows[more], i[more], rank[more]
+            made = self.made[rank].astype(np.int64)
+            j = after[rows, i]
+            k = after[rows, j]
+            ids[rows, i], ids[rows, j], ranks[rows, j], after[rows, i] = made, -1, _NEVER, k
+            last = k >= sizes[rows]
+            next_ = np.where(last, 0, ids[rows, np.where(last, 0, k)]).astype(np.int64)
+            ranks[rows, i] = np.where(last, _NEVER, self.rank_of(made << 32 | next_, int(_NEVER)))
+            before[rows[~last], k[~last]] = i[~last]
+            h = before[rows, i]
+            inner = h >= 0
+            r, h = rows[inner], h[inner]
+            ranks[r, h] = self.rank_of(ids[r, h].astype(np.int64) << 32 | made[inner], int(_NEVER))
+        stay = ids >= 0
+        flat, ends = ids[stay].astype(np.int32).tobytes(), (4 * np.cumsum(stay.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _exact_by_heap(self, ids: list[int]) -> bytes:
         """The same for a list of byte tokens of any length: neighbours are linked, and merges wait in a heap by rank and place."""
         n, merge = len(ids), self.merge
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -168,7 +250,7 @@ class SpeculativeBpe:
             h = before[i]
             if h >= 0 and (found := merge.get((ids[h], made))):
                 heapq.heappush(heap, (found[0], h, (ids[h], made), found[1]))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
     def greedy(self, word: bytes) -> list[int]:
         """The longest token at each place."""
@@ -192,20 +274,61 @@ class SpeculativeBpe:
         ok[pairs] = self._stays_apart(a[pairs], b[pairs])
         return ok[back]
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Encodings of words that the pre-tokeniser has split."""
-        if not words:
-            return []
-        proposed = [self.greedy(w) for w in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(words))
-        first = np.fromiter(chain.from_iterable(proposed), np.int64, int(sizes.sum()))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    def greedy_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token at each place of many short words: tokens in order, and their number for each word. Words go down the tree together."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        raw = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        rows = np.flatnonzero(np.diff(ends, prepend=0))
+        at = np.concatenate([[0], ends[:-1]])[rows]
+        state, best, reach = np.zeros(len(rows), np.int64), np.full(len(rows), -1, np.int32), at.copy()
+        ends = ends[rows]
+        whose, tokens = [], []
+        while len(rows):
+            down = np.where(at < ends, self.child(state << 8 | raw[at]), -1)
+            goes = down >= 0
+            state, at = np.where(goes, down, 0).astype(np.int64), at + goes
+            found = np.where(goes, self.token_at[state], -1)
+            best, reach = np.where(found >= 0, found, best), np.where(found >= 0, at, reach)
+            done = ~goes
+            whose.append(rows[done])
+            tokens.append(best[done])
+            at = np.where(done, reach, at)
+            stay = ~done | (at < ends)
+            rows, at, ends, state, best, reach = rows[stay], at[stay], ends[stay], state[stay], best[stay], reach[stay]
+        whose = np.concatenate([np.empty(0, np.int64), *whose])
+        order = np.argsort(whose, kind="stable")
+        return np.concatenate([np.empty(0, np.int32), *tokens])[order].astype(np.int64), np.bincount(whose, minlength=len(words))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Encodings (ids of 32 bits) of words that the pre-tokeniser has split."""
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if w and len(w) <= LONG_WORD]
+        for i, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                first = np.asarray(self.greedy(w), np.int64)
+                self._settle([i], first, np.array([len(first)]), out, lambda some: [self.exact(words[k]) for k in some])
+        if short:
+            first, sizes = self.greedy_together([words[i] for i in short])
+            self._settle(short, first, sizes, out, lambda some: self.exact_together([words[k] for k in some]))
+        return out
+
+    def _settle(self, which: list[int], first: np.ndarray, sizes: np.ndarray, out: list[bytes], exact) -> None:
+        """Fills `out` for words with proposals: those whose pairs all hold as they are, the others by `exact`."""
+        ends = np.cumsum(sizes)
         second = np.append(first[1:], -1)
-        second[starts + sizes - 1] = -1
-        ok = np.logical_and.reduceat(self._compatible(first, second), starts)
+        second[ends - 1] = -1
+        ok = np.logical_and.reduceat(self._compatible(first, second), ends - sizes)
         self.speculated += int(ok.sum())
         self.merged += int((~ok).sum())
-        return [tuple(p) if good else self.exact(w) for p, good, w in zip(proposed, ok.tolist(), words, strict=True)]
+        flat, stops = first.astype(np.int32).tobytes(), (4 * ends).tolist()
+        wrong = []
+        for i, good, a, b in zip(which, ok.tolist(), [0, *stops], stops):
+            if good:
+                out[i] = flat[a:b]
+            else:
+                wrong.append(i)
+        for i, ids in zip(wrong, exact(wrong), strict=True):
+            out[i] = ids
 
     def _learn(self, runs: set[str]) -> None:
         split: dict[str, list[bytes]] = {}
@@ -218,7 +341,7 @@ class SpeculativeBpe:
         words = list({w for parts in split.values() for w in parts})
         found = dict(zip(words, self.encode_words(words), strict=True))
         for run, parts in split.items():
-            self.known[run] = found[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(found[w] for w in parts))
+            self.known[run] = found[parts[0]] if len(parts) == 1 else b"".join([found[w] for w in parts])
 
     def encode_many(self, texts: list[bytes]) -> Iterator[list[int]]:
         """Ids of each text; the new words of a block of texts are speculated and verified together."""
@@ -237,13 +360,9 @@ class SpeculativeBpe:
         self.known.update(again)
         if len(again) < len(new):
             self._learn(new.difference(again))
-        out = []
-        for parts in split:
-            ids: list[int] = []
-            for p in parts:
-                ids += [p] if isinstance(p, int) else chain.from_iterable(map(self.known.__getitem__, p))
-            out.append(ids)
-        return out
+        known = self.known.__getitem__
+        raw = (b"".join([np.int32(p).tobytes() if isinstance(p, int) else b"".join(map(known, p)) for p in parts]) for parts in split)
+        return [np.frombuffer(x, np.int32).tolist() for x in raw]
 
     def encode(self, text: bytes) -> list[int]:
         return next(self.encode_many([text]))

@@ -32,14 +32,77 @@ def as_instant(value: dt.date | dt.datetime) -> dt.datetime:
 
 # Suggested phrases by locale, as (text, label).
 DATE_SUGGESTIONS: dict[str, tuple[tuple[str, str], ...]] = {
-    "en": (("today", "Today"), ("yesterday", "Yesterday"), ("tomorrow", "Tomorrow"), ("last week", "Last 7 days"), ("last month", "Last 30 days"), ("this week", "This week"), ("this month", "This month"), ("this year", "This year")),
-    "de": (("heute", "Heute"), ("gestern", "Gestern"), ("morgen", "Morgen"), ("letzte Woche", "Letzte 7 Tage"), ("letzten Monat", "Letzte 30 Tage"), ("diese Woche", "Diese Woche"), ("diesen Monat", "Diesen Monat"), ("dieses Jahr", "Dieses Jahr")),
-    "fr": (("aujourd'hui", "Aujourd'hui"), ("hier", "Hier"), ("demain", "Demain"), ("la semaine dernière", "7 derniers jours"), ("le mois dernier", "30 derniers jours"), ("cette semaine", "Cette semaine"), ("ce mois", "Ce mois"), ("cette année", "Cette année")),
-    "es": (("hoy", "Hoy"), ("ayer", "Ayer"), ("mañana", "Mañana"), ("la semana pasada", "Últimos 7 días"), ("el mes pasado", "Últimos 30 días"), ("esta semana", "Esta semana"), ("este mes", "Este mes"), ("este año", "Este año")),
-    "nl": (("vandaag", "Vandaag"), ("gisteren", "Gisteren"), ("morgen", "Morgen"), ("vorige week", "Afgelopen 7 dagen"), ("vorige maand", "Afgelopen 30 dagen"), ("deze week", "Deze week"), ("deze maand", "Deze maand"), ("dit jaar", "Dit jaar")),
-    "ja": (("今日", "今日"), ("昨日", "昨日"), ("明日", "明日"), ("先週", "先週"), ("先月", "先月"), ("今週", "今週"), ("今月", "今月"), ("今年", "今年")),
-    "pt": (("hoje", "Hoje"), ("ontem", "Ontem"), ("amanhã", "Amanhã"), ("semana passada", "Últimos 7 dias"), ("mês passado", "Últimos 30 dias"), ("esta semana", "Esta semana"), ("este mês", "Este mês"), ("este ano", "Este ano")),
-}
+    "en": (
+        ("today", "Today"),
+        ("yesterday", "Yesterday"),
+        ("tomorrow", "Tomorrow"),
+        ("last week", "Last 7 days"),
+        ("last month", "Last 30 days"),
+        ("this week", "This week"),
+        ("this month", "This month"),
+        ("this year", "This year"),
+    ),
+    "de": (
+        ("heute", "Heute"),
+        ("gestern", "Gestern"),
+        ("morgen", "Morgen"),
+        ("letzte Woche", "Letzte 7 Tage"),
+        ("letzten Monat", "Letzte 30 Tage"),
+        ("diese Woche", "Diese Woche"),
+        ("diesen Monat", "Diesen Monat"),
+        ("dieses Jahr", "Dieses Jahr"),
+    ),
+    "fr": (
+        ("aujourd'hui", "Aujourd'hui"),
+        ("hier", "Hier"),
+        ("demain", "Demain"),
+        ("la semaine dernière", "7 derniers jours"),
+        ("le mois dernier", "30 derniers jours"),
+        ("cette semaine", "Cette semaine"),
+        ("ce mois", "Ce mois"),
+        ("cette année", "Cette année"),
+    ),
+    "es": (
+        ("hoy", "Hoy"),
+        ("ayer", "Ayer"),
+        ("mañana", "Mañana"),
+        ("la semana pasada", "Últimos 7 días"),
+        ("el mes pasado", "Últimos 30 días"),
+        ("esta semana", "Esta semana"),
+        ("este mes", "Este mes"),
+        ("este año", "Este año"),
+    ),
+    "nl": (
+        ("vandaag", "Vandaag"),
+        ("gisteren", "Gisteren"),
+        ("morgen", "Morgen"),
+        ("vorige week", "Afgelopen 7 dagen"),
+        ("vorige maand", "Afgelopen 30 dagen"),
+        ("deze week", "Deze week"),
+        ("deze maand", "Deze maand"),
+        ("dit jaar", "Dit jaar"),
+    ),
+    "ja": (
+        ("今日", "今日"),
+        ("昨日", "昨日"),
+        ("明日", "明日"),
+        ("先週", "先週"),
+        ("先月", "先月"),
+        ("今週", "今週"),
+        ("今月", "今月"),
+        ("今年", "今年"),
+    ),
+    "pt": (
+        ("hoje", "Hoje"),
+        ("ontem", "Ontem"),
+        ("amanhã", "Amanhã"),
+        ("semana passada", "Últimos 7 dias"),
+        ("mês passado", "Últimos 30 dias"),
+        ("esta semana", "Esta semana"),
+        ("este mês", "Este mês"),
+        ("este ano", "Este ano"),
+    ),
+}
 _MONTHS = {name.lower(): i for i in range(1, 13) for name in (calendar.month_name[i], calendar.month_abbr[i])}
 _DAYS = {name.lower(): i for i in range(7) for name in (calendar.day_name[i], calendar.day_abbr[i])}
 _UNITS = "second|minute|hour|day|week|month|quarter|year"
@@ -52,14 +115,27 @@ MONTH_NAMES = {
     "pt": "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro",
 }
 UNIT_WORDS = {
-    "de": "tag|day tage|day tagen|day woche|week wochen|week monat|month monate|month monaten|month quartal|quarter quartalen|quarter jahr|year jahre|year jahren|year stunde|hour stunden|hour minute|minute minuten|minute",
-    "fr": "jour|day jours|day semaine|week semaines|week mois|month trimestre|quarter trimestres|quarter an|year ans|year année|year années|year heure|hour heures|hour minute|minute minutes|minute",
-    "es": "día|day días|day semana|week semanas|week mes|month meses|month trimestre|quarter trimestres|quarter año|year años|year hora|hour horas|hour minuto|minute minutos|minute",
-    "nl": "dag|day dagen|day week|week weken|week maand|month maanden|month kwartaal|quarter kwartalen|quarter jaar|year jaren|year uur|hour uren|hour minuut|minute minuten|minute",
-    "pt": "dia|day dias|day semana|week semanas|week mês|month meses|month trimestre|quarter trimestres|quarter ano|year anos|year hora|hour horas|hour minuto|minute minutos|minute",
-    "ja": "日|day 週間|week か月|month ヶ月|month 四半期|quarter 年|year 時間|hour 分|minute",
+    "de": "tag|day tage|day tagen|day woche|week wochen|week monat|month monate|month monaten|month quartal|quarter "
+    "quartalen|quarter jahr|year jahre|year jahren|year stunde|hour stunden|hour minute|minute minuten|minute",
+    "fr": "jour|day jours|day semaine|week semaines|week mois|month trimestre|quarter trimestres|quarter an|year "
+    "ans|year année|year années|year heure|hour heures|hour minute|minute minutes|minute",
+    "es": "día|day días|day semana|week semanas|week mes|month meses|month trimestre|quarter "
+    "trimestres|quarter año|year años|year hora|hour horas|hour minuto|minute minutos|minute",
+    "nl": "dag|day dagen|day week|week weken|week maand|month maanden|month kwartaal|quarter "
+    "kwartalen|quarter jaar|year jaren|year uur|hour uren|hour minuut|minute minuten|minute",
+    "pt": "dia|day dias|day semana|week semanas|week mês|month meses|month trimestre|quarter "
+    "trimestres|quarter ano|year anos|year hora|hour horas|hour minuto|minute minutos|minute",
+    "ja": "日|day 週間|week か月|month ヶ月|month "
+    "四半期|quarter 年|year 時間|hour 分|minute",
+}
+BACK_AND_AHEAD = {
+    "de": ("vor {}", "in {}"),
+    "fr": ("il y a {}", "dans {}"),
+    "es": ("hace {}", "(?:en|dentro de) {}"),
+    "nl": ("{} geleden", "over {}"),
+    "pt": ("há {}", "(?:em|daqui a) {}"),
+    "ja": ("{}前", "{}後"),
 }
-BACK_AND_AHEAD = {"de": ("vor {}", "in {}"), "fr": ("il y a {}", "dans {}"), "es": ("hace {}", "(?:en|dentro de) {}"), "nl": ("{} geleden", "over {}"), "pt": ("há {}", "(?:em|daqui a) {}"), "ja": ("{}前", "{}後")}
 _COUNTS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 _MONTH, _WEEKDAY = "|".join(sorted(_MONTHS, key=len, reverse=True)), "|".join(sorted(_DAYS, key=len, reverse=True))
 
@@ -103,22 +179,47 @@ def _clock(m: re.Match, when: dt.datetime) -> dt.datetime:
     return when.replace(hour=hour, minute=int(m["min"] or 0), second=0, microsecond=0)
 
 
+def _count(text: str) -> int:
+    return _COUNTS.get(text.lower()) or int(text)
+
+
+def _numeric(m: re.Match, now: dt.datetime):
+    found = m.groupdict()
+    clock = (int(found.get(k) or 0) for k in ("h", "min", "s"))
+    return dt.datetime(_year(m["y"]), int(m["m"]), int(m["d"]), *clock), None
+
+
+def _named(m: re.Match, now: dt.datetime):
+    return dt.datetime(int(m["y"] or now.year), _MONTHS[m["m"].lower()], int(m.groupdict().get("d") or 1)), None
+
+
+def _moved(sign: int):
+    return lambda m, now: (_shift(now, sign * _count(m["n"]), m["u"].lower()), None)
+
+
+_NEAR_DAYS = {"today": 0, "yesterday": -1, "tomorrow": 1}
+_AMOUNT = rf"(?P<n>\d+|{'|'.join(_COUNTS)}) (?P<u>{_UNITS})s?"
+_CLOCK = r"(?P<h>\d{1,2}):(?P<min>\d{2})(?::(?P<s>\d{2})(?:\.\d+)?)?Z?"
 # (pattern, (match, now) -> (start, end)); at one place, the longest match counts.
-_RULES = tuple((re.compile(rf"(?<!\w)(?:{p})(?!\w)", re.I), f) for p, f in (
-    (r"(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})(?:[T ](?P<h>\d{1,2}):(?P<min>\d{2})(?::(?P<s>\d{2})(?:\.\d+)?)?Z?)?", lambda m, now: (dt.datetime(int(m["y"]), int(m["m"]), int(m["d"]), int(m["h"] or 0), int(m["min"] or 0), int(m["s"] or 0)), None)),
-    (r"(?P<m>\d{1,2})[/-](?P<d>\d{1,2})[/-](?P<y>\d{2,4})", lambda m, now: (dt.datetime(_year(m["y"]), int(m["m"]), int(m["d"])), None)),
-    (rf"(?P<m>{_MONTH})\.? (?P<d>\d{{1,2}})(?:st|nd|rd|th)?(?:,? (?P<y>\d{{4}}))?", lambda m, now: (dt.datetime(int(m["y"] or now.year), _MONTHS[m["m"].lower()], int(m["d"])), None)),
-    (rf"(?P<d>\d{{1,2}})(?:st|nd|rd|th)? (?:of )?(?P<m>{_MONTH})\.?(?:,? (?P<y>\d{{4}}))?", lambda m, now: (dt.datetime(int(m["y"] or now.year), _MONTHS[m["m"].lower()], int(m["d"])), None)),
-    (rf"(?P<m>{_MONTH}) (?P<y>\d{{4}})", lambda m, now: (dt.datetime(int(m["y"]), _MONTHS[m["m"].lower()], 1), None)),
+_ENGLISH = (
+    (rf"(?P<y>\d{{4}})-(?P<m>\d{{1,2}})-(?P<d>\d{{1,2}})(?:[T ]{_CLOCK})?", _numeric),
+    (r"(?P<m>\d{1,2})[/-](?P<d>\d{1,2})[/-](?P<y>\d{2,4})", _numeric),
+    (rf"(?P<m>{_MONTH})\.? (?P<d>\d{{1,2}})(?:st|nd|rd|th)?(?:,? (?P<y>\d{{4}}))?", _named),
+    (rf"(?P<d>\d{{1,2}})(?:st|nd|rd|th)? (?:of )?(?P<m>{_MONTH})\.?(?:,? (?P<y>\d{{4}}))?", _named),
+    (rf"(?P<m>{_MONTH}) (?P<y>\d{{4}})", _named),
     (r"now", lambda m, now: (now, None)),
-    (r"(?P<w>today|yesterday|tomorrow)", lambda m, now: (now + {"today": 0, "yesterday": -1, "tomorrow": 1}[m["w"].lower()] * _DAY, None)),
+    (rf"(?P<w>{'|'.join(_NEAR_DAYS)})", lambda m, now: (now + _NEAR_DAYS[m["w"].lower()] * _DAY, None)),
     (r"(?P<w>last|this|next) (?P<u>week|month|quarter|year)", lambda m, now: _period(m["w"].lower(), m["u"].lower(), now)),
-    (rf"(?P<n>\d+|{'|'.join(_COUNTS)}) (?P<u>{_UNITS})s? ago", lambda m, now: (_shift(now, -_count(m["n"]), m["u"].lower()), None)),
-    (rf"in (?P<n>\d+|{'|'.join(_COUNTS)}) (?P<u>{_UNITS})s?", lambda m, now: (_shift(now, _count(m["n"]), m["u"].lower()), None)),
-    (rf"(?:within (?:the )?)?(?:last|past) (?P<n>\d+) (?P<u>{_UNITS})s?", lambda m, now: (_shift(now, -int(m["n"]), m["u"].lower()), None)),
+    (f"{_AMOUNT} ago", _moved(-1)),
+    (f"in {_AMOUNT}", _moved(1)),
+    (rf"(?:within (?:the )?)?(?:last|past) (?P<n>\d+) (?P<u>{_UNITS})s?", _moved(-1)),
     (rf"(?:(?P<w>last|this|next) )?(?P<day>{_WEEKDAY})", lambda m, now: (_weekday(now, _DAYS[m["day"].lower()], (m["w"] or "").lower()), None)),
     (r"(?:at )?(?P<h>\d{1,2})(?::(?P<min>\d{2}))? ?(?P<half>am|pm)", lambda m, now: (_clock(m, now), None)),
-))
+)
+
+
+def _compiled(rules, before: str = r"(?<!\w)", after: str = r"(?!\w)") -> tuple:
+    return tuple((re.compile(f"{before}(?:{p}){after}", re.I), make) for p, make in rules)
 
 
 def _local_rules(locale: str) -> tuple:
@@ -142,18 +243,13 @@ def _local_rules(locale: str) -> tuple:
         ]
     else:
         rules.append((r"(?P<y>\d{4})年(?P<m>\d{1,2})月(?P<d>\d{1,2})日", day_first))
-    edge = ("", "") if locale == "ja" else (r"(?<!\w)", r"(?!\w)")
-    return tuple((re.compile(f"{edge[0]}(?:{p}){edge[1]}", re.I), f) for p, f in rules)
+    return _compiled(rules, "", "") if locale == "ja" else _compiled(rules)
 
 
 @lru_cache(maxsize=None)
 def _rules(locale: str) -> tuple:
     """A locale's rules, which come before the English ones at one place and length."""
-    return *_local_rules(locale), *_RULES
-
-
-def _count(text: str) -> int:
-    return _COUNTS.get(text.lower()) or int(text)
+    return *_local_rules(locale), *_compiled(_ENGLISH)
 
 
 def _weekday(now: dt.datetime, day: int, which: str) -> dt.datetime:

@@ -58,7 +58,8 @@ def index_stats(df: DataFrame, index: DataFrame) -> DataFrame:
     # both read the exchange of the index
     columns = index.groupBy("column_id").agg(F.count("*")).agg(F.count("*").alias("columns_indexed"))
     values = index.groupBy(F.lower("value").alias("text")).agg(F.count("*")).agg(F.count("*").alias("unique_values"))
-    return rows.join(columns).join(values)  # a row each
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (rows, columns, values))  # a row each
+    return parts.agg(*(F.max(c).alias(c) for c in ("total_rows", "columns_indexed", "unique_values")))
 
 
 def available_values(df: DataFrame, catalog: Catalog) -> DataFrame:

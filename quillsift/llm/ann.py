@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.llm.common import cut, small_batches
+from quillsift.llm.common import cut, small_batches, start_task
 
 #: Nodes of a shard: at least as many before there is another shard, and at most; bytes of its vectors at most; shards before the largest size counts.
 LEAST_ROWS, SHARD_ROWS, SHARD_BYTES, SPREAD = 16_384, 131_072, 64 << 20, 64
@@ -276,6 +276,7 @@ def build_index(valid: DataFrame, k: int, shard_rows: int = SHARD_ROWS, element:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "dim", "vectors", "ids", "nodes", "neighbours"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("neighbours")
         now, draw, ids, flat = None, [], [], []
         for batch in batches:
             shards = batch.column(0).to_numpy()
@@ -316,6 +317,7 @@ def _search(k: int, beam: int, element: str):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["h1", "h2", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("neighbours")
         graph, vectors, ids, shard = None, None, [], -1
         for batch in batches:
             for row in range(batch.num_rows):
@@ -340,6 +342,7 @@ def _packed(queries: DataFrame, groups: int, element: str) -> DataFrame:
     kind = np.float32 if element == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("neighbours")
         for batch in batches:
             rows: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
@@ -366,7 +369,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int =
     queries = valid.where(is_query).distinct()
     groups = max(1, -(-queries.count() // QUERY_GROUP))
     shards = index.select("shard", "dim")
-    blocks = _packed(queries, groups, element).join(shards, "dim")  # a block has few bytes more than its queries; a shard's row here has two numbers
+    blocks = _packed(queries, groups, element).join(F.broadcast(shards), "dim")  # two numbers for each 16,384 vectors and more
     nothing = index.schema
     visits = blocks.select("shard", "grp", "block", *(F.lit(None).cast(nothing[c].dataType).alias(c) for c in nothing.names[1:]), "queries", "places")
     kept = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(-1).alias("block"), *nothing.names[1:], F.lit(None).cast("array<struct<h1:long,h2:long>>").alias("queries"), F.lit(None).cast("binary").alias("places"))

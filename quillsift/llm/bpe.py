@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import blocks, quiet_threads, small_batches, utf8
+from quillsift.llm.common import blocks, kept, quiet_threads, small_batches, start_task, utf8
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, ids array<int>"
@@ -48,7 +48,6 @@ TOGETHER = 20_000
 _NEVER = np.int32(2**31 - 1)
 #: Entries of a worker's table from runs to ids.
 CACHE_ENTRIES = 1_000_000
-_CODECS: dict[str, "SpeculativeBpe"] = {}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -414,7 +413,8 @@ def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
 
 def codec(path: str) -> SpeculativeBpe:
     """This worker's codec for a vocabulary file."""
-    return _CODECS.get(path) or _CODECS.setdefault(path, SpeculativeBpe(path))
+    start_task("bpe")
+    return kept("bpe", path, lambda: SpeculativeBpe(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ BLOCK_BYTES = 4 << 20
 BATCH_BYTES = 4 << 20
 
 
-__all__ = ["blocks", "cut", "parts_at_spaces", "quiet_threads", "read_table", "row_key", "shared_folder", "small_batches", "utf8"]
+__all__ = ["blocks", "cut", "kept", "parts_at_spaces", "quiet_threads", "read_table", "row_key", "shared_folder", "small_batches", "start_task", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,26 @@ def parts_at_spaces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         at = end
 
 
+_KEPT: dict[tuple[str, object], object] = {}
+
+
+def start_task(kind: str) -> None:
+    """Called in a worker when a task of a kind begins: what tasks of other kinds kept goes, and memory that isn't used is given back."""
+    gone = [key for key in _KEPT if key[0] != kind]
+    for key in gone:
+        del _KEPT[key]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """This worker's object of a kind, kept from task to task until a task of another kind begins."""
+    if (kind, key) not in _KEPT:
+        _KEPT[kind, key] = make()
+    return _KEPT[kind, key]
+
+
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """128 bits that tell rows apart by id and text; never null. Rows that agree in both are one."""
     text = F.col(f"`{text_col}`")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import blocks, cut, small_batches, utf8
+from quillsift.llm.common import blocks, cut, small_batches, start_task, utf8
 
 #: Bytes of a chunk: least, on average beyond the least, most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
@@ -93,6 +93,7 @@ def _cut_documents(each, names: list[str], kinds: list[pa.DataType]):
     """A function for mapInArrow over (doc_id, text): `each` makes rows of a block's ids, normal texts and chunk ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("exact")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for first, last in blocks(texts):

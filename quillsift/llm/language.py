@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import small_batches, utf8
+from quillsift.llm.common import small_batches, start_task, utf8
 
 DIMENSIONS = 8192
 PER_LANGUAGE = 400
@@ -151,6 +151,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_fit_rows: int
     sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("language")
         for batch in batches:
             texts = utf8(batch.column(0))
             for a, b in groups(texts):
@@ -195,6 +196,7 @@ def predict_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     """doc_id, lang_pred, score, accepted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("language")
         for batch in batches:
             names, scores, accepted = model.predict(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
@@ -207,6 +209,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("language")
         for batch in batches:
             yield batch.filter(pa.array(model.predict(utf8(batch.column(place)))[2], pa.bool_()))
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import parts_at_spaces, small_batches, utf8
+from quillsift.llm.common import kept, parts_at_spaces, small_batches, start_task, utf8
 
 #: Lower-cases A-Z and turns every byte that isn't part of a word into a space; bytes of other scripts are kept.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -234,10 +233,10 @@ class LicenseScanner:
         return sorted(done, key=lambda s: (s[1], s[2]))
 
 
-@lru_cache(maxsize=4)
 def scanner_of(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], settings: Settings) -> LicenseScanner:
     """This worker's scanner, kept from task to task."""
-    return LicenseScanner(templates, dict(phrases), settings)
+    start_task("licenses")
+    return kept("licenses", (templates, phrases, settings), lambda: LicenseScanner(templates, dict(phrases), settings))
 
 
 def scan_documents(
@@ -248,8 +247,6 @@ def scan_documents(
     known = tuple((label, text) for label, text in templates), tuple((BASE_PHRASES if phrases is None else phrases).items()), settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillsift.llm.licenses import scanner_of
-
         scanner = scanner_of(*known)
         span = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("coverage", pa.float64())])
         kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(span)}

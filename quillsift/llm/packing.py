@@ -28,19 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import blocks, cut, parts_at_spaces, quiet_threads, small_batches, utf8
+from quillsift.llm.common import blocks, cut, kept, parts_at_spaces, quiet_threads, small_batches, start_task, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Entries of a worker's table from white-space separated strings to ids.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Bytes of a long text that are encoded at once.
 PART_BYTES = 1 << 20
 #: Pieces of one length that are ranked together at least.
 BUCKET_ROWS = 250
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-#: A worker's encoders, kept from task to task.
-_ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
 def _ends_in_letter(text: bytes) -> bool:
@@ -135,6 +133,12 @@ class ChunkEncoder:
         self.known.update((w, self.known[body] + self.known[marks]) for w, (body, marks) in marked.items())
 
 
+def encoder_of(path: str) -> ChunkEncoder:
+    """This worker's encoder for a vocabulary file."""
+    start_task("packing")
+    return kept("packing", path, lambda: ChunkEncoder(path))
+
+
 def _check(spec: dict, path: str) -> None:
     """Raises unless the file lower-cases, splits at white space, and ends words with </w>."""
     steps = spec.get("normalizer") or {}
@@ -160,7 +164,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, ChunkEncoder(tokenizer_path))
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(utf8(batch.column(1))), strict=True):

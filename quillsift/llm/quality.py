@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, parts_at_spaces, small_batches, utf8
+from quillsift.llm.common import cut, parts_at_spaces, small_batches, start_task, utf8
 
 MAX_FIT_ROWS = 200_000
 FOLDS = 16
@@ -72,6 +72,7 @@ def statistics_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, x (the statistics)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("quality")
         for batch in batches:
             x = [statistics(t) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -201,6 +202,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column, threshold
     model = fit(known.join(y, "doc_id"), max_fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("quality")
         for batch in batches:
             score = model(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, parts_at_spaces, small_batches, utf8
+from quillsift.llm.common import cut, parts_at_spaces, small_batches, start_task, utf8
 from quillsift.llm.graph import components
 
 SEED = 42
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     more = [F.xxhash64(text).alias("k")] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("simhash")
         for batch in batches:
             found = np.fromiter((fingerprint(t, width) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "k"][: batch.num_columns])
@@ -197,6 +198,7 @@ def _local_links(most: int):
     """From rows (key columns, fp) that are sorted by key: links under each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("simhash")
         held: list[np.ndarray] = []
         n = 0
 

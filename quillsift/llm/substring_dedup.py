@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import blocks, parts_at_spaces, small_batches, utf8
+from quillsift.llm.common import blocks, kept, parts_at_spaces, small_batches, start_task, utf8
 
 #: Words of an anchor's hash.
 GRAM = 5
@@ -62,19 +62,16 @@ _P = 0x9E3779B97F4A7C15 | 1
 _LAST = (1 << 63) - 1
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     """The first n powers modulo 2**64; those of a block's size are kept."""
-    if len(_POWERS.get(base, ())) < n:
-        out = np.full(max(n, 2 * SCAN_BYTES), base, np.uint64)
+
+    def make(size: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
         out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        if n > len(out) // 2 + 1:
-            return out[:n]
-        _POWERS[base] = out
-    return _POWERS[base][:n]
+        return np.multiply.accumulate(out, out=out)
+
+    usual = SCAN_BYTES + (SCAN_BYTES >> 3)
+    return make(n) if n > usual else kept("substrings", (base, usual), lambda: make(usual))[:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -299,6 +296,7 @@ REPEATS = "d long, k long, first int, end int"
 
 def _find_anchors(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("substrings")
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
             for which, _, parts in scans(texts, size):
@@ -350,6 +348,7 @@ def _cut_segments(size: int):
                     yield batch.slice(begin, end - begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("substrings")
         for batch in parts(batches):
             rows: list[tuple] = []
             whole: list[tuple[int, int, int, int]] = []  # repeats: d, k, first word, the word after the last
@@ -397,6 +396,7 @@ def _search_shard(size: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["d", "k", "first", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("substrings")
         part: list[tuple] = []
         part_words = 0
         hash_now, last, reach, own, seen, out = None, None, 0, [], set(), []
@@ -522,6 +522,7 @@ def digests(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: s
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("substrings")
         for batch in batches:
             words, removed, sha = [], [], []
             for text, gone in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
@@ -544,6 +545,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     place = docs_columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("substrings")
         for batch in batches:
             texts, stays = [], []
             columns = batch.columns[1:]

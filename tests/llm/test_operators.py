@@ -75,6 +75,36 @@ def test_small_batches(spark):
     spark.conf.unset(key)
 
 
+def test_kept_tables():
+    """A worker's tables stay from task to task of one kind, and go when a task of another kind begins."""
+    from quillsift.llm import common
+
+    made = []
+    for kind, again in (("a", 1), ("a", 0), ("b", 1), ("b", 0), ("a", 1)):
+        common.start_task(kind)
+        common.kept(kind, "x", lambda: made.append(1) or object())
+        assert len(made) == again
+        made.clear()
+        assert {k for k, _ in common._KEPT} == {kind}
+
+
+def test_tables_outlive_tasks(spark):
+    """The second task of a worker finds what the first one learnt: Spark's copies of functions share the module's tables."""
+    import pyarrow as pa
+
+    from quillsift.llm import packing as own
+
+    def run(batches):
+        for batch in batches:
+            encoder = own.encoder_of(WORD_BPE)
+            known = len(encoder.known)
+            list(encoder.encode_many([b"some words to learn"]))
+            yield pa.RecordBatch.from_arrays([pa.array([known] * batch.num_rows, pa.int64())], ["known"])
+
+    counts = [spark.range(1).coalesce(1).mapInArrow(run, "known long").collect()[0]["known"] for _ in range(2)]
+    assert counts[1] >= 4
+
+
 # 1 licences
 
 

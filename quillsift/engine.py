@@ -19,7 +19,7 @@ from quillsift.plans.strategies import STRATEGIES, Strategy
 from quillsift.plans.suggest import SCHEMA, Response, Suggester, to_rows
 from quillsift.plans.telemetry import Collector
 from quillsift.sources.dataset import Dataset
-from quillsift.sources.progress import job_group
+from quillsift.sources.progress import job_group as in_job_group
 
 
 @dataclass(frozen=True)
@@ -75,11 +75,11 @@ class Engine:
             self.catalog = Catalog.infer(df.schema)
         self._bind(Dataset(df, self.catalog, tuple(key), self.config.now, self.config.locale))
 
-    def index_data_async(self, df: DataFrame, key: Iterable[str] = (), group: str = "quillsift-index", on_progress: Callable[[float], None] | None = None) -> None:
+    def index_data_async(self, df: DataFrame, key: Iterable[str] = (), job_group: str = "quillsift-index", on_progress: Callable[[float], None] | None = None) -> None:
         """index_data, with the index of texts made at once in a job group, which spark.sparkContext.cancelJobGroup stops. `on_progress` hears of
         the share of tasks that are done."""
         self.index_data(df, key)
-        with job_group(self.spark, group, on_progress):
+        with in_job_group(self.spark, job_group, on_progress):
             if (index := self._text_index()) is not None:
                 index.count()
 

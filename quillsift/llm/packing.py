@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
-Documents are tokenised to piece lengths on the executors. The plan depends only on how many pieces
+Documents are tokenised to piece lengths on the executors, words of Latin letters by tiktoken's merging and the rest by the tokenizers library. The plan depends only on how many pieces
 there are of each length, a table of at most `capacity` rows at any corpus size, so it is made on the
 driver: for each length, longest first, combinations of one, two or three shorter lengths that fill
 the gap exactly are looked up by their sum and consumed as often as the counts allow; what is left
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.llm.bpe import byte_symbols
 from quillsift.llm.common import blocks, cut, kept, parts_at_spaces, quiet_threads, small_batches, start_task, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,7 +39,11 @@ CACHE_ENTRIES = 500_000
 PART_BYTES = 1 << 20
 #: Pieces of one length that are ranked together at least.
 BUCKET_ROWS = 250
+#: Bytes of a word that is merged as one of many; longer ones go to the tokenizers library.
+LONG_WORD = 200
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: The bytes of a-z, À-Ö, Ø-ö and ø-ÿ, which are in normal form and have a lower case of one letter each.
+_LATIN = bytes([*range(97, 123), 0xC3, *({*range(0x80, 0xC0)} - {0x97, 0xB7})])
 
 
 def _ends_in_letter(text: bytes) -> bool:
@@ -46,13 +51,98 @@ def _ends_in_letter(text: bytes) -> bool:
     return unicodedata.normalize("NFC", text[-4:].decode("utf-8", "ignore")).lower()[-1:].isalpha()
 
 
+class _Table(dict):
+    """Ids by string. A string that is in neither half is put down in `new` with an empty place for its ids, to be filled before texts are joined."""
+
+    def __init__(self, old: dict[bytes, bytes]):
+        self.old = old
+        self.new: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytes | bytearray:
+        ids = self.old.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
+        return self.new.setdefault(word, bytearray())
+
+
+class LetterMerger:
+    """Ids of words of letters, by tiktoken's merging: a word a line, where the end of the line stands for </w>.
+
+    tiktoken joins the neighbours that make the token of lowest rank, whichever two they are, and the tokenizers library only the two of
+    that token's merge. Neighbours that together are a token got there as they would in the token's own text alone; so, if that token encodes to
+    itself, they are the two of its merge. A token that doesn't is never made by the library and is left out here.
+    """
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        symbols, vocab = byte_symbols(), spec["vocab"]
+        merges = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in spec["merges"]]
+        #: Bytes of a token, and its number in the library's vocabulary, by rank.
+        ranked = [(bytes([b]), vocab[c]) for c, b in symbols.items()]
+        ranked += [(bytes([b, 10]), vocab[c + "</w>"]) for c, b in symbols.items() if b != 10]
+        raw = dict(zip(symbols, (token for token, _ in ranked))) | {c + "</w>": bytes([b, 10]) for c, b in symbols.items()}
+        for (a, b), good in zip(merges, _valid(merges), strict=True):
+            raw[a + b] = raw[a] + raw[b]
+            if good:
+                ranked.append((raw[a + b], vocab[a + b]))
+        ranks = {token: rank for rank, (token, _) in enumerate(ranked)}
+        if len(ranks) < len(ranked):
+            raise ValueError("two tokens are of the same bytes")
+        self.encoding = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+        self.id_of = np.asarray([i for _, i in ranked], "<u4")
+        self.ends = np.asarray([token[-1:] == b"\n" for token, _ in ranked])
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """For words of bytes in _LATIN."""
+        ranks = self.encoding.encode_to_numpy(b"\n".join([*words, b""]).decode().lower(), disallowed_special=())
+        raw, ends = self.id_of[ranks].tobytes(), (4 * np.flatnonzero(self.ends[ranks]) + 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _valid(merges: list[tuple[str, str]]) -> list[bool]:
+    """For each merge, whether its token encodes to itself: its halves do, and no earlier merge crosses between them."""
+    rank_of = {pair: rank for rank, pair in enumerate(merges)}
+    made = {a + b: rank for rank, (a, b) in enumerate(merges)}
+    if len(made) < len(merges):
+        raise ValueError("two merges make the same token")
+    good: list[bool] = []
+    for rank, (a, b) in enumerate(merges):
+        of_a, of_b, before = made.get(a, -1), made.get(b, -1), rank
+        if max(of_a, of_b) > rank:
+            raise ValueError("a merge comes before one of its halves")
+        whole = (of_a < 0 or good[of_a]) and (of_b < 0 or good[of_b])
+        while whole:
+            whole = not rank_of.get((a, b), before) < before
+            if of_a < 0 and of_b < 0:
+                break
+            # the later merge is undone; of merges of one rank the one further left came first
+            if of_a > of_b:
+                a, before = merges[of_a][1], of_a
+                of_a = made.get(a, -1)
+            else:
+                b, before = merges[of_b][0], of_b + 1
+                of_b = made.get(b, -1)
+        good.append(whole)
+    return good
+
+
+def _merger(spec: dict) -> LetterMerger | None:
+    """None where tiktoken isn't installed or the vocabulary is of another build; words of letters then go to the tokenizers library, too."""
+    try:
+        return LetterMerger(spec)
+    except (ImportError, KeyError, ValueError):
+        return None
+
+
 class ChunkEncoder:
-    """Token ids as little-endian bytes, by the tokenizers library, each distinct string once.
+    """Token ids as little-endian bytes, those of the tokenizers library, each distinct string once.
 
     ASCII white space always ends a token of this vocabulary and gives none itself, so the ids of a text are
     those of its white-space separated strings in order. The vocabulary is one of lower case, so that A-Z may be
     lowered first, except where special tokens are written out. The ASCII marks after a string's last letter or
-    digit are tokens of their own.
+    digit are tokens of their own. Words of Latin letters are merged by LetterMerger, all others by the library.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -60,13 +150,14 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            _check(json.load(f), path)
+            spec = json.load(f)
+        _check(spec, path)
+        self.merger = _merger(spec["model"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.entries = entries
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known = _Table({})
         vocab = self.tokenizer.get_vocab()
         #: Tokens that end a word. A string of letters is one word, so that many can be encoded in one text and told apart.
         self.ends = np.zeros(1 + max(vocab.values()), bool)
@@ -82,41 +173,41 @@ class ChunkEncoder:
 
     def _encode_block(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.entries // 2:  # the older half goes, but for what is used again
-            self.known, self.old = {}, self.known
-        held: list[tuple[list[bytes], list[bytes | None]]] = []
-        new: set[bytes] = set()
-        for t in texts:
-            words = (t if b"<|" in t else t.lower()).split()
-            ids = list(map(self.known.get, words))
-            if None in ids:
-                new.update([w for w, i in zip(words, ids, strict=True) if i is None])
-            held.append((words, ids))
-        again = {w: self.old[w] for w in new if w in self.old}
-        self.known.update(again)
-        if len(again) < len(new):
-            self._learn(new.difference(again))
+            self.known = _Table(dict(self.known))
         known = self.known
-        return [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in held]
+        known.new = {}  # nothing of a block that failed
+        held = [list(map(known.__getitem__, (t if b"<|" in t else t.lower()).split())) for t in texts]
+        if known.new:
+            places = known.new
+            self._learn(set(places))
+            for w, ids in places.items():
+                ids += known[w]
+        return list(map(b"".join, held))
 
     def encode(self, text: bytes) -> bytes:
         return next(self.encode_many([text]))
 
     def _learn(self, new: set[bytes]) -> None:
-        plain, rest = [], []  # of ASCII letters, and not
+        letters, rest = [], []  # of Latin letters, and not
         for w in new:
-            (plain if w.isalpha() else rest).append(w)
-        marked, other = {}, []
+            (rest if w.translate(None, _LATIN) else letters).append(w)
+        marked, mixed = {}, []
         for w in rest:
             body = w.rstrip(_MARKS)
-            if len(body) < len(w) and (body[-1:].isalnum() or _ends_in_letter(body)) and b"<|" not in w:
+            if len(body) < len(w) and (body and not body.translate(None, _LATIN) or body[-1:].isalnum() or _ends_in_letter(body)) and b"<|" not in w:
                 marked[w] = body, w[len(body) :]
             else:
-                other.append(w)
-        parts = set().union(*marked.values()).difference(self.known, new)
-        plain += [w for w in parts if w.isalpha()]
-        mixed, other = [*other, *(w for w in parts if not w.isalpha())], []
+                mixed.append(w)
+        for w in set().union(*marked.values()).difference(self.known, new):
+            (mixed if w.translate(None, _LATIN) else letters).append(w)
+        plain, other = [], []  # of any letters, and not
         for w in mixed:
             (plain if w.decode().isalpha() else other).append(w)
+        short = [w for w in letters if len(w) <= LONG_WORD] if self.merger else []
+        if short:
+            self.known.update(zip(short, self.merger(short), strict=True))
+        if len(short) < len(letters):
+            plain += set(letters).difference(short)
         parts = [plain[at : at + 200] for at in range(0, len(plain), 200)]
         for some, found in zip(parts, self.tokenizer.encode_batch_fast([b"\n".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
             ids = np.asarray(found.ids, "<u4")

@@ -815,6 +815,49 @@ def test_chunk_encoder_equals_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_need_no_library():
+    own = packing.ChunkEncoder(WORD_BPE)
+    library, asked = own.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    own.tokenizer = Counted()
+    r = random.Random(21)
+    syllables = ["the", "ing", "sch", "ción", "ä", "É", "Ö", "ß", "ÿ", "q", "x", "eaux", "À", "zz"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randrange(1, 12))) for _ in range(20_000)]
+    ids = np.frombuffer(own.encode(" ".join(words).encode()), "<u4").tolist()
+    assert not asked
+    assert ids == library.encode(" ".join(words), add_special_tokens=False).ids
+    for text in ("a" * 5000 + " b", "xé÷y × Àb́c", "lé,, (ünd) it's 12é3 <|x É|>"):
+        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_letter_merger_equals_library():
+    """Vocabularies with tokens that other neighbours make up, too, and with tokens that don't encode to themselves."""
+    from tokenizers.models import BPE
+
+    r = random.Random(22)
+    left_out = 0
+    for _ in range(40):
+        tokens = [*bpe.byte_symbols(), *(c + "</w>" for c in bpe.byte_symbols())]
+        usable, merges = [*"abc", *(c + "</w>" for c in "abc")], []
+        for _ in range(r.choice((5, 30, 120))):
+            a, b = r.choice(usable), r.choice(usable)
+            if not a.endswith("</w>") and len(a + b) < 14 and a + b not in usable:
+                usable.append(a + b)
+                merges.append((a, b))
+        vocab = {t: i for i, t in enumerate([*tokens, *(a + b for a, b in merges)])}
+        library, own = BPE(vocab, merges, end_of_word_suffix="</w>"), packing.LetterMerger({"vocab": vocab, "merges": [" ".join(m) for m in merges]})
+        left_out += len(merges) - (len(own.id_of) - 511)
+        words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 30))) for _ in range(300)]
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in own([w.encode() for w in words])]
+        assert got == [[t.id for t in library.tokenize(w)] for w in words]
+    assert left_out > 50
+
+
 # 9 neighbours
 
 

@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillsift.sources.storage import cut
+
 EVENT = "operation string, timestamp double, duration double, outcome string, error string, phases map<string,double>, fields map<string,string>"
 
 
@@ -39,12 +41,13 @@ RANKED_TOGETHER = 1_000_000
 
 
 def percentiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99), operation: str = "operation", duration: str = "duration", slices: int = 64, together: int = RANKED_TOGETHER) -> DataFrame:
-    """min, max, mean, count and the values at floor(n * p) in order, from 0, for each operation.
+    """min, max, mean, count and the values at floor(n * p) in order, from 0, for each operation. Events without a duration are left out.
 
     Equal durations are counted first (a partial aggregation), so that ranks are taken over different ones. Where about `together` or fewer are
     left, which a first pass over the two columns estimates, one window ranks them. Beyond that, approximate quantiles cut each operation into
     slices; a value's rank is its place in its slice plus the rows of the slices before, so that a hot operation is ranked by as many tasks
-    as it has slices. Ranks are exact either way.
+    as it has slices. The quantiles are written once (a reliable checkpoint): worked out again they can differ, and a slice's rows wouldn't be
+    those that its size counted. Ranks are exact either way.
     """
     events = events.where(F.col(duration).isNotNull()).select(F.col(operation).alias("operation"), F.col(duration).alias("d"))
     counted = events.groupBy("operation", "d").agg(F.count("*").alias("times"))
@@ -52,20 +55,20 @@ def percentiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99)
     if events.agg(F.approx_count_distinct(F.struct("operation", "d"))).first()[0] <= together:
         own = Window.partitionBy("operation")
         ranked = counted.withColumns({"n": F.sum("times").over(own), "upto": F.sum("times").over(own.orderBy("d"))})
-        at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("d"))).alias(name) for p, name in zip(points, names, strict=True)]
-        return ranked.groupBy("operation").agg(F.sum("times").alias("count"), F.min("d").alias("min"), F.max("d").alias("max"), (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"), *at)
-    inner = [i / slices for i in range(1, slices)]
-    total = counted.groupBy("operation").agg(
-        F.sum("times").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"), F.percentile_approx("d", inner, 1000).alias("cuts")
-    )
-    sliced = counted.join(total.select("operation", "n", "cuts"), "operation").select("operation", "d", "times", "n", F.size(F.filter("cuts", lambda x: x < F.col("d"))).alias("slice"))
-    sizes = sliced.groupBy("operation", "slice").agg(F.sum("times").alias("rows"))
-    earlier = F.sum("rows").over(Window.partitionBy("operation").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))  # at most `slices` rows each
-    before = sizes.select("operation", "slice", F.coalesce(earlier, F.lit(0)).alias("before"))
-    upto = F.sum("times").over(Window.partitionBy("operation", "slice").orderBy("d"))
-    ranked = sliced.withColumn("within", upto).join(before, ["operation", "slice"]).withColumn("upto", F.col("within") + F.col("before"))
-    at = ranked.groupBy("operation").agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("d"))).alias(name) for p, name in zip(points, names, strict=True)))
-    return total.join(at, "operation").select("operation", F.col("n").alias("count"), "min", "max", "mean", *names)
+    else:
+        inner = [i / slices for i in range(1, slices)]
+        cuts = cut(counted.groupBy(F.col("operation").alias("of")).agg(F.percentile_approx("d", inner, 1000).alias("cuts")))
+        same = F.col("operation").eqNullSafe(F.col("of"))
+        sliced = counted.join(cuts, same).select("operation", "d", "times", F.size(F.filter("cuts", lambda x: x < F.col("d"))).alias("slice"))
+        sizes = sliced.groupBy(F.col("operation").alias("of"), F.col("slice").alias("place")).agg(F.sum("times").alias("rows"))
+        own = Window.partitionBy("of")  # at most `slices` rows each
+        earlier = F.sum("rows").over(own.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+        before = sizes.select("of", "place", F.sum("rows").over(own).alias("n"), F.coalesce(earlier, F.lit(0)).alias("before"))
+        within = F.sum("times").over(Window.partitionBy("operation", "slice").orderBy("d"))
+        placed = sliced.withColumn("within", within).join(before, same & (F.col("slice") == F.col("place")))
+        ranked = placed.withColumn("upto", F.col("within") + F.col("before"))
+    at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("d"))).alias(name) for p, name in zip(points, names, strict=True)]
+    return ranked.groupBy("operation").agg(F.sum("times").alias("count"), F.min("d").alias("min"), F.max("d").alias("max"), (F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("mean"), *at)
 
 
 def phase_averages(events: DataFrame) -> DataFrame:

@@ -394,6 +394,22 @@ def test_telemetry(engine, spark, tmp_path):
     assert {(r["_service"], r["_environment"]) for r in spark.read.parquet(str(tmp_path / "e")).collect()} == {("svc", "test")}
 
 
+def test_percentiles_by_slices(spark):
+    """So many different durations that quantiles worked out twice differ; an operation that is null is one too."""
+    operation = F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b")
+    df = spark.range(200_000, numPartitions=8).select(operation.alias("operation"), (F.pmod(F.xxhash64("id"), F.lit(10**12)) / 1e6).alias("duration"))
+    own = {}
+    for op, v in df.collect():
+        own.setdefault(op, []).append(v)
+    got = {r["operation"]: r for r in telemetry.percentiles(df, slices=16, together=0).collect()}
+    assert set(got) == {"a", "b", None}
+    for op, values in own.items():
+        values.sort()
+        assert [got[op][p] for p in ("p50", "p95", "p99")] == [values[int(len(values) * p)] for p in (0.5, 0.95, 0.99)]
+        assert (got[op]["count"], got[op]["min"], got[op]["max"]) == (len(values), values[0], values[-1])
+        assert got[op]["mean"] == pytest.approx(sum(values) / len(values))
+
+
 EVENTS_SCHEMA = "ts timestamp, op string, ms double"
 
 
